@@ -1,4 +1,6 @@
 """All reference queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from .plans import geometry, metadata, surfaces, tracks  # noqa: F401
+from .plans.common import ORACLE_SQL, QUERIES  # noqa: F401
