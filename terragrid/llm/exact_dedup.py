@@ -69,8 +69,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     picked = df.select(key.alias("__key"), F.xxhash64(F.col(id_col), F.lit(11)).alias("__pick"))
     splitters = _splitters(picked, df.count(), ranges)
 
-    # one shuffle of the texts; each range arrives whole, and its sort puts equal texts together
-    dealt = df.withColumn("__range", _range_of(key, splitters)).repartitionById(ranges, F.col("__range"))
+    # one shuffle of the texts; each range arrives whole, and its sort puts equal texts together.
+    # the key is a column of its own: inside the lambdas it would be computed for every splitter
+    dealt = df.withColumn("__key", key).withColumn("__range", _range_of(F.col("__key"), splitters)).drop("__key").repartitionById(ranges, F.col("__range"))
     same = Window.partitionBy("__range", "__norm").orderBy(F.col("__order").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     local = (
         dealt.withColumns({"__norm": norm, "__order": order})
@@ -81,11 +82,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     # groups that a splitter cuts have the splitter's text key: at most one a splitter
     cut = sorted({s[: PREFIX + 16] for s in splitters})
+    begin = F.rpad(ascii_lower(F.substring(text, 1, PREFIX)), PREFIX, "\0")
     whole = (
-        df.select(norm.alias("__norm"), key.alias("__key"), order.alias("__order"), F.col(id_col).alias("__id"))
+        df.where(begin.isin(sorted({s[:PREFIX] for s in cut})))
+        .select(norm.alias("__norm"), key.alias("__key"), order.alias("__order"), F.col(id_col).alias("__id"))
         .where(F.substring("__key", 1, PREFIX + 16).isin(cut))
+        .withColumn("__range", _range_of(F.col("__key"), splitters))
         .groupBy("__norm")
-        .agg(F.count(F.lit(1)).alias("__all"), F.max(F.struct("__order", F.col("__id").alias("id"), _range_of(F.col("__key"), splitters).alias("range"))).alias("__best"))
+        .agg(F.count(F.lit(1)).alias("__all"), F.max(F.struct("__order", F.col("__id").alias("id"), F.col("__range").alias("range"))).alias("__best"))
         .select(F.sha2("__norm", 256).alias("text_sha256"), "__all", "__best")
     )
     found = local.join(F.broadcast(whole), "text_sha256", "left")
