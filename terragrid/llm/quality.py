@@ -34,7 +34,7 @@ def counts(s) -> dict[str, np.ndarray]:
     starts = np.concatenate([s.offs[:-1], breaks + 1])
     ends = np.concatenate([breaks, s.offs[1:]])
     row = np.concatenate([np.arange(s.rows), doc])
-    order = np.argsort(starts, kind="stable")
+    order = np.lexsort((row, starts))  # an empty last line begins where the next row does
     starts, row = starts[order], row[order]
     ends = np.sort(ends, kind="stable")
     words = np.searchsorted(s.starts, ends) - np.searchsorted(s.starts, starts)
