@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import shared_dir, sorted_groups, stored
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 _M, _E = len(MAGIC), len(END)
@@ -181,12 +181,10 @@ def _records(with_payload: bool):
 
     def run(batches):
         key, open_at, stop, head, parts, out = None, 0, 0, False, [], []
-        at, due = 0, None
+        at, due, lost = 0, None, False
 
-        def close():
-            if parts and head and at == stop:
-                out.append((True, stop, *_row(key[0], open_at - _M, b"".join(parts), with_payload)))
-            elif parts:
+        def close():  # the range ends, or a record begins: what is open goes on elsewhere
+            if parts:
                 out.append((False, stop, key[0], open_at, "head" if head else "more", *[None] * 6, b"".join(parts)))
 
         for b in batches:
@@ -194,16 +192,20 @@ def _records(with_payload: bool):
                 if (file, block) != key:
                     close()
                     # what comes before the range's first record belongs to one that began earlier
-                    key, at, due, open_at, head, parts = (file, block), base, entry, base, False, []
+                    key, at, due, open_at, head, parts, lost = (file, block), base, entry, base, False, [], False
                     stop = after
                 nxt = _next(value) if at == due else None
                 if nxt is not None:
                     close()
                     open_at, head, parts = at, True, [value]
                     stop = due = at + nxt
-                elif at or block:  # before a file's first magic there is nothing
+                elif (at or block) and not lost:  # before a file's first magic there is nothing
                     parts.append(MAGIC.encode() + value)
                 at += len(value) + _M
+                if head and parts and at >= stop:
+                    out.append((True, stop, *_row(key[0], open_at - _M, b"".join(parts), with_payload)))
+                    # a record that doesn't end at a magic is the last one of its file's chain
+                    parts, lost = [], at > stop
                 if len(out) >= 256:
                     yield _as_batch(out, _PIECE)
                     out.clear()
