@@ -58,7 +58,7 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
     leaves = tree.groupBy("host", "template").agg(F.sum("labelled").alias("m"), F.sum("bad").alias("b"))
     parent = F.regexp_replace("template", r"/[^/]*$", "")
     hosts = leaves.groupBy("host").agg(F.sum("m").alias("hm"), F.sum("b").alias("hb"))
-    everything = leaves.agg(((F.coalesce(F.sum("b"), F.lit(0)) + 1) / (F.coalesce(F.sum("m"), F.lit(0)) + 2)).alias("overall"))  # one row
+    everything = leaves.agg((F.coalesce(F.sum("b"), F.lit(0)) / (F.coalesce(F.sum("m"), F.lit(0)) + 1)).alias("overall"))  # one row
     rated = leaves.withColumn("parent", parent).join(hosts, "host").join(F.broadcast(everything))
     rated = rated.withColumn("hrate", (F.col("hb") + PRIOR * F.col("overall")) / (F.col("hm") + PRIOR))
     # siblings whose labels agree with those of the branches beside them are one branch
