@@ -34,24 +34,28 @@ def geodetic_to_enu(lat: Column, lon: Column, alt: Column, lat0: float, lon0: fl
     return [sum((a * x for a, x in zip(row[1:], d[1:])), row[0] * d[0]) for row in axes]
 
 
-def ecef_to_geodetic(x: Column, y: Column, z: Column, rounds: int = 3) -> list[Column]:
-    """Bowring's iteration on the reduced latitude, a fixed number of times."""
-    r = F.sqrt(x * x + y * y)
+def ecef_to_geodetic(df: DataFrame, x: Column, y: Column, z: Column, lat: str = "lat", lon: str = "lon", alt: str = "alt", rounds: int = 3) -> DataFrame:
+    """``df`` with (lat, lon, alt): Bowring's iteration on the reduced latitude, a fixed number of times.
+
+    Steps are columns of their own, so that none is computed twice."""
+    kept = [c for c in df.columns if c not in (lat, lon, alt)]
+    c = F.col
+    df = df.withColumns({"__x": x, "__y": y, "__z": z}).withColumn("__r", F.sqrt(c("__x") * c("__x") + c("__y") * c("__y")))
     ep2 = E2 / (1 - E2)
-    beta = F.atan2(z, (1 - FLAT) * r)
-    p = beta
+    df = df.withColumn("__b", F.atan2(c("__z"), (1 - FLAT) * c("__r"))).withColumn("__p", c("__b"))
     for _ in range(rounds):
-        p = F.atan2(z + ep2 * B * F.pow(F.sin(beta), F.lit(3)), r - E2 * A * F.pow(F.cos(beta), F.lit(3)))
-        beta = F.atan2((1 - FLAT) * F.sin(p), F.cos(p))
-    n = A / F.sqrt(1 - E2 * F.sin(p) * F.sin(p))
-    alt = r * F.cos(p) + z * F.sin(p) - A * A / n
-    return [F.degrees(p), F.degrees(F.atan2(y, x)), alt]
+        df = df.withColumns({"__s": F.sin("__b"), "__c": F.cos("__b")})
+        df = df.withColumn("__p", F.atan2(c("__z") + ep2 * B * c("__s") * c("__s") * c("__s"), c("__r") - E2 * A * c("__c") * c("__c") * c("__c")))
+        df = df.withColumn("__b", F.atan2((1 - FLAT) * F.sin("__p"), F.cos("__p")))
+    height = c("__r") * F.cos("__p") + c("__z") * F.sin("__p") - A * F.sqrt(1 - E2 * F.sin("__p") * F.sin("__p"))
+    return df.select(*kept, F.degrees("__p").alias(lat), F.degrees(F.atan2("__y", "__x")).alias(lon), height.alias(alt))
 
 
-def enu_to_geodetic(e: Column, n: Column, u: Column, lat0: float, lon0: float, alt0: float) -> list[Column]:
+def enu_to_geodetic(df: DataFrame, e: Column, n: Column, u: Column, lat0: float, lon0: float, alt0: float) -> DataFrame:
+    """``df`` with (lat, lon, alt) of east, north, up about an origin."""
     centre, axes = _origin(lat0, lon0, alt0)
-    xyz = [c + sum((axes[k][i] * v for k, v in enumerate((e, n, u)) if k), axes[0][i] * e) for i, c in enumerate(centre)]
-    return ecef_to_geodetic(*xyz)
+    xyz = [centre[i] + axes[0][i] * e + axes[1][i] * n + axes[2][i] * u for i in range(3)]
+    return ecef_to_geodetic(df, *xyz)
 
 
 def _series() -> tuple[float, list[float], list[float]]:

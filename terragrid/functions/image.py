@@ -25,7 +25,7 @@ def gamma(x: Column) -> Column:
 def color_index(x: Column, low: Column, high: Column, levels: int = LEVELS) -> Column:
     """Row of a colour table with ``levels`` rows, the last one closed."""
     share = F.try_divide(clip(x, low, high) - low, high - low)
-    return F.least(F.floor(share * levels + 1e-9), F.lit(levels - 1)).cast("long")
+    return F.when(share.isNotNull(), F.least(F.floor(share * levels + 1e-9), F.lit(levels - 1))).cast("long")
 
 
 def void_nodata(x: Column, nodata: float) -> Column:

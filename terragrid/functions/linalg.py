@@ -112,7 +112,7 @@ def scaled(m: Matrix) -> Matrix:
 def angle_degrees(a: Vector, b: Vector) -> Column:
     """Angle between vectors; null for a zero vector."""
     c = F.try_divide(dot(a, b), norm(a) * norm(b))
-    return F.degrees(F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0))))
+    return F.when(c.isNotNull(), F.degrees(F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))))
 
 
 def apply_projection(p: Matrix, xyz: Vector) -> tuple[Column, Column]:

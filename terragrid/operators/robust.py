@@ -29,9 +29,10 @@ def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, hi
     rows = df.where(F.col(value).isNotNull()).select(x.alias("x"))
     span = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("all"))
     width = (F.col("hi") - F.col("lo")) / bins
-    number = F.least(F.lit(bins - 1), F.floor(F.try_divide((F.col("x") - F.col("lo")) * bins, F.col("hi") - F.col("lo")))).cast("int")
+    place = F.coalesce(F.try_divide((F.col("x") - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0))
+    number = F.least(F.lit(bins - 1), F.floor(place)).cast("int")
     # one row of range and total goes to every task
-    return rows.join(F.broadcast(span)).groupBy(F.coalesce(number, F.lit(0)).alias("bin"), "lo", "hi", "all").agg(F.count(F.lit(1)).alias("n")).select("bin", "n", F.try_divide(F.col("n"), F.col("all") * width).alias("density"))
+    return rows.join(F.broadcast(span)).groupBy(number.alias("bin"), "lo", "hi", "all").agg(F.count(F.lit(1)).alias("n")).select("bin", "n", F.try_divide(F.col("n"), F.col("all") * width).alias("density"))
 
 
 def mad_fuse(df: DataFrame, cell: list[str], value: str, least: int = 3) -> DataFrame:

@@ -104,8 +104,8 @@ def geodetic_to_enu(spark, d):
 @query(f"WITH {_PTS} SELECT c_custkey, round(lat, 8) AS lat, round(lon, 8) AS lon, round(alt, 4) AS alt FROM p")
 def enu_roundtrip(spark, d):
     enu = _points(spark, d).select("c_custkey", *[c.alias(n) for c, n in zip(geodesy.geodetic_to_enu(*_lla(), *ORIGIN), "enu")])
-    back = geodesy.enu_to_geodetic(F.col("e"), F.col("n"), F.col("u"), *ORIGIN)
-    return enu.select("c_custkey", *[r(c, k).alias(n) for c, n, k in zip(back, ("lat", "lon", "alt"), (8, 8, 4))])
+    back = geodesy.enu_to_geodetic(enu, F.col("e"), F.col("n"), F.col("u"), *ORIGIN)
+    return back.select("c_custkey", r("lat", 8).alias("lat"), r("lon", 8).alias("lon"), r("alt", 4).alias("alt"))
 
 
 _N = "(1 / 298.257223563::DOUBLE) / (2 - 1 / 298.257223563::DOUBLE)"
