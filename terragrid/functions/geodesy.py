@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 A, FLAT = 6378137.0, 1 / 298.257223563
@@ -34,28 +34,42 @@ def geodetic_to_enu(lat: Column, lon: Column, alt: Column, lat0: float, lon0: fl
     return [sum((a * x for a, x in zip(row[1:], d[1:])), row[0] * d[0]) for row in axes]
 
 
-def ecef_to_geodetic(df: DataFrame, x: Column, y: Column, z: Column, lat: str = "lat", lon: str = "lon", alt: str = "alt", rounds: int = 3) -> DataFrame:
-    """``df`` with (lat, lon, alt): Bowring's iteration on the reduced latitude, a fixed number of times.
+def let(values: list[Column], body) -> Column:
+    """``body`` of values that are computed once, bound as the variables of a lambda.
 
-    Steps are columns of their own, so that none is computed twice."""
-    kept = [c for c in df.columns if c not in (lat, lon, alt)]
-    c = F.col
-    df = df.withColumns({"__x": x, "__y": y, "__z": z}).withColumn("__r", F.sqrt(c("__x") * c("__x") + c("__y") * c("__y")))
+    Long recurrences written out, or as columns of their own, grow exponentially when a filter on
+    their result is pushed down through them; bound this way the expression stays as long as its text."""
+    names = [f"v{i}" for i in range(len(values))]
+    packed = F.array(F.struct(*[v.alias(n) for n, v in zip(names, values)]))
+    return F.transform(packed, lambda s: body(*[s[n] for n in names]))[0]
+
+
+def ecef_to_geodetic(x: Column, y: Column, z: Column, rounds: int = 3) -> Column:
+    """struct(lat, lon, alt) by Bowring's iteration on the reduced latitude, a fixed number of times."""
     ep2 = E2 / (1 - E2)
-    df = df.withColumn("__b", F.atan2(c("__z"), (1 - FLAT) * c("__r"))).withColumn("__p", c("__b"))
-    for _ in range(rounds):
-        df = df.withColumns({"__s": F.sin("__b"), "__c": F.cos("__b")})
-        df = df.withColumn("__p", F.atan2(c("__z") + ep2 * B * c("__s") * c("__s") * c("__s"), c("__r") - E2 * A * c("__c") * c("__c") * c("__c")))
-        df = df.withColumn("__b", F.atan2((1 - FLAT) * F.sin("__p"), F.cos("__p")))
-    height = c("__r") * F.cos("__p") + c("__z") * F.sin("__p") - A * F.sqrt(1 - E2 * F.sin("__p") * F.sin("__p"))
-    return df.select(*kept, F.degrees("__p").alias(lat), F.degrees(F.atan2("__y", "__x")).alias(lon), height.alias(alt))
 
+    def last(x, y, z, r, p):
+        alt = r * F.cos(p) + z * F.sin(p) - A * F.sqrt(1 - E2 * F.sin(p) * F.sin(p))
+        return F.struct(F.degrees(p).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"), alt.alias("alt"))
+
+    def step(left):
+        def body(x, y, z, r, b):
+            p = F.atan2(z + ep2 * B * F.pow(F.sin(b), F.lit(3)), r - E2 * A * F.pow(F.cos(b), F.lit(3)))
+            if not left:
+                return let([x, y, z, r, p], last)
+            return let([x, y, z, r, p], lambda x, y, z, r, p: let([x, y, z, r, F.atan2((1 - FLAT) * F.sin(p), F.cos(p))], step(left - 1)))
+
+        return body
 
-def enu_to_geodetic(df: DataFrame, e: Column, n: Column, u: Column, lat0: float, lon0: float, alt0: float) -> DataFrame:
-    """``df`` with (lat, lon, alt) of east, north, up about an origin."""
+    start = lambda x, y, z: let([x, y, z, F.sqrt(x * x + y * y)], lambda x, y, z, r: let([x, y, z, r, F.atan2(z, (1 - FLAT) * r)], step(rounds - 1)))
+    return let([x, y, z], start)
+
+
+def enu_to_geodetic(e: Column, n: Column, u: Column, lat0: float, lon0: float, alt0: float) -> Column:
+    """struct(lat, lon, alt) of east, north, up about an origin."""
     centre, axes = _origin(lat0, lon0, alt0)
     xyz = [centre[i] + axes[0][i] * e + axes[1][i] * n + axes[2][i] * u for i in range(3)]
-    return ecef_to_geodetic(df, *xyz)
+    return ecef_to_geodetic(*xyz)
 
 
 def _series() -> tuple[float, list[float], list[float]]:
@@ -86,39 +100,55 @@ def central_meridian(zone: int) -> float:
     return zone * 6 - 183.0
 
 
-def to_utm(lat: Column, lon: Column, zone: int, south: bool) -> list[Column]:
-    """(east, north) in an explicit zone."""
+def to_utm(lat: Column, lon: Column, zone: int, south: bool) -> Column:
+    """struct(east, north) in an explicit zone."""
     radius, alpha, _ = _series()
     e = math.sqrt(E2)
-    p, m = F.radians(lat), F.radians(lon - central_meridian(zone))
-    t = F.sinh(F.atanh(F.sin(p)) - e * F.atanh(e * F.sin(p)))
-    xi, eta = F.atan2(t, F.cos(m)), F.asinh(F.sin(m) / F.sqrt(t * t + F.cos(m) * F.cos(m)))
-    x, y = eta, xi
-    for j, a in enumerate(alpha, 1):
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return [FALSE_EAST + UTM_SCALE * radius * x, UTM_SCALE * radius * y + (FALSE_NORTH if south else 0.0)]
 
+    def place(xi, eta):
+        x, y = eta, xi
+        for j, a in enumerate(alpha, 1):
+            x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return F.struct((FALSE_EAST + UTM_SCALE * radius * x).alias("east"), (UTM_SCALE * radius * y + (FALSE_NORTH if south else 0.0)).alias("north"))
 
-def from_utm(df: DataFrame, east: Column, north: Column, zone: int, south: bool, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """``df`` with (lat, lon): the inverse series, then Newton steps from the conformal latitude.
+    sphere = lambda t, m: let([F.atan2(t, F.cos(m)), F.asinh(F.sin(m) / F.sqrt(t * t + F.cos(m) * F.cos(m)))], place)
+    conformal = lambda s, m: let([F.sinh(F.atanh(s) - e * F.atanh(e * s)), m], sphere)
+    return let([F.sin(F.radians(lat)), F.radians(lon - central_meridian(zone))], conformal)
 
-    Steps are columns of their own, so that none is computed twice."""
+
+def from_utm(east: Column, north: Column, zone: int, south: bool) -> Column:
+    """struct(lat, lon): the inverse series, then Newton steps from the conformal latitude."""
     radius, _, beta = _series()
     e = math.sqrt(E2)
-    kept = [c for c in df.columns if c not in (lat, lon)]
-    c = F.col
-    df = df.withColumns({"__xi0": (north - (FALSE_NORTH if south else 0.0)) / (UTM_SCALE * radius), "__eta0": (east - FALSE_EAST) / (UTM_SCALE * radius)})
-    xi, eta = c("__xi0"), c("__eta0")
-    for j, b in enumerate(beta, 1):
-        xi = xi - b * F.sin(2 * j * c("__xi0")) * F.cosh(2 * j * c("__eta0"))
-        eta = eta - b * F.cos(2 * j * c("__xi0")) * F.sinh(2 * j * c("__eta0"))
-    df = df.withColumns({"__xi": xi, "__eta": eta})
-    df = df.withColumn("__tau1", F.sin("__xi") / F.sqrt(F.sinh("__eta") * F.sinh("__eta") + F.cos("__xi") * F.cos("__xi"))).withColumn("__tau", c("__tau1"))
-    for _ in range(3):
-        df = df.withColumn("__root", F.sqrt(1 + c("__tau") * c("__tau")))
-        df = df.withColumn("__sigma", F.sinh(e * F.atanh(e * c("__tau") / c("__root"))))
-        df = df.withColumn("__have", c("__tau") * F.sqrt(1 + c("__sigma") * c("__sigma")) - c("__sigma") * c("__root"))
-        step = (c("__tau1") - c("__have")) / F.sqrt(1 + c("__have") * c("__have")) * (1 + (1 - E2) * c("__tau") * c("__tau")) / ((1 - E2) * c("__root"))
-        df = df.withColumn("__tau", c("__tau") + step)
-    return df.select(*kept, F.degrees(F.atan("__tau")).alias(lat), (F.degrees(F.atan2(F.sinh("__eta"), F.cos("__xi"))) + central_meridian(zone)).alias(lon))
+
+    def last(tau, tau1, lon):
+        return F.struct(F.degrees(F.atan(tau)).alias("lat"), lon.alias("lon"))
+
+    def newton(left):
+        def sigma(tau, tau1, lon):
+            root = F.sqrt(1 + tau * tau)
+            return let([tau, tau1, lon, root, F.sinh(e * F.atanh(e * tau / root))], have)
+
+        def have(tau, tau1, lon, root, sg):
+            return let([tau, tau1, lon, root, tau * F.sqrt(1 + sg * sg) - sg * root], step)
+
+        def step(tau, tau1, lon, root, h):
+            new = tau + (tau1 - h) / F.sqrt(1 + h * h) * (1 + (1 - E2) * tau * tau) / ((1 - E2) * root)
+            return let([new, tau1, lon], newton(left - 1) if left > 1 else last)
+
+        return sigma
+
+    def sphere(xi0, eta0):
+        xi, eta = xi0, eta0
+        for j, b in enumerate(beta, 1):
+            xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+            eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+        return let([xi, eta], ellipsoid)
+
+    def ellipsoid(xi, eta):
+        tau1 = F.sin(xi) / F.sqrt(F.sinh(eta) * F.sinh(eta) + F.cos(xi) * F.cos(xi))
+        lon = F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + central_meridian(zone)
+        return let([tau1, lon], lambda t, m: let([t, t, m], newton(3)))
+
+    return let([(north - (FALSE_NORTH if south else 0.0)) / (UTM_SCALE * radius), (east - FALSE_EAST) / (UTM_SCALE * radius)], sphere)

@@ -104,8 +104,8 @@ def geodetic_to_enu(spark, d):
 @query(f"WITH {_PTS} SELECT c_custkey, round(lat, 8) AS lat, round(lon, 8) AS lon, round(alt, 4) AS alt FROM p")
 def enu_roundtrip(spark, d):
     enu = _points(spark, d).select("c_custkey", *[c.alias(n) for c, n in zip(geodesy.geodetic_to_enu(*_lla(), *ORIGIN), "enu")])
-    back = geodesy.enu_to_geodetic(enu, F.col("e"), F.col("n"), F.col("u"), *ORIGIN)
-    return back.select("c_custkey", r("lat", 8).alias("lat"), r("lon", 8).alias("lon"), r("alt", 4).alias("alt"))
+    back = enu.select("c_custkey", geodesy.enu_to_geodetic(F.col("e"), F.col("n"), F.col("u"), *ORIGIN).alias("p"))
+    return back.select("c_custkey", r("p.lat", 8).alias("lat"), r("p.lon", 8).alias("lon"), r("p.alt", 4).alias("alt"))
 
 
 _N = "(1 / 298.257223563::DOUBLE) / (2 - 1 / 298.257223563::DOUBLE)"
@@ -119,16 +119,15 @@ _N = "(1 / 298.257223563::DOUBLE) / (2 - 1 / 298.257223563::DOUBLE)"
            SELECT c_custkey, round(500000 + 0.9996::DOUBLE * a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)), 4) AS east,
                   round(10000000 + 0.9996::DOUBLE * a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)), 4) AS north FROM x""")
 def utm_forward(spark, d):
-    east, north = geodesy.to_utm(F.col("lat"), F.col("lon"), ZONE, True)
-    return _points(spark, d).select("c_custkey", r(east, 4).alias("east"), r(north, 4).alias("north"))
+    utm = _points(spark, d).select("c_custkey", geodesy.to_utm(F.col("lat"), F.col("lon"), ZONE, True).alias("p"))
+    return utm.select("c_custkey", r("p.east", 4).alias("east"), r("p.north", 4).alias("north"))
 
 
 @query(f"WITH {_PTS} SELECT c_custkey, round(lat, 8) AS lat, round(lon, 8) AS lon FROM p")
 def utm_roundtrip(spark, d):
-    east, north = geodesy.to_utm(F.col("lat"), F.col("lon"), ZONE, True)
-    utm = _points(spark, d).select("c_custkey", east.alias("east"), north.alias("north"))
-    back = geodesy.from_utm(utm, F.col("east"), F.col("north"), ZONE, True)
-    return back.select("c_custkey", r("lat", 8).alias("lat"), r("lon", 8).alias("lon"))
+    utm = _points(spark, d).select("c_custkey", geodesy.to_utm(F.col("lat"), F.col("lon"), ZONE, True).alias("p"))
+    back = utm.select("c_custkey", geodesy.from_utm(F.col("p.east"), F.col("p.north"), ZONE, True).alias("q"))
+    return back.select("c_custkey", r("q.lat", 8).alias("lat"), r("q.lon", 8).alias("lon"))
 
 
 # --- nations as perspective cameras ---------------------------------------------------------------------------

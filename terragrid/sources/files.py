@@ -23,7 +23,7 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 
 def parsed(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]], schema: str) -> DataFrame:
-    """The rows that ``parse(path, content)`` yields, with ``source`` and ``error`` columns (one of the row and the error is null)."""
+    """The rows that ``parse(path, content)`` yields, with ``source`` and ``parse_error`` columns (one of the row and the error is null)."""
     names = [f.split()[0] for f in _top_level(schema)]
 
     def run(batches):
@@ -32,18 +32,18 @@ def parsed(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]], sche
                 rows, error = [], None
                 try:
                     for row in parse(path, bytes(content)):
-                        rows.append({n: row.get(n) for n in names} | {"source": path, "error": None})
+                        rows.append({n: row.get(n) for n in names} | {"source": path, "parse_error": None})
                         if len(rows) >= 20_000:
                             yield pd.DataFrame(rows)
                             rows = []
                 except Exception as e:  # noqa: BLE001  kept as a rejected row
                     error = f"{type(e).__name__}: {e}"
                 if error:
-                    rows.append(dict.fromkeys(names) | {"source": path, "error": error})
+                    rows.append(dict.fromkeys(names) | {"source": path, "parse_error": error})
                 if rows:
-                    yield pd.DataFrame(rows, columns=[*names, "source", "error"]).astype(object).where(lambda d: d.notna(), None)
+                    yield pd.DataFrame(rows, columns=[*names, "source", "parse_error"]).astype(object).where(lambda d: d.notna(), None)
 
-    return files.mapInPandas(run, schema + ", source string, error string")
+    return files.mapInPandas(run, schema + ", source string, parse_error string")
 
 
 def _top_level(schema: str) -> list[str]:
@@ -60,11 +60,11 @@ def _top_level(schema: str) -> list[str]:
 
 
 def good(df: DataFrame) -> DataFrame:
-    return df.where("error is null").drop("error", "source")
+    return df.where("parse_error is null").drop("parse_error", "source")
 
 
 def rejected(df: DataFrame) -> DataFrame:
-    return df.where("error is not null").select("source", "error")
+    return df.where("parse_error is not null").select("source", F.col("parse_error").alias("error"))
 
 
 def save_files(df: DataFrame, folder: str) -> int:

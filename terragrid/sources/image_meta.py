@@ -37,7 +37,7 @@ def parse_xml(path: str, raw: bytes):
 
 
 def read_xml(spark: SparkSession, path: str, glob: str = "*.XML") -> DataFrame:
-    """IMAGE_META rows with source and error: rows that fail are kept apart, not lost."""
+    """IMAGE_META rows with source and parse_error: rows that fail are kept apart, not lost."""
     return parsed(read_files(spark, path, glob), parse_xml, sc.IMAGE_META)
 
 
@@ -96,7 +96,7 @@ def area(spark: SparkSession, config: dict) -> DataFrame:
     e0, n0 = b["ul_easting"], b["ul_northing"]
     e1, n1 = e0 + b["width"], n0 - b["height"]
     corners = spark.createDataFrame([(float(e), float(n)) for e in (e0, e1) for n in (n0, n1)], "east double, north double")
-    at = geodesy.from_utm(corners, F.col("east"), F.col("north"), b["zone_number"], south)
+    at = corners.select(geodesy.from_utm(F.col("east"), F.col("north"), b["zone_number"], south).alias("p")).select("p.*")
     box = at.agg(F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"))
     fixed = {"zone_number": b["zone_number"], "hemisphere": b["hemisphere"], "ul_easting": e0, "ul_northing": n0, "lr_easting": e1, "lr_northing": n1, "width": b["width"], "height": b["height"], "alt_min": config["alt_min"], "alt_max": config["alt_max"]}
     return box.select(*[F.lit(v).alias(k) for k, v in fixed.items()], *box.columns)

@@ -64,26 +64,25 @@ def test_geodesy_round_trips(spark):
     df = spark.createDataFrame(rows, "i int, lat double, lon double, alt double")
     c = [F.col(x) for x in ("lat", "lon", "alt")]
     enu = df.select("i", *[x.alias(n) for x, n in zip(geodesy.geodetic_to_enu(*c, 10.0, -57.0, 3.0), "enu")])
-    back = geodesy.enu_to_geodetic(enu, F.col("e"), F.col("n"), F.col("u"), 10.0, -57.0, 3.0)
+    back = enu.select("i", geodesy.enu_to_geodetic(F.col("e"), F.col("n"), F.col("u"), 10.0, -57.0, 3.0).alias("p")).select("i", "p.*")
     got = {r["i"]: r for r in back.collect()}
     for i, lat, lon, alt in rows:
         assert (got[i]["lat"], got[i]["lon"]) == pytest.approx((lat, lon), abs=1e-8) and got[i]["alt"] == pytest.approx(alt, abs=1e-3)
     for south in (False, True):
-        east, north = geodesy.to_utm(c[0], c[1], zone, south)
-        utm = df.select("i", east.alias("east"), north.alias("north"))
-        at = {r["i"]: r for r in geodesy.from_utm(utm, F.col("east"), F.col("north"), zone, south).collect()}
+        utm = df.select("i", geodesy.to_utm(c[0], c[1], zone, south).alias("p"))
+        at = {r["i"]: r["q"] for r in utm.select("i", geodesy.from_utm(F.col("p.east"), F.col("p.north"), zone, south).alias("q")).collect()}
         for i, lat, lon, _ in rows:
             if (lat < 0) == south:
                 assert (at[i]["lat"], at[i]["lon"]) == pytest.approx((lat, lon), abs=1e-9)
 
 
 def test_utm_reference_points(spark):
-    df = one(spark, lat=47.9941214, lon=7.8509671)
-    e, n = df.select(*geodesy.to_utm(F.col("lat"), F.col("lon"), 32, False)).first()
-    s = one(spark, lat=-47.9941214, lon=7.8509671).select(*geodesy.to_utm(F.col("lat"), F.col("lon"), 32, True)).first()
+    at = lambda lat, lon, south: one(spark, lat=lat, lon=lon).select(geodesy.to_utm(F.col("lat"), F.col("lon"), 32, south).alias("p")).first()["p"]
+    e, n = at(47.9941214, 7.8509671, False)
+    s = at(-47.9941214, 7.8509671, True)
     assert s[0] == pytest.approx(e) and s[1] == pytest.approx(1e7 - n)
-    # on the central meridian the northing is the scaled meridian arc: a quarter of it is known
-    e, n = one(spark, lat=45.0, lon=9.0).select(*geodesy.to_utm(F.col("lat"), F.col("lon"), 32, False)).first()
+    # on the central meridian the northing is the scaled meridian arc, known at 45 degrees
+    e, n = at(45.0, 9.0, False)
     assert e == pytest.approx(500000) and n == pytest.approx(0.9996 * 4984944.378, abs=0.01)
 
 
