@@ -5,8 +5,8 @@ chosen for a target recall at the threshold. Texts are dealt by band hash; texts
 whose signatures are alike enough fall into one candidate family, and within a family every
 pair's Jaccard similarity is counted on the full shingle sets. Texts with equal words are one
 class from the start, so copies cost one row. Families larger than a block are compared block
-against block, each pair of blocks a task of its own, and tasks give numbers of links and a
-spanning forest, never all pairs.
+against block, each pair of blocks a task of its own, and tasks give numbers of links and the groups
+that links connect as stars, never all pairs.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from .common import mix, slices, sorted_groups, stored
 SHINGLE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Signatures of a bucket are compared with this many standard errors below the threshold.
 SLACK = 4.5
-#: Members of a bucket, and words and texts of a family, that one task compares at once.
-BUCKET_BLOCK, WORD_BLOCK, TEXT_BLOCK = 4096, 1_000_000, 1500
+#: Members of a bucket, and words of a family, that one task compares at once.
+BUCKET_BLOCK, WORD_BLOCK = 4096, 1_000_000
+#: A family of n texts has about sqrt(n / 64) blocks: tasks and the copies of a text in them grow with the root of n.
+FAMILY_SHARE = 64
 #: Representatives that are fetched by a broadcast of their identifiers; more go by a join.
 BROADCAST_IDS = 200_000
 
@@ -103,25 +105,39 @@ def _sketch_batches(batches, bands: int, rows: int, shingle: int):
         yield pa.RecordBatch.from_arrays([b.column(1), *cols, pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["id", "key", "words", "sig", "bands"])
 
 
-def _families_of(sig: np.ndarray, least: int, half: int | None) -> list[tuple[int, int]]:
-    """Edges of a spanning forest over rows with at least ``least`` equal signature bytes. With
-    ``half``, only pairs across the first ``half`` rows and the others count."""
-    n = len(sig)
-    edges = []
-    waiting = np.arange(n)
-    side = np.arange(n) >= (half or n)
+def _families_of(sig: np.ndarray, least: int, half: int | None) -> list[list[int]]:
+    """Groups of at least two rows that are connected by at least ``least`` equal signature bytes. With
+    ``half``, only pairs across the first ``half`` rows and the others count.
+
+    A row that has joined a group is compared only with rows that have joined none, so a tight
+    group costs one pass."""
+    groups = []
+    waiting = np.arange(len(sig))
+    side = np.arange(len(sig)) >= (half or len(sig))
     while len(waiting):
-        stack, waiting = [waiting[0]], waiting[1:]
+        group, stack, waiting = [waiting[0]], [waiting[0]], waiting[1:]
         while stack and len(waiting):
             i = stack.pop()
             like = np.count_nonzero(sig[waiting] == sig[i], axis=1) >= least
             if half:
                 like &= side[waiting] != side[i]
-            hit = waiting[like]
-            edges += [(i, j) for j in hit]
-            stack += hit.tolist()
+            hit = waiting[like].tolist()
+            group += hit
+            stack += hit
             waiting = waiting[~like]
-    return edges
+        if len(group) > 1:
+            groups.append(group)
+    return groups
+
+
+def _stars(groups: list[list[int]], keys: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Each group as edges to its least key: buckets with one least member give the same edges."""
+    out = []
+    for g in groups:
+        names = [keys[i] for i in g]
+        low = min(names)
+        out += [(low, k) for k in names if k != low]
+    return out
 
 
 def _candidate_batches(batches, least: int):
@@ -134,9 +150,9 @@ def _candidate_batches(batches, least: int):
         keys = g.column(4).take(pa.array(order)).to_pylist()
         sig = np.frombuffer(b"".join(g.column(5).take(pa.array(order)).to_pylist()), np.uint8).reshape(len(keys), -1)
         half = int(np.count_nonzero(blocks == blocks.min())) if blocks.min() != blocks.max() else None
-        for i, j in _families_of(sig, least, half):
-            us.append(min(keys[i], keys[j]))
-            vs.append(max(keys[i], keys[j]))
+        for u, v in _stars(_families_of(sig, least, half), keys):
+            us.append(u)
+            vs.append(v)
         if len(us) > 20_000:
             yield _edges(us, vs)
             us, vs = [], []
@@ -206,8 +222,8 @@ def _common(row: np.ndarray, h: np.ndarray, n: int, half: int | None) -> np.ndar
     return out
 
 
-def links_of(texts: list[str], copies: np.ndarray, half: int | None, threshold: float, shingle: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Each text's linked rows (copies counted) among the others, and a spanning forest of the links."""
+def links_of(texts: list[str], copies: np.ndarray, half: int | None, threshold: float, shingle: int) -> tuple[np.ndarray, list[list[int]]]:
+    """Each text's linked rows (copies counted) among the others, and the groups that links connect."""
     n = len(texts)
     rows, hashes = [], []
     for first, s in slices(pa.array(texts, pa.string()), lower=True):
@@ -230,13 +246,13 @@ def links_of(texts: list[str], copies: np.ndarray, half: int | None, threshold:
     else:
         np.fill_diagonal(linked, False)
         out[:] = linked @ copies
-    edges = []
+    groups = []
     seen = np.zeros(n, bool)
     for s in range(n):
         if seen[s]:
             continue
         seen[s] = True
-        stack = [s]
+        group, stack = [s], [s]
         while stack:
             i = stack.pop()
             if half:
@@ -244,9 +260,11 @@ def links_of(texts: list[str], copies: np.ndarray, half: int | None, threshold:
             else:
                 hit = np.flatnonzero(linked[i] & ~seen)
             seen[hit] = True
-            edges += [(i, int(j)) for j in hit]
+            group += hit.tolist()
             stack += hit.tolist()
-    return out, edges
+        if len(group) > 1:
+            groups.append(group)
+    return out, groups
 
 
 def _verify_batches(batches, threshold: float, shingle: int):
@@ -268,10 +286,11 @@ def _verify_batches(batches, threshold: float, shingle: int):
         half = int(np.count_nonzero(blocks[pick] == blocks[pick].min())) if blocks[pick].min() != blocks[pick].max() else None
         if half is None and g.column(1)[0].as_py() != g.column(2)[0].as_py():
             continue
-        links, edges = links_of(texts.take(pa.array(pick)).to_pylist(), copies[pick], half, threshold, shingle)
+        links, groups = links_of(texts.take(pa.array(pick)).to_pylist(), copies[pick], half, threshold, shingle)
         name = [keys[i] for i in pick]
-        a = [name[i] for i in np.flatnonzero(links)] + [name[i] for i, _ in edges]
-        b = [None] * int(np.count_nonzero(links)) + [name[j] for _, j in edges]
+        edges = _stars(groups, name)
+        a = [name[i] for i in np.flatnonzero(links)] + [u for u, _ in edges]
+        b = [None] * int(np.count_nonzero(links)) + [v for _, v in edges]
         c = links[links > 0].tolist() + [0] * len(edges)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.int64())], names=["key", "other", "links"])
 
@@ -310,7 +329,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # full shingle sets of each family
     members = stored(family.join(reps.select("key", "rep", "copies", "words"), "key"), "near-members")
-    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("words") / WORD_BLOCK), F.ceil(F.count(F.lit(1)) / TEXT_BLOCK)).cast("int").alias("blocks"))
+    sizes = members.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.sum("words") / WORD_BLOCK), F.when(F.count(F.lit(1)) >= 1024, F.floor(F.sqrt(F.count(F.lit(1)) / FAMILY_SHARE)))).cast("int").alias("blocks"))
     placed = members.join(sizes, "comp")
     few = members.count() <= BROADCAST_IDS
     texts = source.join(F.broadcast(placed) if few else placed, source["id"].eqNullSafe(placed["rep"]))
