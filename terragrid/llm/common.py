@@ -151,7 +151,7 @@ class Slice:
         return self.data[self.offs[i] : self.offs[i + 1]].tobytes()
 
 
-def slices(column, lower: bool = False, limit: int = 1 << 20):
+def slices(column, lower: bool = False, limit: int = 1 << 18):
     """Yields (first row, Slice) over an Arrow string column, about ``limit`` bytes at a time;
     one longer text makes a slice of its own."""
     if isinstance(column, pa.ChunkedArray):
