@@ -32,7 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r(col, digits: int = 6):
-    return F.round(col, digits)
+    """Rounded; adding zero makes a negative zero positive, as it prints otherwise than zero."""
+    return F.round(col, digits) + F.lit(0.0)
 
 
 def long(col):

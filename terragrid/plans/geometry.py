@@ -63,7 +63,7 @@ def _rpc_sql() -> str:
     poly = lambda n: "(" + " + ".join(f"{n}[{i}] * {t}" for i, t in enumerate(terms, 1)) + ")"
     return f"""WITH {_PTS}, k(cam, row_off, col_off, rn, rd, cn, cd) AS (VALUES {', '.join(rows)}),
         n AS (SELECT *, (lat + 34.45::DOUBLE) / 0.06::DOUBLE AS x, (lon + 58.55::DOUBLE) / 0.06::DOUBLE AS y, (alt - 20) / 120.0::DOUBLE AS z FROM p, k)
-        SELECT c_custkey, cam, round({poly('cn')} / {poly('cd')} * 3500 + col_off, 4) AS col, round({poly('rn')} / {poly('rd')} * 2500 + row_off, 4) AS row FROM n"""
+        SELECT c_custkey, cam, round({poly('cn')} / {poly('cd')} * 3500 + col_off, 4) + 0 AS col, round({poly('rn')} / {poly('rd')} * 2500 + row_off, 4) + 0 AS row FROM n"""
 
 
 @query(_rpc_sql())
@@ -94,14 +94,14 @@ _O = [f"({v})::DOUBLE" for v in ORIGIN]
 @query(f"""WITH {_PTS}, c AS (SELECT (1 / 298.257223563::DOUBLE) * (2 - 1 / 298.257223563::DOUBLE) AS e2, radians({_O[0]}) AS p0, radians({_O[1]}) AS l0),
            o AS (SELECT *, {_ecef_sql(*_O, '0')} FROM c), q AS (SELECT *, {_ecef_sql('lat', 'lon', 'alt', '1')} FROM p, o),
            v AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy, z1 - z0 AS dz FROM q)
-           SELECT c_custkey, round(-sin(l0) * dx + cos(l0) * dy, 4) AS e, round(-sin(p0) * cos(l0) * dx - sin(p0) * sin(l0) * dy + cos(p0) * dz, 4) AS n,
-                  round(cos(p0) * cos(l0) * dx + cos(p0) * sin(l0) * dy + sin(p0) * dz, 4) AS u FROM v""")
+           SELECT c_custkey, round(-sin(l0) * dx + cos(l0) * dy, 3) + 0 AS e, round(-sin(p0) * cos(l0) * dx - sin(p0) * sin(l0) * dy + cos(p0) * dz, 3) + 0 AS n,
+                  round(cos(p0) * cos(l0) * dx + cos(p0) * sin(l0) * dy + sin(p0) * dz, 3) + 0 AS u FROM v""")
 def geodetic_to_enu(spark, d):
     enu = geodesy.geodetic_to_enu(*_lla(), *ORIGIN)
-    return _points(spark, d).select("c_custkey", *[r(c, 4).alias(n) for c, n in zip(enu, "enu")])
+    return _points(spark, d).select("c_custkey", *[r(c, 3).alias(n) for c, n in zip(enu, "enu")])
 
 
-@query(f"WITH {_PTS} SELECT c_custkey, round(lat, 8) AS lat, round(lon, 8) AS lon, round(alt, 4) AS alt FROM p")
+@query(f"WITH {_PTS} SELECT c_custkey, round(lat, 8) + 0 AS lat, round(lon, 8) + 0 AS lon, round(alt, 4) + 0 AS alt FROM p")
 def enu_roundtrip(spark, d):
     enu = _points(spark, d).select("c_custkey", *[c.alias(n) for c, n in zip(geodesy.geodetic_to_enu(*_lla(), *ORIGIN), "enu")])
     back = enu.select("c_custkey", geodesy.enu_to_geodetic(F.col("e"), F.col("n"), F.col("u"), *ORIGIN).alias("p"))
@@ -116,14 +116,14 @@ _N = "(1 / 298.257223563::DOUBLE) / (2 - 1 / 298.257223563::DOUBLE)"
                         61 * power(n, 3) / 240 - 103 * power(n, 4) / 140 + 15061 * power(n, 5) / 26880 AS a3, 49561 * power(n, 4) / 161280 - 179 * power(n, 5) / 168 AS a4 FROM c),
            t AS (SELECT *, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t, radians(lon + 57) AS m FROM p, k),
            x AS (SELECT *, atan2(t, cos(m)) AS xi, asinh(sin(m) / sqrt(t * t + cos(m) * cos(m))) AS eta FROM t)
-           SELECT c_custkey, round(500000 + 0.9996::DOUBLE * a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)), 4) AS east,
-                  round(10000000 + 0.9996::DOUBLE * a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)), 4) AS north FROM x""")
+           SELECT c_custkey, round(500000 + 0.9996::DOUBLE * a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)), 4) + 0 AS east,
+                  round(10000000 + 0.9996::DOUBLE * a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)), 4) + 0 AS north FROM x""")
 def utm_forward(spark, d):
     utm = _points(spark, d).select("c_custkey", geodesy.to_utm(F.col("lat"), F.col("lon"), ZONE, True).alias("p"))
     return utm.select("c_custkey", r("p.east", 4).alias("east"), r("p.north", 4).alias("north"))
 
 
-@query(f"WITH {_PTS} SELECT c_custkey, round(lat, 8) AS lat, round(lon, 8) AS lon FROM p")
+@query(f"WITH {_PTS} SELECT c_custkey, round(lat, 8) + 0 AS lat, round(lon, 8) + 0 AS lon FROM p")
 def utm_roundtrip(spark, d):
     utm = _points(spark, d).select("c_custkey", geodesy.to_utm(F.col("lat"), F.col("lon"), ZONE, True).alias("p"))
     back = utm.select("c_custkey", geodesy.from_utm(F.col("p.east"), F.col("p.north"), ZONE, True).alias("q"))
@@ -133,7 +133,7 @@ def utm_roundtrip(spark, d):
 # --- nations as perspective cameras ---------------------------------------------------------------------------
 
 
-@query(f"WITH {CAMERA_SQL} SELECT k, round(r11, 6) + 0 AS r11, round(r12, 6) + 0 AS r12, round(r13, 6) + 0 AS r13, round(r23, 6) + 0 AS r23, round(r31, 6) + 0 AS r31, round(qw, 6) AS qw, round(qx, 6) + 0 AS qx, round(qy, 6) + 0 AS qy, round(qz, 6) + 0 AS qz FROM cam")
+@query(f"WITH {CAMERA_SQL} SELECT k, round(r11, 6) + 0 AS r11, round(r12, 6) + 0 AS r12, round(r13, 6) + 0 AS r13, round(r23, 6) + 0 AS r23, round(r31, 6) + 0 AS r31, round(qw, 6) + 0 AS qw, round(qx, 6) + 0 AS qx, round(qy, 6) + 0 AS qy, round(qz, 6) + 0 AS qz FROM cam")
 def quat_rotmat(spark, d):
     """Rotation matrix, and the quaternion that the matrix gives back."""
     c = sparse.camera_columns(F.col("camera"))
@@ -161,8 +161,8 @@ def projection_matrix(spark, d):
 @query(f"""WITH {CAMERA_SQL}, f AS (SELECT k, -cx / fx AS x0, 1 / fx AS ux, -s / (fx * fy) AS uy, w, h, cx, cy, fx, fy, s FROM cam),
            v AS (SELECT k, (0 - cx - s * (h / 2 - cy) / fy) / fx AS lx, (w - cx - s * (h / 2 - cy) / fy) / fx AS rx, (h / 2 - cy) / fy AS my,
                         (w / 2 - cx - s * (0 - cy) / fy) / fx AS ax, (0 - cy) / fy AS ay, (w / 2 - cx - s * (h - cy) / fy) / fx AS bx, (h - cy) / fy AS by_ FROM f)
-           SELECT k, round(degrees(acos((lx * rx + my * my + 1) / sqrt((lx * lx + my * my + 1) * (rx * rx + my * my + 1)))), 6) AS left_right,
-                  round(degrees(acos((ax * bx + ay * by_ + 1) / sqrt((ax * ax + ay * ay + 1) * (bx * bx + by_ * by_ + 1)))), 6) AS up_down FROM v""")
+           SELECT k, round(degrees(acos((lx * rx + my * my + 1) / sqrt((lx * lx + my * my + 1) * (rx * rx + my * my + 1)))), 6) + 0 AS left_right,
+                  round(degrees(acos((ax * bx + ay * by_ + 1) / sqrt((ax * ax + ay * ay + 1) * (bx * bx + by_ * by_ + 1)))), 6) + 0 AS up_down FROM v""")
 def fov_angles(spark, d):
     c = sparse.camera_columns(F.col("camera"))
     a, b = sparse.field_of_view(c["k"], c["w"], c["h"])
@@ -171,7 +171,7 @@ def fov_angles(spark, d):
 
 @query(f"""WITH {CAMERA_SQL}, c AS (SELECT k, -(r11 * tx + r21 * ty + r31 * tz) AS x, -(r12 * tx + r22 * ty + r32 * tz) AS y, -(r13 * tx + r23 * ty + r33 * tz) AS z FROM cam),
            a AS (SELECT a.k AS i, b.k AS j, degrees(acos(least(1, greatest(-1, (a.x * b.x + a.y * b.y + a.z * b.z) / (sqrt(a.x * a.x + a.y * a.y + a.z * a.z) * sqrt(b.x * b.x + b.y * b.y + b.z * b.z)))))) AS angle FROM c a JOIN c b ON a.k < b.k)
-           SELECT i, j, round(angle, 4) AS angle FROM a UNION ALL SELECT j, i, round(angle, 4) FROM a UNION ALL SELECT k, k, 0.0 FROM c""")
+           SELECT i, j, round(angle, 4) + 0 AS angle FROM a UNION ALL SELECT j, i, round(angle, 4) FROM a UNION ALL SELECT k, k, 0.0 FROM c""")
 def pairwise_angles(spark, d):
     c = sparse.camera_columns(F.col("camera"))
     v = cameras(spark, d).select("k", F.array(*la.camera_center(c["r"], c["t"])).alias("v"))
@@ -216,7 +216,7 @@ _INV = "[1.0 + k / 100.0::DOUBLE, 0.01, -5.0, 0.001, 0.02, 1.0 - k / 100.0::DOUB
 
 @query(f"""WITH m AS (SELECT n_nationkey AS k, {_INV}::DOUBLE[] AS m FROM nation), o AS (SELECT l_orderkey, l_linenumber, s_nationkey AS k, l_quantity AS c, (l_partkey % 100)::DOUBLE AS r, l_discount * 100 - 1 AS z FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_discount * 100 - 1 > 0),
            v AS (SELECT *, m[13] * c + m[14] * r + m[15] + m[16] * z AS w FROM o JOIN m USING (k))
-           SELECT l_orderkey, l_linenumber, round((m[1] * c + m[2] * r + m[3] + m[4] * z) / w, 6) AS x, round((m[5] * c + m[6] * r + m[7] + m[8] * z) / w, 6) AS y, round((m[9] * c + m[10] * r + m[11] + m[12] * z) / w, 6) AS z FROM v""")
+           SELECT l_orderkey, l_linenumber, round((m[1] * c + m[2] * r + m[3] + m[4] * z) / w, 6) + 0 AS x, round((m[5] * c + m[6] * r + m[7] + m[8] * z) / w, 6) + 0 AS y, round((m[9] * c + m[10] * r + m[11] + m[12] * z) / w, 6) + 0 AS z FROM v""")
 def depth_unproject(spark, d):
     k = F.col("n_nationkey")
     m = table(spark, d, "nation").select(k.alias("view"), F.array(1 + k / 100.0, *[F.lit(x) for x in (0.01, -5.0, 0.001, 0.02)], 1 - k / 100.0, *[F.lit(x) for x in (3.0, 0.002, 0.0, 0.001, 1.0, 0.5, 0.0001, 0.0, 1.0, 0.001)]).alias("m"))
@@ -247,7 +247,7 @@ def _observed(spark, d):
 
 
 @query(f"""WITH {_REPARAM}, rp AS {_range_sql('pd', 'img', 'pd', '30')}
-           SELECT img, round(raw.lo, 4) AS raw_min, round(raw.hi, 4) AS raw_max, round(rp.lo, 4) AS plane_min, round(rp.hi, 4) AS plane_max, round(-raw.lo * z_ref, 4) AS last FROM raw JOIN rp USING (img), zr""")
+           SELECT img, round(raw.lo, 4) + 0 AS raw_min, round(raw.hi, 4) + 0 AS raw_max, round(rp.lo, 4) + 0 AS plane_min, round(rp.hi, 4) + 0 AS plane_max, round(-raw.lo * z_ref, 4) + 0 AS last FROM raw JOIN rp USING (img), zr""")
 def reparam_depth(spark, d):
     obs = _observed(spark, d)
     got = depth.reparametrised(obs, obs)
@@ -256,7 +256,7 @@ def reparam_depth(spark, d):
     return name(got["raw"], "raw_min", "raw_max").join(name(got["reparam"], "plane_min", "plane_max"), "img").join(last, "img")
 
 
-@query(f"WITH {_REPARAM}, l AS (SELECT pd FROM pd WHERE place = track_len - 1) SELECT round(lo, 4) AS depth_min, round(hi, 4) AS depth_max FROM {_range_sql('l', '', 'pd', '100')}")
+@query(f"WITH {_REPARAM}, l AS (SELECT pd FROM pd WHERE place = track_len - 1) SELECT round(lo, 4) + 0 AS depth_min, round(hi, 4) + 0 AS depth_max FROM {_range_sql('l', '', 'pd', '100')}")
 def common_range(spark, d):
     obs = _observed(spark, d)
     return depth.reparametrised(obs, obs)["common"].select(r("depth_min", 4).alias("depth_min"), r("depth_max", 4).alias("depth_max"))
@@ -269,7 +269,7 @@ _SEEN = "l_quantity AS x, l_discount * 100 AS y, l_extendedprice / 1000 AS z"
            a AS (SELECT o.*, fx, fy, cx, cy, s, r11 * x + r12 * y + r13 * z + tx AS lx, r21 * x + r22 * y + r23 * z + ty AS ly, r31 * x + r32 * y + r33 * z + tz AS lz, (row - cy) / fy AS v, (col - cx - s * (row - cy) / fy) / fx AS u FROM o JOIN cam USING (k)),
            b AS (SELECT *, (lx * u + ly * v + lz) / (u * u + v * v + 1) AS f, sqrt(power((fx * lx + s * ly + cx * lz) / lz - col, 2) + power((fy * ly + cy * lz) / lz - row, 2)) AS proj FROM a),
            c AS (SELECT *, sqrt(power(u * f - lx, 2) + power(v * f - ly, 2) + power(f - lz, 2)) AS inv FROM b)
-           SELECT l_suppkey, round(avg(proj), 4) AS mean_proj, round(median(proj), 4) AS median_proj, round(max(proj), 4) AS max_proj, round(avg(inv), 4) AS mean_inv, round(median(inv), 4) AS median_inv, round(max(inv), 4) AS max_inv FROM c GROUP BY 1""")
+           SELECT l_suppkey, round(avg(proj), 4) + 0 AS mean_proj, round(median(proj), 4) + 0 AS median_proj, round(max(proj), 4) + 0 AS max_proj, round(avg(inv), 4) + 0 AS mean_inv, round(median(inv), 4) + 0 AS median_inv, round(max(inv), 4) + 0 AS max_inv FROM c GROUP BY 1""")
 def camera_error(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("k"))
     o = table(spark, d, "lineitem").join(s, "l_suppkey").select("l_suppkey", "k", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_extendedprice") / 1000).alias("z"), (F.col("l_tax") * 4000).alias("col"), (F.col("l_linenumber") * 60.0).alias("row"))
@@ -293,8 +293,8 @@ def _affine_sql() -> str:
     return f"""WITH o AS (SELECT l_suppkey, {_SEEN}, l_tax * 400 + l_quantity AS col, l_linenumber * 6.0::DOUBLE - l_extendedprice / 3000 AS row FROM lineitem),
         c AS (SELECT *, {', '.join(d.values())} FROM o WINDOW g AS (PARTITION BY l_suppkey)),
         s AS (SELECT l_suppkey, count(*)::BIGINT AS n, {', '.join(f'avg({c}) AS m{c}' for c in (*_C, 'col', 'row'))}, {s} FROM c GROUP BY 1)
-        SELECT l_suppkey, n, round({gx('col')}, 4) AS p1, round({gy('col')}, 4) AS p2, round({gz('col')}, 4) AS p3, round(mcol - {gx('col')} * mx - {gy('col')} * my - {gz('col')} * mz, 4) AS p4,
-               round({gx('row')}, 4) AS p5, round({gz('row')}, 4) AS p7 FROM s"""
+        SELECT l_suppkey, n, round({gx('col')}, 4) + 0 AS p1, round({gy('col')}, 4) + 0 AS p2, round({gz('col')}, 4) + 0 AS p3, round(mcol - {gx('col')} * mx - {gy('col')} * my - {gz('col')} * mz, 4) + 0 AS p4,
+               round({gx('row')}, 4) + 0 AS p5, round({gz('row')}, 4) + 0 AS p7 FROM s"""
 
 
 @query(_affine_sql())
@@ -304,7 +304,7 @@ def affine_fit(spark, d):
     return out.select("l_suppkey", "n", *[r(F.col("p")[i - 1], 4).alias(f"p{i}") for i in (1, 2, 3, 4, 5, 7)])
 
 
-@query(f"WITH {CAMERA_SQL} SELECT k, true AS fitted, round(fx, 3) AS fx, round(cy, 3) AS cy, round(tz, 3) AS tz FROM cam")
+@query(f"WITH {CAMERA_SQL} SELECT k, true AS fitted, round(fx, 3) + 0 AS fx, round(cy, 3) + 0 AS cy, round(tz, 3) + 0 AS tz FROM cam")
 def dlt_fit(spark, d):
     """Exact projections of a lattice of 350 points by each nation's camera: the fit gives the camera back."""
     c = sparse.camera_columns(F.col("camera"))

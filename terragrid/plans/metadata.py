@@ -35,7 +35,7 @@ def inimage_mask(spark, d):
     return pix.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_all"), F.count(F.when(ok, 1)).alias("n_inside"))
 
 
-@query("""SELECT event_type, count(*)::BIGINT AS n, count(v)::BIGINT AS n_valid, round(max(v), 6) AS top
+@query("""SELECT event_type, count(*)::BIGINT AS n, count(v)::BIGINT AS n_valid, round(max(v), 6) + 0 AS top
           FROM (SELECT event_type, CASE WHEN abs(z + 10000) <= 1e-8 + 1e-5 * 10000 THEN NULL ELSE z END AS v
                 FROM (SELECT event_type, CASE WHEN event_id % 3 = 0 THEN -10000.00001::DOUBLE ELSE value END AS z FROM events)) GROUP BY 1""")
 def nodata_null(spark, d):
@@ -65,7 +65,7 @@ def clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(names.clean_text(F.col("text")).cast("binary")).alias("cleaned"))
 
 
-@query("""SELECT n_nationkey, len(v)::BIGINT AS n, round(list_sum(v), 6) AS total, v[2] AS second
+@query("""SELECT n_nationkey, len(v)::BIGINT AS n, round(list_sum(v), 6) + 0 AS total, v[2] AS second
           FROM (SELECT n_nationkey, list_transform(regexp_split_to_array(trim('  1.5  -2.5e-3 ' || n_nationkey || '   ' || n_name || ' 7'), '\\s+'), lambda x: TRY_CAST(x AS DOUBLE)) AS v FROM nation)""")
 def meta_parse(spark, d):
     n = table(spark, d, "nation")
@@ -75,7 +75,7 @@ def meta_parse(spark, d):
     return n.select("n_nationkey", long(F.size("v")).alias("n"), r(total).alias("total"), F.col("v")[1].alias("second"))
 
 
-@query("""SELECT round(max(o - s), 6) AS alt_min, round(min(o + s), 6) AS alt_max
+@query("""SELECT round(max(o - s), 6) + 0 AS alt_min, round(min(o + s), 6) + 0 AS alt_max
           FROM (SELECT TRY_CAST(CASE WHEN p_size % 17 = 0 THEN 'bad' ELSE p_size::VARCHAR END AS DOUBLE) * 10 AS s, p_retailprice / 100 AS o FROM part) WHERE s IS NOT NULL""")
 def alt_intersection(spark, d):
     p = table(spark, d, "part")
@@ -95,7 +95,7 @@ def bbox_minmax(spark, d):
           o AS (SELECT p_partkey, w, h, aw, ah, greatest(x, ax) AS ox, greatest(y, ay) AS oy, least(x + w - 1, ax + aw - 1) AS ex, least(y + h - 1, ay + ah - 1) AS ey FROM b JOIN a USING (p_brand)),
           i AS (SELECT *, ex > ox AND ey > oy AS ok, ((ex - ox + 1) * (ey - oy + 1))::DOUBLE AS area FROM o)
           SELECT p_partkey, (CASE WHEN ok THEN ox ELSE -1 END)::BIGINT AS x, (CASE WHEN ok THEN oy ELSE -1 END)::BIGINT AS y, (CASE WHEN ok THEN ex - ox + 1 ELSE -1 END)::BIGINT AS w, (CASE WHEN ok THEN ey - oy + 1 ELSE -1 END)::BIGINT AS h,
-                 round(CASE WHEN ok THEN area / (w * h) ELSE 0 END, 6) AS first, round(CASE WHEN ok THEN area / (aw * ah) ELSE 0 END, 6) AS second,
+                 round(CASE WHEN ok THEN area / (w * h) ELSE 0 END, 6) + 0 AS first, round(CASE WHEN ok THEN area / (aw * ah) ELSE 0 END, 6) + 0 AS second,
                  (CASE WHEN ok THEN area / (aw * ah) ELSE 0 END) >= 0.8 AS covered FROM i""")
 def bbox_overlap(spark, d):
     b = table(spark, d, "part").select("p_partkey", "p_brand", long(F.col("p_partkey") % 40).alias("x"), long(F.col("p_size")).alias("y"), long(20 + F.col("p_partkey") % 31).alias("w"), long(10 + F.col("p_size")).alias("h"))
@@ -111,7 +111,7 @@ def projected_bbox(spark, d):
     return meta.rounded_box(table(spark, d, "lineitem"), ["l_suppkey"], F.col("l_quantity") / 2 - 20.5, F.col("l_linenumber") + 0.5)
 
 
-@query("SELECT s_suppkey, round(s_acctbal - s_suppkey % 13, 6) AS col_off, round(s_acctbal / 2 - s_nationkey, 6) AS row_off, 10.0::DOUBLE AS col_scale FROM supplier")
+@query("SELECT s_suppkey, round(s_acctbal - s_suppkey % 13, 6) + 0 AS col_off, round(s_acctbal / 2 - s_nationkey, 6) + 0 AS row_off, 10.0::DOUBLE AS col_scale FROM supplier")
 def crop_rebase(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.struct(F.col("s_acctbal").alias("colOff"), (F.col("s_acctbal") / 2).alias("rowOff"), F.lit(10.0).alias("colScale")).alias("rpc"))
     s = meta.crop_rebase(s, "rpc", F.col("s_suppkey") % 13, F.col("s_nationkey"))
@@ -124,7 +124,7 @@ def chrono_index(spark, d):
     return meta.chronological(o, "o_orderdate", "o_orderkey", ["o_custkey"]).drop("o_orderdate")
 
 
-@query("""SELECT event_id, round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 6) AS since_last, round((epoch_us(ts) - epoch_us(first_value(ts) OVER w)) / 1e6, 6) AS since_start
+@query("""SELECT event_id, round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 6) + 0 AS since_last, round((epoch_us(ts) - epoch_us(first_value(ts) OVER w)) / 1e6, 6) + 0 AS since_start
           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def milestones(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts")
@@ -132,13 +132,13 @@ def milestones(spark, d):
 
 
 @query("""WITH s AS (SELECT event_type AS step, count(*)::BIGINT AS n, count(*) FILTER (WHERE event_id % 4 <> 0)::BIGINT AS n_run, sum(CASE WHEN event_id % 4 <> 0 THEN value ELSE 0 END) AS m FROM events GROUP BY 1)
-          SELECT step, n, n_run, round(m, 4) AS minutes FROM s UNION ALL SELECT 'total', sum(n)::BIGINT, sum(n_run)::BIGINT, round(sum(m), 4) FROM s""")
+          SELECT step, n, n_run, round(m, 4) + 0 AS minutes FROM s UNION ALL SELECT 'total', sum(n)::BIGINT, sum(n_run)::BIGINT, round(sum(m), 4) FROM s""")
 def step_report(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("step"), (F.col("event_id") % 4 != 0).alias("has_run"), F.col("value").alias("minutes"))
     return meta.step_report(e).select("step", "n", "n_run", r("minutes", 4).alias("minutes"))
 
 
-@query("SELECT k AS n_nationkey, img, round(w, 6) AS w, round(fx, 6) AS fx, round(cy, 6) AS cy, round(s, 6) AS s, round(x, 6) AS qy, round(tz, 6) AS tz FROM (SELECT n_nationkey AS k, n_name AS img, 640 + n_nationkey::DOUBLE AS w, 1000 + 10 * n_nationkey::DOUBLE AS fx, 240 - n_nationkey::DOUBLE AS cy, n_nationkey / 10.0::DOUBLE AS s, n_nationkey / 50.0::DOUBLE AS x, 100 + n_nationkey::DOUBLE AS tz FROM nation)")
+@query("SELECT k AS n_nationkey, img, round(w, 6) + 0 AS w, round(fx, 6) + 0 AS fx, round(cy, 6) + 0 AS cy, round(s, 6) + 0 AS s, round(x, 6) + 0 AS qy, round(tz, 6) + 0 AS tz FROM (SELECT n_nationkey AS k, n_name AS img, 640 + n_nationkey::DOUBLE AS w, 1000 + 10 * n_nationkey::DOUBLE AS fx, 240 - n_nationkey::DOUBLE AS cy, n_nationkey / 10.0::DOUBLE AS s, n_nationkey / 50.0::DOUBLE AS x, 100 + n_nationkey::DOUBLE AS tz FROM nation)")
 def camera_dict(spark, d):
     c = cameras(spark, d)
     cams = c.select(F.col("k").alias("camera_id"), F.col("camera")[0].alias("width"), F.col("camera")[1].alias("height"), F.slice("camera", 3, 5).alias("params"))
@@ -148,7 +148,7 @@ def camera_dict(spark, d):
     return out.select("n_nationkey", "img", *[r(F.col("camera")[i]).alias(n) for n, i in at.items()])
 
 
-@query("SELECT s_suppkey, 0.5::DOUBLE AS d_cx, round(-s_nationkey / 4.0::DOUBLE, 6) AS d_cy FROM supplier")
+@query("SELECT s_suppkey, 0.5::DOUBLE AS d_cx, round(-s_nationkey / 4.0::DOUBLE, 6) + 0 AS d_cy FROM supplier")
 def camera_delta(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("img"), "s_nationkey", F.col("s_acctbal").alias("cx"), (F.col("s_acctbal") * 2).alias("cy"))
     after = s.select("img", (F.col("cx") + 0.5).alias("cx"), (F.col("cy") - F.col("s_nationkey") / 4).alias("cy"))
@@ -170,7 +170,7 @@ def pair_codec(spark, d):
     return rows.select("*", a.alias("id1"), b.alias("id2"))
 
 
-@query("SELECT i::INT AS i, j::INT AS j, k::INT AS k, round(i * 0.5 / 99 + 1, 6) AS x, round(k * 30.0 / 19 - 10, 6) AS z FROM range(100) a(i), range(100) b(j), range(20) c(k)")
+@query("SELECT i::INT AS i, j::INT AS j, k::INT AS k, round(i * 0.5 / 99 + 1, 6) + 0 AS x, round(k * 30.0 / 19 - 10, 6) + 0 AS z FROM range(100) a(i), range(100) b(j), range(20) c(k)")
 def lattice(spark, d):
     grid = raster.lattice(spark, 100, 100, 20).toDF("i", "j", "k")
     return grid.select("i", "j", "k", r(raster.linspace(F.col("i"), 1.0, 1.5, 100)).alias("x"), r(raster.linspace(F.col("k"), -10.0, 20.0, 20)).alias("z"))

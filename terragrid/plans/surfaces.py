@@ -26,7 +26,7 @@ def _stack(spark, d):
 
 @query(f"""WITH {_STACK}, m AS (SELECT *, count(*) OVER c AS n, median(z) OVER c AS med FROM g WINDOW c AS (PARTITION BY row, col)),
            k AS (SELECT *, abs(z - med) AS dev FROM m WHERE n >= 3), s AS (SELECT *, median(dev) OVER (PARTITION BY row, col) AS mad FROM k)
-           SELECT row, col, round(avg(z), 4) AS z, any_value(n)::BIGINT AS n FROM s WHERE dev <= mad GROUP BY row, col""")
+           SELECT row, col, round(avg(z), 4) + 0 AS z, any_value(n)::BIGINT AS n FROM s WHERE dev <= mad GROUP BY row, col""")
 def mad_fuse(spark, d):
     return robust.mad_fuse(_stack(spark, d), ["row", "col"], "z").select("row", "col", r("z", 4).alias("z"), "n")
 
@@ -44,7 +44,7 @@ def grid_dense(spark, d):
     return raster.densify(_grid(spark, d), ROWS, COLS)
 
 
-@query(f"WITH {_GRID} SELECT 60000::BIGINT AS n_cells, round(1 - (SELECT count(*) FROM g) / 60000.0::DOUBLE, 6) AS void_ratio")
+@query(f"WITH {_GRID} SELECT 60000::BIGINT AS n_cells, round(1 - (SELECT count(*) FROM g) / 60000.0::DOUBLE, 6) + 0 AS void_ratio")
 def void_ratio(spark, d):
     return raster.void_ratio(raster.densify(_grid(spark, d), ROWS, COLS), []).select("n_cells", r("void_ratio").alias("void_ratio"))
 
@@ -54,14 +54,14 @@ _OFF = "o AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j))"
 
 @query(f"""WITH {_GRID}, {_OFF},
            f AS (SELECT g.row + i AS row, g.col + j AS col, median(z) AS z FROM g, o WHERE g.row + i BETWEEN 0 AND 299 AND g.col + j BETWEEN 0 AND 199 GROUP BY 1, 2)
-           SELECT row::INT AS row, col::INT AS col, round(z, 4) AS z FROM g UNION ALL
+           SELECT row::INT AS row, col::INT AS col, round(z, 4) + 0 AS z FROM g UNION ALL
            SELECT f.row::INT, f.col::INT, round(f.z, 4) FROM f ANTI JOIN g ON f.row = g.row AND f.col = g.col""")
 def hole_fill(spark, d):
     return raster.hole_fill(_grid(spark, d), ROWS, COLS).select("row", "col", r("z", 4).alias("z"))
 
 
 @query(f"""WITH {_GRID}, {_OFF}, p AS (SELECT row, col, least(299, greatest(0, row + i)) AS y, least(199, greatest(0, col + j)) AS x FROM g, o)
-           SELECT p.row::INT AS row, p.col::INT AS col, round(median(g.z), 4) AS z FROM p JOIN g ON g.row = p.y AND g.col = p.x GROUP BY 1, 2""")
+           SELECT p.row::INT AS row, p.col::INT AS col, round(median(g.z), 4) + 0 AS z FROM p JOIN g ON g.row = p.y AND g.col = p.x GROUP BY 1, 2""")
 def median3x3(spark, d):
     return raster.median3x3(_grid(spark, d), ROWS, COLS).select("row", "col", r("z", 4).alias("z"))
 
@@ -73,7 +73,7 @@ def cell_coords(spark, d):
     return _grid(spark, d).select("row", "col", east.alias("east"), north.alias("north"), "z", rows.alias("n_rows"), cols.alias("n_cols"))
 
 
-@query("SELECT l_linenumber AS plane, (l_partkey % 40)::INT AS row, (l_suppkey % 25)::INT AS col, round(avg(l_extendedprice) + 1e-7::DOUBLE, 4) AS mean, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2, 3")
+@query("SELECT l_linenumber AS plane, (l_partkey % 40)::INT AS row, (l_suppkey % 25)::INT AS col, round(avg(l_extendedprice) + 1e-7::DOUBLE, 4) + 0 AS mean, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2, 3")
 def stack_mean(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("plane"), (F.col("l_partkey") % 40).cast("int").alias("row"), (F.col("l_suppkey") % 25).cast("int").alias("col"), "l_extendedprice")
     return rows.groupBy("plane", "row", "col").agg(r(F.avg("l_extendedprice") + 1e-7, 4).alias("mean"), F.count(F.lit(1)).alias("n"))
@@ -86,8 +86,8 @@ def stamp_coverage(spark, d):
     return raster.stamp(p, ["p_brand"], F.col("p_size") * 4, F.col("p_partkey") % 97, 5, F.lit(180), F.lit(90))
 
 
-@query("""SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.01), 6) AS p1, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99,
-                 round(quantile_cont(l_extendedprice, 0.005), 6) AS p05, round(quantile_cont(l_extendedprice, 0.995), 6) AS p995 FROM lineitem GROUP BY 1""")
+@query("""SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.01), 6) + 0 AS p1, round(quantile_cont(l_extendedprice, 0.99), 6) + 0 AS p99,
+                 round(quantile_cont(l_extendedprice, 0.005), 6) + 0 AS p05, round(quantile_cont(l_extendedprice, 0.995), 6) + 0 AS p995 FROM lineitem GROUP BY 1""")
 def percentile_linear(spark, d):
     out = robust.percentiles(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", {"p1": 0.01, "p99": 0.99, "p05": 0.005, "p995": 0.995})
     return out.select("l_suppkey", *[r(c).alias(c) for c in ("p1", "p99", "p05", "p995")])
@@ -95,7 +95,7 @@ def percentile_linear(spark, d):
 
 @query("""WITH k AS (SELECT l_suppkey, v, row_number() OVER (PARTITION BY l_suppkey ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n
                      FROM (SELECT l_suppkey, l_extendedprice - 2000 AS v FROM lineitem) WHERE v > 0)
-          SELECT l_suppkey, round(max(v) FILTER (WHERE i = floor(0.02::DOUBLE * n)) - 10, 4) AS depth_min, round(max(v) FILTER (WHERE i = floor(0.98::DOUBLE * n)) + 30, 4) AS depth_max FROM k GROUP BY 1""")
+          SELECT l_suppkey, round(max(v) FILTER (WHERE i = floor(0.02::DOUBLE * n)) - 10, 4) + 0 AS depth_min, round(max(v) FILTER (WHERE i = floor(0.98::DOUBLE * n)) + 30, 4) + 0 AS depth_max FROM k GROUP BY 1""")
 def nearest_rank_range(spark, d):
     rows = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_extendedprice") - 2000).alias("depth"))
     return robust.index_percentile_range(rows, ["l_suppkey"], "depth").select("l_suppkey", r("depth_min", 4).alias("depth_min"), r("depth_max", 4).alias("depth_max"))
@@ -109,14 +109,14 @@ def tone_map(spark, d):
     return raster.tone_map(rows, ["l_suppkey"], "l_extendedprice").select("l_orderkey", "l_linenumber", "byte")
 
 
-@query("SELECT l_suppkey, round(avg(CASE WHEN l_discount = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS blank_ratio, avg(CASE WHEN l_discount = 0 THEN 1.0::DOUBLE ELSE 0 END) > 0.2::DOUBLE AS dropped FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey, round(avg(CASE WHEN l_discount = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) + 0 AS blank_ratio, avg(CASE WHEN l_discount = 0 THEN 1.0::DOUBLE ELSE 0 END) > 0.2::DOUBLE AS dropped FROM lineitem GROUP BY 1")
 def blank_ratio(spark, d):
     out = raster.blank_ratio(table(spark, d, "lineitem"), ["l_suppkey"], F.floor(F.col("l_discount") * 100 + 0.5))
     return out.select("l_suppkey", r("blank_ratio").alias("blank_ratio"), (F.col("blank_ratio") > 0.2).alias("dropped"))
 
 
 @query("""WITH b AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM (SELECT least(greatest(l_extendedprice, 2000), 80000) AS x FROM lineitem))
-          SELECT least(49, floor((least(greatest(l_extendedprice, 2000), 80000) - lo) * 50 / (hi - lo)))::INT AS bin, count(*)::BIGINT AS n, round(count(*) / (any_value(b.n) * ((any_value(hi) - any_value(lo)) / 50)) * 1e6, 6) AS density
+          SELECT least(49, floor((least(greatest(l_extendedprice, 2000), 80000) - lo) * 50 / (hi - lo)))::INT AS bin, count(*)::BIGINT AS n, round(count(*) / (any_value(b.n) * ((any_value(hi) - any_value(lo)) / 50)) * 1e6, 6) + 0 AS density
           FROM lineitem, b GROUP BY 1""")
 def histogram50(spark, d):
     out = robust.histogram(table(spark, d, "lineitem"), "l_extendedprice", 50, 2000.0, 80000.0)

@@ -54,15 +54,15 @@ def _observed(spark, d):
     return rows.join(n, "l_orderkey").select("l_suppkey", "l_orderkey", (F.abs(F.col("l_discount") - F.col("l_tax")) * 10).alias("err"), "track_len")
 
 
-@query(f"WITH {_OBS} SELECT l_suppkey, count(*)::BIGINT AS n, round(avg(err), 6) AS mean_err, round(median(err), 6) AS median_err, round(avg(track_len), 6) AS mean_len, median(track_len) AS median_len FROM o GROUP BY 1")
+@query(f"WITH {_OBS} SELECT l_suppkey, count(*)::BIGINT AS n, round(avg(err), 6) + 0 AS mean_err, round(median(err), 6) + 0 AS median_err, round(avg(track_len), 6) + 0 AS mean_len, median(track_len) AS median_len FROM o GROUP BY 1")
 def view_stats(spark, d):
     out = sparse.view_stats(_observed(spark, d), ["l_suppkey"])
     return out.select("l_suppkey", "n", r("mean_err").alias("mean_err"), r("median_err").alias("median_err"), r("mean_len").alias("mean_len"), "median_len")
 
 
 @query("""WITH p AS (SELECT l_orderkey, max(l_discount) AS error, count(*) AS track_len FROM lineitem GROUP BY 1)
-          SELECT min(error) AS min_error, round(avg(error), 6) AS mean_error, median(error) AS median_error, max(error) AS max_error,
-                 min(track_len)::BIGINT AS min_track_len, round(avg(track_len), 6) AS mean_track_len, median(track_len) AS median_track_len, max(track_len)::BIGINT AS max_track_len FROM p""")
+          SELECT min(error) AS min_error, round(avg(error), 6) + 0 AS mean_error, median(error) AS median_error, max(error) AS max_error,
+                 min(track_len)::BIGINT AS min_track_len, round(avg(track_len), 6) + 0 AS mean_track_len, median(track_len) AS median_track_len, max(track_len)::BIGINT AS max_track_len FROM p""")
 def track_stats(spark, d):
     p = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_discount").alias("error"), F.count(F.lit(1)).alias("track_len"))
     out = sparse.track_stats(p)
