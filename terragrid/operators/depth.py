@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg as la
-from .robust import index_percentile_range
+from .robust import global_percentiles, index_percentile_range
 
 
 def positive(depth: Column) -> Column:
@@ -23,9 +23,10 @@ def unproject(depth: DataFrame, matrices: DataFrame, key: str = "view", carry: t
     return rows.select(key, "row", "col", *carry, *out).where("z is not null")
 
 
-def reference_height(points: DataFrame, z: str = "z", share: float = 0.01, margin: float = 20.0) -> DataFrame:
-    """One row z_ref: low percentile of all heights less a margin."""
-    return points.agg((F.percentile(z, share) - margin).alias("z_ref"))
+def reference_height(points: DataFrame, z: str = "z", share: float = 0.01, margin: float = 20.0) -> Column:
+    """Low percentile of all heights less a margin; null without points."""
+    (low,) = global_percentiles(points, z, [share])
+    return F.lit(None if low is None else low - margin).cast("double")
 
 
 def reparametrised(obs: DataFrame, points: DataFrame, key: str = "img") -> dict[str, DataFrame]:
@@ -37,9 +38,9 @@ def reparametrised(obs: DataFrame, points: DataFrame, key: str = "img") -> dict[
     """
     raw = index_percentile_range(obs, [key], "depth")
     ref = reference_height(points)
-    plane = obs.join(raw.select(key, "depth_min"), key).join(F.broadcast(ref))
-    plane = plane.withColumn("plane_depth", F.try_divide(F.col("depth_min") * (F.col("z") - F.col("z_ref")), F.col("w")))
-    last = raw.join(F.broadcast(ref)).select(key, F.array(F.lit(0.0), F.lit(0.0), F.col("depth_min"), -F.col("depth_min") * F.col("z_ref")).alias("last_row"))
+    plane = obs.join(raw.select(key, "depth_min"), key)
+    plane = plane.withColumn("plane_depth", F.try_divide(F.col("depth_min") * (F.col("z") - ref), F.col("w")))
+    last = raw.select(key, F.array(F.lit(0.0), F.lit(0.0), F.col("depth_min"), -F.col("depth_min") * ref).alias("last_row"))
     reparam = index_percentile_range(plane, [key], "plane_depth")
     common = index_percentile_range(plane.where(F.col("place") == F.col("track_len") - 1), [], "plane_depth", 10.0, 100.0)
     return {"raw": raw, "obs": plane, "reparam": reparam, "last_rows": last, "common": common}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.image import clip, gamma, scale_to_byte
+from .robust import global_percentiles, percentiles
 
 _OFFSETS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
@@ -112,7 +113,7 @@ def median3x3(df: DataFrame, rows: int, cols: int, keys: list[str] | None = None
 def tone_map(df: DataFrame, keys: list[str], value: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """All columns and ``byte``: gamma, clipped to two percentiles of its image, 0 to 255 cut off."""
     g = df.withColumn("__g", gamma(F.col(value).cast("double")))
-    cut = g.groupBy(*keys).agg(F.percentile("__g", low).alias("__lo"), F.percentile("__g", high).alias("__hi"))
+    cut = percentiles(g, keys, "__g", {"__lo": low, "__hi": high})
     return g.join(cut, keys).withColumn("byte", scale_to_byte(F.col("__g"), F.col("__lo"), F.col("__hi"))).drop("__g", "__lo", "__hi")
 
 
@@ -123,8 +124,8 @@ def blank_ratio(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
 
 def clip_percentiles(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """All columns and ``clipped``: the value within its two percentiles over all rows."""
-    cut = df.agg(F.percentile(value, low).alias("__lo"), F.percentile(value, high).alias("__hi"))
-    return df.join(F.broadcast(cut)).withColumn("clipped", clip(F.col(value), F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+    lo, hi = global_percentiles(df, value, [low, high])
+    return df.withColumn("clipped", clip(F.col(value), F.lit(lo), F.lit(hi)))
 
 
 def stamp(points: DataFrame, keys: list[str], col: Column, row: Column, radius: int, width: Column, height: Column) -> DataFrame:

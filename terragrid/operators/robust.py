@@ -9,8 +9,70 @@ LOW_SHARE, HIGH_SHARE = 0.02, 0.98
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation, a column for each name in ``shares``."""
-    return df.groupBy(*keys).agg(*[F.percentile(value, p).alias(n) for n, p in shares.items()])
+    """Exact percentiles with linear interpolation by keys, a column for each name in ``shares``.
+
+    Values are sorted within their group and picked by position: one shuffle, and a sort that can
+    spill, where an aggregate would hold every distinct value of a group in memory."""
+    if not keys:
+        got = global_percentiles(df, value, list(shares.values()))
+        return df.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(n) for n, v in zip(shares, got)])
+    own = Window.partitionBy(*keys)
+    ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    ranked = ranked.withColumns({"__i": F.row_number().over(own.orderBy("__v")) - 1, "__n": F.count(F.lit(1)).over(own)})
+
+    def at(p: float) -> Column:
+        place = p * (F.col("__n") - 1)
+        low = F.max(F.when(F.col("__i") == F.floor(place), F.col("__v")))
+        high = F.max(F.when(F.col("__i") == F.ceil(place), F.col("__v")))
+        share = F.max(place - F.floor(place))
+        return low + (high - low) * share
+
+    return ranked.groupBy(*keys).agg(*[at(p).alias(n) for n, p in shares.items()])
+
+
+def global_percentiles(df: DataFrame, value: str, shares: list[float], most: int = 200_000) -> list[float | None]:
+    """Exact percentiles with linear interpolation over all rows, as numbers; NumPy's and SQL's continuous ones.
+
+    An approximate quantile brackets each; rows below the bracket are counted and those inside it
+    counted by value, so what is sorted in one place is at most ``most`` values. A bracket with more is
+    narrowed by the same step on its own rows until it fits or holds one value only."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    n = rows.count()
+    if not n:
+        return [None] * len(shares)
+    wanted = sorted({int(k) for p in shares for k in (p * (n - 1) // 1, -(-p * (n - 1) // 1))})
+    found = _order_statistics(rows, n, wanted, most)
+    out = []
+    for p in shares:
+        place = p * (n - 1)
+        low, high = found[int(place // 1)], found[int(-(-place // 1))]
+        out.append(low + (high - low) * (place - place // 1))
+    return out
+
+
+def _order_statistics(rows: DataFrame, n: int, wanted: list[int], most: int) -> dict[int, float]:
+    """The values at the zero-based places ``wanted`` of the sorted rows (v)."""
+    accuracy = 10_000
+    edge = lambda k, d: min(1.0, max(0.0, k / n + d / accuracy))
+    cuts = rows.agg(F.percentile_approx("v", [edge(k, d) for k in wanted for d in (-2, 2)], accuracy)).first()[0]
+    ends = rows.agg(F.min("v"), F.max("v")).first()
+    brackets = {k: (ends[0] if k <= 2 * n / accuracy else cuts[2 * i], ends[1] if k >= n - 1 - 2 * n / accuracy else cuts[2 * i + 1]) for i, k in enumerate(wanted)}
+    counts = rows.agg(*[c for lo, hi in brackets.values() for c in (F.count(F.when(F.col("v") < lo, 1)), F.count(F.when(F.col("v").between(lo, hi), 1)))]).first()
+    out = {}
+    for i, (k, (lo, hi)) in enumerate(brackets.items()):
+        below, inside = counts[2 * i], counts[2 * i + 1]
+        if lo == hi:
+            out[k] = lo
+        elif inside > most and inside < n:
+            out[k] = _order_statistics(rows.where(F.col("v").between(lo, hi)), inside, [k - below], most)[k - below]
+        else:
+            at = below
+            for v, c in rows.where(F.col("v").between(lo, hi)).groupBy("v").count().orderBy("v").collect():
+                at += c
+                if at > k:
+                    out[k] = v
+                    break
+    return out
 
 
 def index_percentile_range(df: DataFrame, keys: list[str], value: str, below: float = 10.0, above: float = 30.0) -> DataFrame:

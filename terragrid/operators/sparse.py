@@ -25,6 +25,18 @@ def camera_columns(camera: Column) -> dict:
     return {"w": camera[0], "h": camera[1], "k": k, "r": r, "t": [camera[i] for i in range(11, 14)]}
 
 
+def camera_matrices(cameras: DataFrame, camera: str = "camera") -> DataFrame:
+    """``cameras`` with w, h, k (9), r (9) and t (3): each camera's matrices once, before any join to what it sees."""
+    c = camera_columns(F.col(camera))
+    flat = lambda m: F.array(*[x for r in m for x in r])
+    return cameras.withColumns({"w": c["w"], "h": c["h"], "k": flat(c["k"]), "r": flat(c["r"]), "t": F.array(*c["t"])})
+
+
+def matrix(name: str, rows: int = 3, cols: int = 3) -> la.Matrix:
+    """An array column as a matrix."""
+    return [[F.col(name)[i * cols + j] for j in range(cols)] for i in range(rows)]
+
+
 def observations(points: DataFrame, images: DataFrame) -> DataFrame:
     """A row for each entry of each track: point, image name, pixel, and whether the image refers back to the point.
 
@@ -48,12 +60,11 @@ def view_keypoints(obs: DataFrame) -> DataFrame:
 
 def reprojection(obs: DataFrame, cameras: DataFrame) -> DataFrame:
     """obs with depth and err: distance of the pixel to the projected point. cameras: (img, camera array)."""
-    both = obs.join(cameras, "img")
-    c = camera_columns(F.col("camera"))
-    local = [x + t for x, t in zip(la.matvec(c["r"], [F.col("x"), F.col("y"), F.col("z")]), c["t"])]
-    u, v, w = la.matvec(c["k"], local)
+    both = obs.join(camera_matrices(cameras).select("img", "k", "r", "t"), "img")
+    local = [x + F.col("t")[i] for i, x in enumerate(la.matvec(matrix("r"), [F.col("x"), F.col("y"), F.col("z")]))]
+    u, v, w = la.matvec(matrix("k"), local)
     err = F.sqrt(F.pow(F.col("u") - F.try_divide(u, w), 2) + F.pow(F.col("v") - F.try_divide(v, w), 2))
-    return both.withColumns({"depth": local[2], "err": err}).drop("camera")
+    return both.withColumns({"depth": local[2], "err": err}).drop("k", "r", "t")
 
 
 def view_stats(obs: DataFrame, keys: list[str]) -> DataFrame:

@@ -273,9 +273,9 @@ _SEEN = "l_quantity AS x, l_discount * 100 AS y, l_extendedprice / 1000 AS z"
 def camera_error(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("k"))
     o = table(spark, d, "lineitem").join(s, "l_suppkey").select("l_suppkey", "k", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_extendedprice") / 1000).alias("z"), (F.col("l_tax") * 4000).alias("col"), (F.col("l_linenumber") * 60.0).alias("row"))
-    o = o.join(cameras(spark, d), "k")
-    c = sparse.camera_columns(F.col("camera"))
-    proj, inv = sparse.projection_errors(c["k"], c["r"], c["t"], [F.col(a) for a in "xyz"], F.col("col"), F.col("row"))
+    cams = sparse.camera_matrices(cameras(spark, d).withColumnRenamed("k", "cam")).select("cam", F.col("k").alias("km"), "r", "t")
+    o = o.join(cams, o["k"] == cams["cam"])
+    proj, inv = sparse.projection_errors(sparse.matrix("km"), sparse.matrix("r"), [F.col("t")[i] for i in range(3)], [F.col(a) for a in "xyz"], F.col("col"), F.col("row"))
     out = sparse.camera_error(o.select("l_suppkey", proj.alias("p"), inv.alias("i")), ["l_suppkey"], F.col("p"), F.col("i"))
     return out.select("l_suppkey", *[r(c, 4).alias(c) for c in out.columns[1:]])
 

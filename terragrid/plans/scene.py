@@ -81,7 +81,7 @@ def camera_samples(images: DataFrame, area: Area, origin: tuple[float, float, fl
 def perspective_cameras(samples: DataFrame) -> DataFrame:
     """(name, camera pieces, six error figures) of a direct linear fit for each image."""
     cams = fit.dlt_fit(samples, "name").where("k is not null")
-    both = samples.join(cams, "name")
+    both = samples.join(cams, "name")  # matrices are columns of the camera table: computed once a camera
     k, r = ([[F.col(c)[3 * i + j] for j in range(3)] for i in range(3)] for c in ("k", "r"))
     t = [F.col("t")[i] for i in range(3)]
     proj, inv = sparse.projection_errors(k, r, t, [F.col(a) for a in "xyz"], F.col("col"), F.col("row"))
@@ -114,8 +114,8 @@ def fused_surface(depths: DataFrame, matrices: DataFrame, origin: tuple[float, f
 def surface_points(dsm: DataFrame, area: Area) -> DataFrame:
     """(x, y, z, level): UTM points of the valued cells, with the row of the height colour table."""
     east, north = raster.cell_corner(F.col("row"), F.col("col"), area.ul_e, area.ul_n, area.res, area.res)
-    cut = dsm.agg(F.percentile("z", 0.01).alias("lo"), F.percentile("z", 0.99).alias("hi"))
-    return dsm.join(F.broadcast(cut)).select(east.alias("x"), north.alias("y"), "z", image.color_index(F.col("z"), F.col("lo"), F.col("hi")).alias("level"))
+    lo, hi = robust.global_percentiles(dsm, "z", [0.01, 0.99])
+    return dsm.select(east.alias("x"), north.alias("y"), "z", image.color_index(F.col("z"), F.lit(lo).cast("double"), F.lit(hi).cast("double")).alias("level"))
 
 
 def run_steps(spark: SparkSession, steps: dict[str, Callable[[], object]], wanted: dict[str, bool]) -> DataFrame:

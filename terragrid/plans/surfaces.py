@@ -127,6 +127,6 @@ def histogram50(spark, d):
           SELECT least(196, floor((least(greatest(l_extendedprice, lo), hi) - lo) / (hi - lo) * 197 + 1e-9))::BIGINT AS level, count(*)::BIGINT AS n FROM lineitem, c GROUP BY 1""")
 def color_index(spark, d):
     rows = table(spark, d, "lineitem").select("l_extendedprice")
-    cut = rows.agg(F.percentile("l_extendedprice", 0.01).alias("lo"), F.percentile("l_extendedprice", 0.99).alias("hi"))
-    level = image.color_index(F.col("l_extendedprice"), F.col("lo"), F.col("hi"))
-    return rows.join(F.broadcast(cut)).groupBy(long(level).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    lo, hi = robust.global_percentiles(rows, "l_extendedprice", [0.01, 0.99])
+    level = image.color_index(F.col("l_extendedprice"), F.lit(lo), F.lit(hi))
+    return rows.groupBy(long(level).alias("level")).agg(F.count(F.lit(1)).alias("n"))
