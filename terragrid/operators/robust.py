@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOW_SHARE, HIGH_SHARE = 0.02, 0.98
+#: Values that a global order statistic sorts in one place, at most.
+MOST_SORTED = 200_000
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -30,7 +32,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     return ranked.groupBy(*keys).agg(*[at(p).alias(n) for n, p in shares.items()])
 
 
-def global_percentiles(df: DataFrame, value: str, shares: list[float], most: int = 200_000) -> list[float | None]:
+def global_percentiles(df: DataFrame, value: str, shares: list[float], most: int = MOST_SORTED) -> list[float | None]:
     """Exact percentiles with linear interpolation over all rows, as numbers; NumPy's and SQL's continuous ones.
 
     An approximate quantile brackets each; rows below the bracket are counted and those inside it
@@ -76,8 +78,17 @@ def _order_statistics(rows: DataFrame, n: int, wanted: list[int], most: int) ->
 
 
 def index_percentile_range(df: DataFrame, keys: list[str], value: str, below: float = 10.0, above: float = 30.0) -> DataFrame:
-    """(keys, depth_min, depth_max): the sorted values at floor(share * n), stretched; only positive values count."""
-    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    """(keys, depth_min, depth_max): the sorted values at floor(share * n), stretched; only positive values count.
+
+    Without keys one row, found by bracketing: no task sorts all rows; without a value both are null."""
+    if not keys:
+        rows = df.where(F.col(value) > 0).select(F.col(value).cast("double").alias("v"))
+        n = rows.count()
+        places = [int(LOW_SHARE * n), int(HIGH_SHARE * n)]
+        got = _order_statistics(rows, n, sorted(set(places)), MOST_SORTED) if n else {}
+        low, high = (got[k] for k in places) if n else (None, None)
+        return df.sparkSession.range(1).select(F.lit(low and low - below).cast("double").alias("depth_min"), F.lit(high and high + above).cast("double").alias("depth_max"))
+    every = Window.partitionBy(*keys)
     ranked = df.where(F.col(value) > 0).select(*keys, F.col(value).alias("__v"))
     ranked = ranked.withColumns({"__i": F.row_number().over(every.orderBy("__v")) - 1, "__n": F.count(F.lit(1)).over(every)})
     at = lambda p: F.max(F.when(F.col("__i") == F.floor(p * F.col("__n")), F.col("__v")))

@@ -69,11 +69,13 @@ def usable_images(metas: DataFrame, area: Area) -> DataFrame:
 
 
 def camera_samples(images: DataFrame, area: Area, origin: tuple[float, float, float], n: int = GRID_POINTS, heights: int = GRID_HEIGHTS) -> DataFrame:
-    """(name, x, y, z, col, row): lattice points about the origin and where each image sees them, inside it only."""
+    """(name, x, y, z, col, row): lattice points about the origin and where each image sees them, inside it only.
+
+    The lattice has a size that its parameters fix, so it is what is broadcast; images are dealt out."""
     grid = area.lattice(images.sparkSession, n, heights)
     enu = geodesy.geodetic_to_enu(F.col("lat"), F.col("lon"), F.col("alt"), *origin)
     grid = grid.select("lat", "lon", "alt", *[c.alias(a) for c, a in zip(enu, "xyz")])
-    both = grid.crossJoin(F.broadcast(images.select("name", "rpc", "width", "height")))
+    both = images.select("name", "rpc", "width", "height").repartition("name").crossJoin(F.broadcast(grid))
     col, row = rpc.project(F.col("rpc"), F.col("lat"), F.col("lon"), F.col("alt"))
     return both.select("name", "x", "y", "z", col.alias("col"), row.alias("row"), "width", "height").where(image.inside(F.col("col"), F.col("row"), F.col("width"), F.col("height"))).drop("width", "height")
 

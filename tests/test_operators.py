@@ -74,6 +74,20 @@ def test_index_percentiles(spark, n):
     assert [tuple(r) for r in got] == [("a", vals[int(0.02 * n)] - 10, vals[int(0.98 * n)] + 30)]
 
 
+@pytest.mark.parametrize("most", [5, 100_000])
+def test_global_order_statistics(spark, monkeypatch, most):
+    rng = np.random.default_rng(most)
+    x = np.concatenate([rng.normal(50, 20, 3000), np.full(2000, 7.0), [-3.0]])
+    df = spark.createDataFrame([(float(v),) for v in x], "depth double").union(spark.createDataFrame([(None,)], "depth double"))
+    shares = [0.0, 0.01, 0.3, 0.5, 0.995, 1.0]
+    assert robust.global_percentiles(df, "depth", shares, most) == pytest.approx(np.percentile(x, [100 * p for p in shares]).tolist())
+    monkeypatch.setattr(robust, "MOST_SORTED", most)
+    pos = np.sort(x[x > 0])
+    assert tuple(robust.index_percentile_range(df, [], "depth").first()) == (pos[int(0.02 * len(pos))] - 10, pos[int(0.98 * len(pos))] + 30)
+    none = df.where("depth < -99")
+    assert robust.global_percentiles(none, "depth", [0.5]) == [None] and tuple(robust.index_percentile_range(none, [], "depth").first()) == (None, None)
+
+
 def test_percentiles_and_histogram_equal_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(2, 2, 500)
