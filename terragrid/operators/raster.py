@@ -110,6 +110,28 @@ def median3x3(df: DataFrame, rows: int, cols: int, keys: list[str] | None = None
     return near.select(*keys, "row", "col", _median(F.array(*_ALL)).alias("z"))
 
 
+def crop(df: DataFrame, ul_row: int, ul_col: int, rows: int, cols: int) -> DataFrame:
+    """The cells of a window, with row and col from its corner; a filter that reaches the scan."""
+    kept = df.where(F.col("row").between(ul_row, ul_row + rows - 1) & F.col("col").between(ul_col, ul_col + cols - 1))
+    return kept.withColumns({"row": F.col("row") - ul_row, "col": F.col("col") - ul_col})
+
+
+def warp(picture: DataFrame, to_source: list[list[float]], rows: int, cols: int, border: float = 0.0) -> DataFrame:
+    """(row, col, value) of a picture (row, col, value) seen through a homography, bilinear, with a constant border.
+
+    to_source takes a target pixel (col, row, 1) to the source. Each target pixel asks for its
+    four source cells; one join and one sum answer all."""
+    t = lattice(picture.sparkSession, rows, cols).toDF("row", "col")
+    u, v, w = (F.col("col") * a + F.col("row") * b + c for a, b, c in to_source)
+    t = t.select("row", "col", F.try_divide(u, w).alias("x"), F.try_divide(v, w).alias("y")).where("x is not null and y is not null")
+    t = t.withColumns({"x0": F.floor("x"), "y0": F.floor("y")}).withColumns({"fx": F.col("x") - F.col("x0"), "fy": F.col("y") - F.col("y0")})
+    corner = lambda i, j: F.struct((F.col("y0") + i).cast("int").alias("row"), (F.col("x0") + j).cast("int").alias("col"), ((F.col("fy") if i else 1 - F.col("fy")) * (F.col("fx") if j else 1 - F.col("fx"))).alias("share"))
+    asks = t.select("row", "col", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("s"))
+    source = picture.select(F.col("row").alias("srow"), F.col("col").alias("scol"), F.col("value").cast("double").alias("value"))
+    got = asks.join(source, (F.col("s.row") == F.col("srow")) & (F.col("s.col") == F.col("scol")), "left")
+    return got.groupBy("row", "col").agg(F.sum(F.col("s.share") * F.coalesce("value", F.lit(border))).alias("value"))
+
+
 def tone_map(df: DataFrame, keys: list[str], value: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """All columns and ``byte``: gamma, clipped to two percentiles of its image, 0 to 255 cut off."""
     g = df.withColumn("__g", gamma(F.col(value).cast("double")))

@@ -130,3 +130,21 @@ def color_index(spark, d):
     lo, hi = robust.global_percentiles(rows, "l_extendedprice", [0.01, 0.99])
     level = image.color_index(F.col("l_extendedprice"), F.lit(lo), F.lit(hi))
     return rows.groupBy(long(level).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_H = [[0.9, 0.1, 2.5], [-0.05, 1.1, -3.25], [0.0005, -0.0002, 1.0]]
+_SRC = ["({} * col + {} * row + {})".format(*(f"({x})::DOUBLE" for x in h)) for h in _H]
+
+
+@query(f"""WITH {_GRID}, t AS (SELECT i::INT AS row, j::INT AS col FROM range(120) a(i), range(90) b(j)), s AS (SELECT row, col, {_SRC[0]} / {_SRC[2]} AS x, {_SRC[1]} / {_SRC[2]} AS y FROM t),
+           f AS (SELECT *, floor(x) AS x0, floor(y) AS y0 FROM s),
+           c AS (SELECT row, col, y0 + di AS sr, x0 + dj AS sc, (CASE WHEN di = 1 THEN y - y0 ELSE 1 - (y - y0) END) * (CASE WHEN dj = 1 THEN x - x0 ELSE 1 - (x - x0) END) AS share FROM f, range(2) p(di), range(2) q(dj))
+           SELECT c.row, c.col, round(sum(share * coalesce(z, 0)), 4) + 0 AS value FROM c LEFT JOIN g ON g.row = sr AND g.col = sc GROUP BY 1, 2""")
+def image_warp(spark, d):
+    picture = _grid(spark, d).withColumnRenamed("z", "value")
+    return raster.warp(picture, _H, 120, 90).select("row", "col", r("value", 4).alias("value"))
+
+
+@query(f"WITH {_GRID} SELECT row - 50 AS row, col - 30 AS col, z FROM g WHERE row BETWEEN 50 AND 149 AND col BETWEEN 30 AND 109")
+def window_crop(spark, d):
+    return raster.crop(_grid(spark, d), 50, 30, 100, 80)

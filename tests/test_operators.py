@@ -120,6 +120,17 @@ def test_stamp_equals_loops(spark):
     assert got == want
 
 
+def test_warp_and_crop(spark):
+    g = some_grid(3, 6, 8, 0.0)
+    pic = cells(spark, g).withColumnRenamed("z", "value")
+    same = {(r["row"], r["col"]): r["value"] for r in raster.warp(pic, [[1, 0, 0], [0, 1, 0], [0, 0, 1]], 6, 8).collect()}
+    assert same == {(i, j): g[i][j] for i in range(6) for j in range(8)}
+    half = {(r["row"], r["col"]): r["value"] for r in raster.warp(pic, [[1, 0, 0.5], [0, 1, -1], [0, 0, 1]], 6, 8, border=9.0).collect()}
+    at = lambda i, j: g[i][j] if 0 <= i < 6 and 0 <= j < 8 else 9.0
+    assert half == pytest.approx({(i, j): (at(i - 1, j) + at(i - 1, j + 1)) / 2 for i in range(6) for j in range(8)})
+    assert as_grid(raster.crop(cells(spark, g), 1, 2, 3, 4), 3, 4) == [row[2:6] for row in g[1:4]]
+
+
 def scene(rng, n=200):
     k = np.array([[1200.0, 3, 640], [0, 1100, 480], [0, 0, 1]])
     q, _ = np.linalg.qr(rng.normal(size=(3, 3)))

@@ -5,8 +5,8 @@ import tarfile
 import numpy as np
 import pytest
 
-from terragrid.sources import database, dense_map, files, geotiff, image_meta, ply, reports, sparse_model
 from terragrid.operators import sparse
+from terragrid.sources import database, dense_map, files, geotiff, image_meta, images, ply, reports, sparse_model
 
 CAMERAS = "# a comment\n1 PERSPECTIVE 800 600 1000.5 1001 400 300 0.25\n\n2 PINHOLE 640 480 900 900 320 240\n"
 IMAGES = "# two lines a record\n1 1 0 0 0 0.5 -1 2 1 b.png\n1.5 2.5 7 3 4 -1\n2 0.5 0.5 0.5 0.5 0 0 0 2 a.png\n\n"
@@ -177,3 +177,23 @@ def test_reports(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/m").where("src = 1").count() == 1
     with pytest.raises(Exception, match="outside"):
         files.save_files(spark.createDataFrame([("../x", b"a")], "path string, content binary"), f"{tmp_path}/s")
+
+
+def png(a: np.ndarray) -> bytes:
+    """A grey 8-bit PNG."""
+    import zlib
+
+    chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+    rows = b"".join(b"\0" + r.tobytes() for r in a)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_pictures_and_tables(spark, tmp_path):
+    a = (np.arange(300 * 4) % 251).astype("u1").reshape(300, 4)
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/a.png").write_bytes(png(a))
+    (tmp_path / "p/b.png").write_bytes(b"no picture")
+    got = {(r["view"], r["row"], r["col"]): r["value"] for r in images.read_pixels(spark, f"{tmp_path}/p").where("band = 0").collect()}
+    assert got == {("a.png", i, j): int(a[i, j]) for i in range(300) for j in range(4)}
+    (tmp_path / "t.txt").write_text("# r g b\n1 2 3\n\n 4.5 x 6\n")
+    assert sorted(map(tuple, images.read_table(spark, f"{tmp_path}/t.txt", ["r", "g", "b"]).collect())) == [(1.0, 2.0, 3.0), (4.5, None, 6.0)]
