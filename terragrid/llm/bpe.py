@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 CHUNK, OVERLAP = 65_536, 2_048
 _LOADED: dict = {}
@@ -54,6 +54,11 @@ def ids_of(text: str, encoding) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def bytes_of(ids: bytes, encoding) -> bytes:
+    """The bytes of the ids, one after another."""
+    return encoding.decode_bytes(np.frombuffer(ids, "<u4").tolist()) if ids else b""
+
+
 def boundaries(piece: str, chunk: int, overlap: int, first: bool, last: bool) -> tuple[list[int], list[int]]:
     """Pre-token starts in the overlap with the chunk before, and with the one after.
 
@@ -66,30 +71,33 @@ def boundaries(piece: str, chunk: int, overlap: int, first: bool, last: bool) ->
     return head, tail
 
 
-def _encoded(df: DataFrame, vocabulary: str, carry: list[str], more: list[StructField]) -> DataFrame:
-    """df has __text first; its other columns and ids binary."""
+def _encoded(df: DataFrame, vocabulary: str, decode: bool) -> DataFrame:
+    """df has __text first; its other columns and ids binary, with ``decode`` the bytes that the ids give back too."""
+    names = [*df.columns[1:], "ids", *(["decoded"] if decode else [])]
 
     def run(batches):
         enc = load(vocabulary)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = pa.array([ids_of(t, enc) if t else b"" for t in part.column(0).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], ids], names=[*part.schema.names[1:], "ids"])
+                ids = [ids_of(t, enc) if t else b"" for t in part.column(0).to_pylist()]
+                cols = [pa.array(ids, pa.binary())]
+                if decode:
+                    cols.append(pa.array([bytes_of(x, enc) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *cols], names=names)
 
-    return df.mapInArrow(run, StructType([*more, StructField("ids", BinaryType())]))
+    return df.mapInArrow(run, StructType([*df.schema.fields[1:], *[StructField(n, BinaryType()) for n in names[len(df.columns) - 1 :]]]))
 
 
-def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """A row (id, n_tokens long, ids binary) for each row of ``df``.
+def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", chunk: int = CHUNK, overlap: int = OVERLAP, decode: bool = False) -> DataFrame:
+    """A row (id, n_tokens long, ids binary) for each row of ``df``; with ``decode`` also decoded binary, from the ids.
 
     ids are those that the tiktoken library's encode_ordinary gives for the whole text, as
     little-endian unsigned 32-bit integers. Null and empty texts have no ids. Rows that share an
     identifier stay rows of their own; a null identifier stays null. Other columns are left out.
     """
     rows = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("__n"))
-    id_field = StructField("__id", df.schema[id_col].dataType)
-    short = _encoded(rows.where(F.col("__n") <= chunk).select("__text", "__id"), vocabulary, ["__id"], [id_field])
+    short = _encoded(rows.where(F.col("__n") <= chunk).select("__text", "__id"), vocabulary, decode)
 
     long = rows.withColumn("__row", F.monotonically_increasing_id()).where(F.col("__n") > chunk)
     pieces = long.select("__id", "__row", "__n", "__text", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / chunk).cast("int"))).alias("__k"))
@@ -122,12 +130,13 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
         .select(F.array_join(F.col("t.__text"), "").alias("__text"), "__id", "__row", F.lit(0).alias("__k"))
     )
     segments = parts.where(~F.col("__whole")).select("__text", "__id", "__row", "__k").unionByName(joined)
-    done = _encoded(segments, vocabulary, ["__id", "__row", "__k"], [id_field, StructField("__row", LongType()), segments.schema["__k"]])
-    whole = done.groupBy("__row").agg(F.first("__id").alias("__id"), F.array_sort(F.collect_list(F.struct("__k", "ids"))).alias("t"))
-    whole = whole.select("__id", F.unhex(F.array_join(F.transform("t", lambda x: F.hex(x["ids"])), "")).alias("ids"))
+    done = _encoded(segments, vocabulary, decode)
+    blobs = ["ids", "decoded"] if decode else ["ids"]
+    whole = done.groupBy("__row").agg(F.first("__id").alias("__id"), F.array_sort(F.collect_list(F.struct("__k", *blobs))).alias("t"))
+    whole = whole.select("__id", *[F.unhex(F.array_join(F.transform(F.col(f"t.{c}"), lambda x: F.hex(x)), "")).alias(c) for c in blobs])
 
     out = short.unionByName(whole)
-    return out.select(F.col("__id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    return out.select(F.col("__id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *blobs)
 
 
 def bpe_decode(df: DataFrame, ids_col: str = "ids", vocabulary: str = "byte_bpe_50k.tiktoken", carry: list[str] | None = None) -> DataFrame:
@@ -139,15 +148,13 @@ def bpe_decode(df: DataFrame, ids_col: str = "ids", vocabulary: str = "byte_bpe_
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                raw = pa.array([enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) if x else b"" for x in part.column(0).to_pylist()], pa.binary())
+                raw = pa.array([bytes_of(x or b"", enc) for x in part.column(0).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], raw], names=[*part.schema.names[1:], "decoded"])
 
     return df.select(F.col(ids_col).alias("__ids"), *carry).mapInArrow(run, StructType([*[df.schema[c] for c in carry], StructField("decoded", BinaryType())]))
 
 
 def bpe_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Encodes, decodes the ids, and gives (id, n_tokens, ids_sha256, decoded_sha256)."""
-    enc = bpe_encode(df, id_col, text_col, vocabulary, chunk, overlap)
-    enc = enc.withColumn("ids_sha256", F.sha2("ids", 256))
-    dec = bpe_decode(enc, "ids", vocabulary)
-    return dec.select(id_col, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Encodes, decodes the ids in the same worker, and gives (id, n_tokens, ids_sha256, decoded_sha256)."""
+    both = bpe_encode(df, id_col, text_col, vocabulary, chunk, overlap, decode=True)
+    return both.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -44,6 +44,8 @@ def test_bpe_digests_round_trip(spark):
     for r in bpe.bpe_digests(frame(spark, texts), chunk=100, overlap=32).collect():
         assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
     assert bpe.bpe_digests(frame(spark, texts).where("false")).count() == 0
+    for r in bpe.bpe_decode(bpe.bpe_encode(frame(spark, texts), chunk=100, overlap=32)).collect():
+        assert bytes(r["decoded"]).decode() == (texts[r["doc_id"]] or "")
 
 
 def test_bpe_repeated_identifiers_keep_a_row_each(spark):
