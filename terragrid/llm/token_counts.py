@@ -23,6 +23,7 @@ MOST_NODES = 500_000
 #: Log probability of one byte of a character that no piece has.
 BYTE_SCORE = -20.0
 _LOADED: dict = {}
+_SUFFIXES: dict = {}
 
 
 def pieces(name: str = "piece_bpe_32k.model") -> dict[str, float]:
@@ -38,24 +39,47 @@ def pieces(name: str = "piece_bpe_32k.model") -> dict[str, float]:
     return _LOADED[name]
 
 
+def suffix_trie(scores: dict[str, float]) -> tuple[dict[int, int], list[float | None]]:
+    """The pieces from their last letter on: edges, and the score where a piece is complete.
+
+    Going back from a place in a word, it ends the search where no piece goes on."""
+    if id(scores) not in _SUFFIXES:
+        edges: dict[int, int] = {}
+        values: list[float | None] = [None]
+        for piece, score in scores.items():
+            node = 0
+            for ch in reversed(piece):
+                edge = (node << 21) | ord(ch)
+                if edge not in edges:
+                    edges[edge] = len(values)
+                    values.append(None)
+                node = edges[edge]
+            values[node] = score
+        _SUFFIXES[id(scores)] = (scores, edges, values)
+    return _SUFFIXES[id(scores)][1:]
+
+
 class Trie:
-    """Forward scores and token counts of prefixes."""
+    """Forward scores and token counts of prefixes, and the counts of whole pre-tokens (terminals)."""
 
     def __init__(self, scores: dict[str, float], most: int = MOST_NODES):
-        self.scores, self.most = scores, most
-        self.longest = max(map(len, scores), default=1)
+        self.most = most
+        self.edges, self.values = suffix_trie(scores)
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}
         self.best, self.count = [0.0], [0]
+        self.terminal: dict[str, int] = {}
 
     def insert(self, word: str) -> int:
         """The number of tokens of the best split; of equal scores the one with the longest last piece."""
-        child, best, count, scores = self.child, self.best, self.count, self.scores
-        if len(best) > self.most:
+        known = self.terminal.get(word)
+        if known is not None:
+            return known
+        if len(self.best) > self.most:
             self.clear()
-            child, best, count = self.child, self.best, self.count
+        child, best, count, edges, values = self.child, self.best, self.count, self.edges, self.values
         node, path = 0, [0]
         for i, ch in enumerate(word, 1):
             edge = (node << 21) | ord(ch)
@@ -63,8 +87,12 @@ class Trie:
             if nxt is None:
                 n_bytes = len(ch.encode("utf-8", "replace"))
                 top, n = best[node] + BYTE_SCORE * n_bytes, count[node] + n_bytes
-                for j in range(i - 1, max(-1, i - self.longest - 1), -1):
-                    p = scores.get(word[j:i])
+                at = 0
+                for j in range(i - 1, -1, -1):
+                    at = edges.get((at << 21) | ord(word[j]))
+                    if at is None:
+                        break
+                    p = values[at]
                     if p is not None and (s := best[path[j]] + p) >= top:
                         top, n = s, count[path[j]] + 1
                 nxt = child[edge] = len(best)
@@ -72,6 +100,7 @@ class Trie:
                 count.append(n)
             node = nxt
             path.append(node)
+        self.terminal[word] = count[node]
         return count[node]
 
 
