@@ -46,7 +46,8 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+    out = url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+    return out.withColumn("purity", F.round("purity", 9))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,42 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT r.doc_id, text, lang, source, n_chars, count(*) AS copies FROM r JOIN p ON p.rate = r.rate AND p.c <= r.u GROUP BY ALL)
         SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, md5(doc_id::VARCHAR || ':' || copy::VARCHAR || ':20260101') AS mix_key
         FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM k)""",
-    "op3_warc": None,
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
+
+
+def _url_filter_sql() -> str:
+    """The rules, and the template tree level by level."""
+    u = url_filter
+    fits = lambda text: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*text.split("/", 1))
+    by_length = sorted(URL_RULES, key=lambda r: (len(r[1]), r[1]), reverse=True)
+    rule = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{t}'" for _, t in by_length) + " END"
+    fixed = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{k}'" for k, t in by_length) + " END"
+    levels = "".join(
+        f""",
+        n{k} AS (SELECT host, template, count(*) >= {u.MANY_CHILDREN} AND max(n) < {u.TOP_SHARE}::DOUBLE * sum(n) AS wide
+                 FROM (SELECT host, template, segs[{k}] AS seg, sum(n) AS n FROM t{k - 1} WHERE len(segs) >= {k} GROUP BY ALL) GROUP BY ALL),
+        t{k} AS (SELECT host, segs, n, m, b, CASE WHEN len(segs) < {k} THEN template ELSE template || '/' || CASE WHEN wide THEN '*' ELSE segs[{k}] END END AS template
+                 FROM t{k - 1} LEFT JOIN n{k} USING (host, template))"""
+        for k in range(1, u.DEPTH + 1)
+    )
+    return f"""
+        WITH p0 AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p1 AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM p0),
+        p2 AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM p1),
+        p3 AS (SELECT *, list_filter(string_split(regexp_replace(regexp_replace(path, '[0-9a-fA-F]{{8,}}(?:-[0-9a-fA-F]{{4,}})*', '*', 'g'), '[0-9]+', '*', 'g'), '/'), lambda s: s <> '') AS seg FROM p2),
+        p AS (SELECT page_id, host, path, CASE WHEN len(seg) <= {u.DEPTH} THEN seg ELSE list_append(seg[1:{u.DEPTH - 1}], array_to_string(seg[{u.DEPTH}:], '/')) END AS segs FROM p3),
+        l AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+        t0 AS (SELECT host, segs, count(*) AS n, count(bad) AS m, coalesce(sum(bad), 0) AS b, '' AS template FROM p LEFT JOIN l ON doc_id = page_id GROUP BY host, segs){levels},
+        leaf AS (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, sum(m)::DOUBLE AS m, sum(b)::DOUBLE AS b FROM t{u.DEPTH} GROUP BY host, template),
+        r0 AS (SELECT *, (sum(b) OVER (PARTITION BY host) + {u.PRIOR} * (sum(b) OVER () / (sum(m) OVER () + 1))) / (sum(m) OVER (PARTITION BY host) + {u.PRIOR}) AS hrate,
+                      sum(m) OVER (PARTITION BY host, parent) - m AS om, sum(b) OVER (PARTITION BY host, parent) - b AS ob FROM leaf),
+        r1 AS (SELECT *, (ob + b + 1) / (om + m + 2) AS pooled FROM r0),
+        r2 AS (SELECT *, m = 0 OR om = 0 OR abs(b / greatest(m, 1) - ob / greatest(om, 1)) <= {u.SIMILAR_Z} * sqrt(pooled * (1 - pooled) * (1 / greatest(m, 1) + 1 / greatest(om, 1))) AS merged FROM r1),
+        r3 AS (SELECT host, template, CASE WHEN merged THEN sum(m) OVER g ELSE m END AS mm, CASE WHEN merged THEN sum(b) OVER g ELSE b END AS bb, hrate FROM r2 WINDOW g AS (PARTITION BY host, parent, merged)),
+        r AS (SELECT host, template, (bb + {u.PRIOR} * hrate) / (mm + {u.PRIOR}) AS purity FROM r3)
+        SELECT page_id, p.host, path, {rule.replace("host", "p.host")} AS rule, coalesce({fixed.replace("host", "p.host")}, CASE WHEN purity >= {u.REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
+               r.template, round(purity, 9) AS purity
+        FROM p JOIN t{u.DEPTH} t ON t.host = p.host AND t.segs = p.segs JOIN r ON r.host = t.host AND r.template = t.template"""
+
+
+ORACLE_SQL["op8_url_filter"] = _url_filter_sql()
