@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, slices, sorted_groups, stored
@@ -316,9 +316,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = full.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     reps = stored(reps, "near-classes")
 
-    # texts in buckets of at least two, with their signatures, dealt by bucket
+    # texts in buckets of at least two, with their signatures, dealt by bucket. Counts are added up before the
+    # shuffle and joined back, which a large bucket's rows can be split for; a window would hold them in one task
     spots = reps.select("key", F.explode("bands").alias("bucket"))
-    shared = spots.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
+    shared = spots.join(spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
     shared = shared.join(reps.select("key", "sig"), "key")
     blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
     shared = shared.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
