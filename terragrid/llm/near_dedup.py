@@ -11,6 +11,7 @@ that links connect as stars, never all pairs.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -166,15 +167,18 @@ def _edges(us, vs):
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, comp): each node of the undirected edges (u, v) with the least node of its component.
 
-    Labels go along edges and then jump to their label's label, until none changes; each round's
-    labels are a written table.
+    Labels go along edges, to the node that a node is labelled with too (its root), and then jump to
+    their label's label, until none changes. Roots that get their members' labels keep the rounds
+    near the logarithm of the longest path; each round's labels are a written table.
     """
     both = edges.where("u <> v").distinct()
     both = stored(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"{name}-edges")
     labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")), f"{name}-0")
-    for i in range(1, 100):
+    for i in itertools.count(1):
         near = both.join(labels.select(F.col("node").alias("v"), "comp"), "v").groupBy("u").agg(F.min("comp").alias("m"))
-        least = labels.join(near, labels["node"] == near["u"]).select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
+        told = labels.join(near, labels["node"] == near["u"]).select("node", "comp", "m")
+        roots = told.where("m < comp").groupBy(F.col("comp").alias("root")).agg(F.min("m").alias("hook"))
+        least = told.join(roots, told["node"] == roots["root"], "left").select("node", F.col("comp").alias("was"), F.least("comp", "m", "hook").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         new = stored(least.join(jump, "comp").select("node", "was", F.least("comp", "next").alias("comp")), f"{name}-{i}")
         labels = new.select("node", "comp")

@@ -142,6 +142,16 @@ def test_components_of_chains_and_stars(spark):
     assert near_dedup.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    names = list(range(3000))
+    random.Random(4).shuffle(names)
+    written = []
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name, stored=near_dedup.stored: written.append(name) or stored(df, name))
+    edges = spark.createDataFrame(list(zip(names, names[1:])), "u long, v long")
+    assert near_dedup.components(edges).where("comp = 0").count() == len(names)
+    assert len(written) < 30
+
+
 def test_large_near_group_gives_rows_not_pairs(spark):
     rng = random.Random(9)
     base = prose(rng, 200).split()
