@@ -3,9 +3,10 @@
 Detected entities get a replacement of the same type and format, made with a key: equal
 entities (after a type's normalisation) get equal surrogates in all texts, and different ones
 different surrogates. Numbers pass through a keyed permutation of their own domain
-(a Feistel network with cycle walking), so two can't collide; names and e-mail names
-are drawn by key from lists and syllables of their gender and script, and carry a keyed
-suffix; within a text a second check draws again should two still meet.
+(a Feistel network with cycle walking) that leaves none in its place, so two can't collide.
+Names and e-mail names are drawn by key from lists and syllables of their gender and script; a
+family name has 66 keyed bits, a full name 66 more of the whole name, an e-mail name 78, a
+secret four or more a letter. A surrogate depends on the entity and the key alone, never on the text.
 """
 
 from __future__ import annotations
@@ -29,7 +30,14 @@ GIVEN = {
     ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Иван", "Кирилл", "Олег", "Павел", "Роман"),
 }
 HONORIFICS = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Dr": "n", "Prof": "n", "г-н": "m", "г-жа": "f"}
-SYLLABLES = {"latin": ("ba", "co", "den", "fir", "gal", "hun", "jor", "kel", "lim", "mon", "nar", "pel", "rus", "sev", "tor", "vim"), "cyrillic": ("ба", "во", "гел", "дар", "жен", "зор", "кан", "лим", "мор", "нев", "пол", "рус", "сав", "тор", "фил", "хан")}
+SYLLABLES = ("ba", "co", "den", "fir", "gal", "hun", "jor", "kel", "lim", "mon", "nar", "pel", "rus", "sev", "tor", "vim")
+#: 64 pairs of letters by script: consonants, vowels; a family name or suffix has PAIRS of them.
+LETTERS = {"latin": ("bcdfghjklmnprstv", "aeio"), "cyrillic": ("бвгджзклмнпрстфх", "аеио")}
+PAIRS = 11
+#: Between a family name and the suffix of the whole name.
+JOINT = {"latin": "-", "cyrillic": ""}
+#: Country codes of one digit and of two; all others have three.
+COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 
 _NAME = r"[^\W\d_a-zа-яß-öø-ÿ][^\W\d_]+"
 PATTERNS = {
@@ -76,37 +84,53 @@ def permute(key: bytes, label: str, value: int, size: int) -> int:
             return value
 
 
+def permute_all(key: bytes, label: str, value: int, size: int) -> int:
+    """``permute`` without fixed points: a run of them and the value after it change places in a ring."""
+    new = permute(key, label, value, size)
+    if new == value:
+        return permute(key, label, (value + 1) % size, size)
+    first = value
+    while permute(key, label, (first - 1) % size, size) == (first - 1) % size:
+        first = (first - 1) % size
+    return new if first == value else first
+
+
 def _digits_like(form: str, digits: str) -> str:
     it = iter(digits)
     return "".join(next(it) if c.isdigit() else c for c in form)
 
 
-def _syllables(n: int, script: str, count: int) -> str:
-    return "".join(SYLLABLES[script][(n >> (4 * i)) & 15] for i in range(count))
+def _syllables(n: int, count: int) -> str:
+    return "".join(SYLLABLES[(n >> (4 * i)) & 15] for i in range(count))
+
 
+def _pairs(n: int, script: str) -> str:
+    consonants, vowels = LETTERS[script]
+    return "".join(consonants[(n >> (6 * i)) & 15] + vowels[(n >> (6 * i + 4)) & 3] for i in range(PAIRS))
 
-def surrogate(kind: str, found: str, key: bytes, again: int = 0) -> str:
-    """The replacement of an entity; again > 0 draws another."""
-    label = f"{kind}{again or ''}"
+
+def surrogate(kind: str, found: str, key: bytes) -> str:
+    """The replacement of an entity."""
+    label = kind
     if kind == "email":
         user, _, _ = found.lower().partition("@")
         n = _keyed(key, label, found.lower())
         sep = next((c for c in "._-" if c in user), ".")
-        return f"{_syllables(n, 'latin', 3)}{sep}{(n >> 12) % 10**10:010d}@example.invalid"
+        return f"{_syllables(n, 3)}{sep}{(n >> 12) % 10**20:020d}@example.invalid"
     digits = re.sub(r"\D", "", found)
     if kind == "ip":
-        n = permute(key, label, int.from_bytes(bytes(map(int, found.split("."))), "big"), 1 << 32)
+        n = permute_all(key, label, int.from_bytes(bytes(map(int, found.split("."))), "big"), 1 << 32)
         return ".".join(map(str, n.to_bytes(4, "big")))
     if kind == "card":
-        body = f"{permute(key, f'{label}{len(digits)}', int(digits[:-1]), 10 ** (len(digits) - 1)):0{len(digits) - 1}d}"
+        body = f"{permute_all(key, f'{label}{len(digits)}', int(digits[:-1]), 10 ** (len(digits) - 1)):0{len(digits) - 1}d}"
         check = next(c for c in "0123456789" if luhn(body + c))
         return _digits_like(found, body + check)
     if kind == "ssn":
-        return _digits_like(found, f"{permute(key, label, int(digits), 10**9):09d}")
+        return _digits_like(found, f"{permute_all(key, label, int(digits), 10**9):09d}")
     if kind == "phone":
-        code = len(re.match(r"\+?(\d*)", found)[1]) if found[0] == "+" else 0
+        code = COUNTRY.match(digits).end() if found[0] == "+" else 0
         rest = digits[code:]
-        return _digits_like(found, digits[:code] + f"{permute(key, f'{label}{digits[:code]}/{len(rest)}', int(rest), 10 ** len(rest)):0{len(rest)}d}")
+        return _digits_like(found, digits[:code] + f"{permute_all(key, f'{label}{digits[:code]}/{len(rest)}', int(rest), 10 ** len(rest)):0{len(rest)}d}")
     if kind == "secret":
         n, out = 0, ""
         hexa = re.fullmatch(r"[0-9a-f]+", found)
@@ -120,12 +144,13 @@ def surrogate(kind: str, found: str, key: bytes, again: int = 0) -> str:
     script = "cyrillic" if re.search("[А-яЁё]", name) else "latin"
     gender = HONORIFICS[title.rstrip(".")]
     words = name.split(" ")
-    family = _keyed(key, f"name{again or ''}", words[-1].lower())
+    family = _keyed(key, "name", words[-1].lower())
     gender = gender if gender != "n" else "fm"[_keyed(key, "gender", name.lower()) & 1]
-    out = [_syllables(family, script, 5).capitalize()]
+    out = [_pairs(family, script).capitalize()]
     if len(words) > 1:
         given = GIVEN[script, gender]
-        out.insert(0, given[_keyed(key, f"given{again or ''}", words[0].lower()) % len(given)])
+        suffix = _pairs(_keyed(key, "whole", name.lower()), script)
+        out = [given[_keyed(key, "given", words[0].lower()) % len(given)], out[0] + JOINT[script] + (suffix.capitalize() if JOINT[script] else suffix)]
     return f"{title} {' '.join(out)}"
 
 
@@ -143,7 +168,9 @@ def _valid(kind: str, found: str) -> bool:
 def identity(kind: str, found: str) -> str:
     """Spellings with one identity refer to the same entity."""
     if kind in ("phone", "card", "ssn"):
-        return re.sub(r"\D", "", found)
+        return "+" * (found[0] == "+") + re.sub(r"\D", "", found)
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in found.split("."))
     return found.lower() if kind in ("email", "name") else found
 
 
@@ -152,27 +179,19 @@ def replace_entities(text: str, key: bytes) -> tuple[str, dict[str, int], int]:
     if not may_have(text):
         return text, {}, 0
     out, at, counts = [], 0, {}
-    given: dict[tuple[str, str], int] = {}
-    taken: dict[str, tuple[str, str]] = {}
+    seen: set[tuple[str, str]] = set()
     for m in _SCAN.finditer(text):
         kind = next(k for k in PATTERNS if m[f"{k}_"] is not None)
         start, end = (m.start("value"), m.end("value")) if kind == "secret" else m.span()
         found = text[start:end]
         if not _valid(kind, found):
             continue
-        who = (kind, identity(kind, found))
-        again = given.get(who, 0)
-        new = surrogate(kind, found, key, again)
-        # distinctness within the text, and never the original itself
-        while (taken.setdefault(identity(kind, new), who) != who) or identity(kind, new) == who[1]:
-            again += 1
-            new = surrogate(kind, found, key, again)
-        given[who] = again
+        seen.add((kind, identity(kind, found)))
         counts[kind] = counts.get(kind, 0) + 1
-        out += (text[at:start], new)
+        out += (text[at:start], surrogate(kind, found, key))
         at = end
     out.append(text[at:])
-    return "".join(out), counts, len(given)
+    return "".join(out), counts, len(seen)
 
 
 def surrogates(df: DataFrame, key: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

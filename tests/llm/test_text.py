@@ -278,6 +278,29 @@ def test_permutation_is_one_and_scripts_match():
     assert re.fullmatch(r"г-жа [А-я]+ [А-я]+", new)
 
 
+def test_surrogates_are_of_one_entity_over_all_texts():
+    key = b"terragrid-surrogates-1"
+    word = lambda i, letters: "".join(letters[i >> 4 * j & 15] for j in range(4))
+    for title, letters in (("Mr", "abcdefghijklmnop"), ("г-н", "абвгдежзиклмнопр")):
+        families = [f"{title} {word(i, letters).capitalize()}" for i in range(20_000)]
+        people = [f"{title} {word(i, letters).capitalize()} {letters[1:5].capitalize()}" for i in range(20_000)]
+        new = {pii.surrogate("name", t, key) for t in families + people}
+        assert len(new) == 40_000 and not new & {*families, *people}
+    # alone or beside another, an entity has the same surrogate, in each of its spellings
+    both = ["Mr James Hill", "Mr David Hill", "Mr John Hill", "+1 555 123 4567", "+15551234567", "+44 20 7946 0958", "+442079460958"]
+    alone = [pii.replace_entities(t, key)[0] for t in both]
+    assert pii.replace_entities(" / ".join(both), key)[0] == " / ".join(alone)
+    digits = [re.sub(r"\D", "", t) for t in alone[3:]]
+    assert len(set(alone)) == 7 and digits[0] == digits[1] != digits[2] == digits[3]
+
+
+def test_permutation_leaves_nothing_in_its_place():
+    for size in (2, 3, 10, 1000):
+        for label in "abcdefgh":
+            new = [pii.permute_all(b"k", label, i, size) for i in range(size)]
+            assert sorted(new) == list(range(size)) and all(i != v for i, v in enumerate(new))
+
+
 def test_surrogates_of_a_table(spark):
     texts = [*ODD, "write to a.b@c.de now"]
     rows = pii.surrogates(frame(spark, texts), "k").collect()
