@@ -51,6 +51,9 @@ PATTERNS = {
 }
 #: One scan: the first alternative that fits at a place wins.
 _SCAN = re.compile("|".join(f"(?P<{k}_>{p})" for k, p in PATTERNS.items()))
+_ALONE = {k: re.compile(p) for k, p in PATTERNS.items()}
+#: Cards as they are mostly written: in groups, with an issuer's first digits.
+_USUAL = re.compile(r"(?<!\d)(?:[3-6]\d{3}|2[2-7]\d{2})([ -]?)(?:\d{4}\1\d{4}\1\d{4}|\d{6}\1\d{5})(?!\d)")
 _HINT = re.compile(r"[@0-9]|[\"'][A-Za-z+/_\-]{16}")
 
 
@@ -174,18 +177,58 @@ def identity(kind: str, found: str) -> str:
     return found.lower() if kind in ("email", "name") else found
 
 
+def _span(kind: str, m: re.Match) -> tuple[int, int]:
+    return m.span("value") if kind == "secret" else m.span()
+
+
+def _others(text: str, start: int):
+    """(kind, start, end) of what else fits at a place: each type's own match, and for cards and
+    phone numbers each shorter one that ends with a run of digits, longest first."""
+    for kind, pattern in _ALONE.items():
+        m = pattern.match(text, start)
+        if not m:
+            continue
+        yield kind, *_span(kind, m)
+        if kind in ("card", "phone"):
+            for end in range(m.end() - 1, start, -1):
+                # what follows is no digit, as the patterns ask; beyond the end they see nothing
+                if text[end - 1].isdecimal() and not text[end].isdecimal() and pattern.fullmatch(text, start, end):
+                    yield kind, start, end
+
+
+def _fits(text: str, kind: str, start: int, end: int) -> bool:
+    """Valid, and no number before a card that fits with the card's first digits alone."""
+    found = text[start:end]
+    if not _valid(kind, found):
+        return False
+    if kind != "card" or _USUAL.fullmatch(found):
+        return True
+    later = (_USUAL.match(text, i) for i in range(start + 1, end))
+    return not any(m and m.end() > end and _valid(kind, m[0]) for m in later)
+
+
+def entities(text: str):
+    """(kind, start, end) of entities from left to right. Where the scan's match doesn't fit, the
+    others at its place are tried, and then the scan goes on from the next character."""
+    at = 0
+    while m := _SCAN.search(text, at):
+        kind = next(k for k in PATTERNS if m[f"{k}_"] is not None)
+        start, end = _span(kind, m)
+        if not _fits(text, kind, start, end):
+            kind, start, end = next((o for o in _others(text, m.start()) if _fits(text, *o)), (None, 0, 0))
+        if kind:
+            yield kind, start, end
+        at = end if kind else m.start() + 1
+
+
 def replace_entities(text: str, key: bytes) -> tuple[str, dict[str, int], int]:
     """The text with surrogates, entities by type, and how many different ones."""
     if not may_have(text):
         return text, {}, 0
     out, at, counts = [], 0, {}
     seen: set[tuple[str, str]] = set()
-    for m in _SCAN.finditer(text):
-        kind = next(k for k in PATTERNS if m[f"{k}_"] is not None)
-        start, end = (m.start("value"), m.end("value")) if kind == "secret" else m.span()
+    for kind, start, end in entities(text):
         found = text[start:end]
-        if not _valid(kind, found):
-            continue
         seen.add((kind, identity(kind, found)))
         counts[kind] = counts.get(kind, 0) + 1
         out += (text[at:start], surrogate(kind, found, key))

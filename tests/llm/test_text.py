@@ -301,6 +301,18 @@ def test_permutation_leaves_nothing_in_its_place():
             assert sorted(new) == list(range(size)) and all(i != v for i, v in enumerate(new))
 
 
+def test_cards_beside_other_numbers_are_found():
+    card = "4111 1111 1111 1111"
+    around = ["{} 12/26", "{} 123", "2024 {}", "12 {}", "{} 999.999.999.999", "no 1 of 2: {}", "{}-77", "1.2.3.4 {} 10.1.2.300"]
+    around += [f"{n} {{}}" for n in range(10, 60)] + [f"{{}} {n}" for n in range(10, 60)] + [f"{n} {{}}" for n in range(1990, 2030)] + [f"7 {n} {{}} {n}" for n in range(100, 130)]
+    for form in around:
+        new, counts, _ = pii.replace_entities(form.format(card), b"k")
+        assert counts.get("card") == 1 and "1111" not in new, form
+    # a phone number that is too long with what follows it, and a card after a number with no type
+    new, counts, _ = pii.replace_entities("+123 4567 1234 1234 1234 12 and 1234567890123456 5500 0000 0000 0004", b"k")
+    assert counts == {"phone": 1, "card": 1} and "5500" not in new and "1234567890123456" in new
+
+
 def test_surrogates_of_a_table(spark):
     texts = [*ODD, "write to a.b@c.de now"]
     rows = pii.surrogates(frame(spark, texts), "k").collect()
