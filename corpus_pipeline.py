@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terragrid.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from terragrid.llm.common import shared_dir
+from terragrid.llm.common import shared_dir, stored
 from terragrid.llm.queries import MIX_WEIGHTS
 
 
@@ -28,11 +28,22 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class that links connect: that with the least doc_id. Rows of one doc_id stay together."""
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("class_id <> doc_id").select("doc_id").distinct()
+    """One row of each class that links connect: that with the least doc_id, and of those the least digest of the text.
+
+    Rows are told apart by doc_id and digest; of rows that share both, one stays. Texts without words stay.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce(F.md5("text"), F.lit("")).alias("digest"))
+    named = docs.withColumn("__row", row)
+    found = near_dedup.near_duplicates(named.select("__row", "text"), "__row")
+    away = F.bool_or(F.col("class_id") != F.col("__row")).alias("away")
+    gone = found.groupBy("__row").agg(away, F.count(F.lit(1)).alias("n"), F.max("n_copies").alias("copies")).where("away or (n > 1 and copies > 1)").select("__row", "away")
+    gone = stored(gone, "near-gone")
     few = gone.count() <= near_dedup.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    out = named.join(F.broadcast(gone) if few else gone, "__row", "left_anti")
+    same = gone.where("not away").select("__row")
+    if same.limit(1).count():
+        out = out.unionByName(named.join(F.broadcast(same) if few else same, "__row", "left_semi").dropDuplicates(["__row"]))
+    return out.select(docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,20 @@ def test_stages_on_empty_and_odd_documents(spark):
             stage(spark, spark.createDataFrame(rows, schema), SF).collect()
 
 
+def test_near_stage_goes_by_rows_where_identifiers_repeat(spark):
+    words = [[f"{k}{i}" for i in range(60)] for k in "abcd"]
+    texts = [" ".join(w) for w in words]
+    near = [f"{t} end" for t in texts]
+    rows = [(1, texts[0]), (7, near[0]), (7, texts[1]), (8, texts[2]), (8, near[2]), (None, texts[3]), (None, near[3])]
+    rows += [(9, "two words"), (9, "two words"), (None, None), (None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", f"src{n}", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_stage(spark, docs, SF)
+    assert left.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert sorted(got[i][1][0] for i in range(len(got)) if got[i][1]) == ["a", "b", "c", "d", "t"] and len(got) == 9
+    assert (1, texts[0]) in got and (7, texts[1]) in got and got.count((None, None)) == got.count((3, "")) == 2
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_return_a_row_for_each_row(spark, name):
     got = QUERIES[name](spark, SF)
