@@ -70,7 +70,7 @@ def judge_bands(raw: bytes, press) -> tuple[float, int, int, str | None]:
     low, high = next(b[1:] for b in DOCUMENT_BANDS if n < b[0])
     chunks = bad_high = bad_low = 0
     if n >= CHUNK_BYTES:
-        for i in range(0, n - CHUNK_BYTES + 1, CHUNK_BYTES):
+        for i in [*range(0, n - CHUNK_BYTES, CHUNK_BYTES), n - CHUNK_BYTES]:
             chunks += 1
             r = CHUNK_BYTES / len(press(raw[i : i + CHUNK_BYTES]))
             bad_high += r > CHUNK_BAND[1]
@@ -111,8 +111,9 @@ def quality_rules(df: DataFrame, text_col: str = "text", carry: list[str] | None
 
     Words are runs without space or \\x09-\\x0D. A row fails the base rules with under 20 words,
     or if over 30 % of its words lie in 8-word windows that its text has at least twice. Else its
-    compression decides: the whole text and each full chunk of 4096 bytes are compressed, and the
-    ratio must lie in the band for that length. verdict: kept, base, repetitive or incompressible.
+    compression decides: the whole text and each chunk of 4096 bytes are compressed (the last chunk
+    ends with the text and may overlap the one before; a shorter text has no chunk but itself), and
+    the ratio must lie in the band for that length. verdict: kept, base, repetitive or incompressible.
     Null and empty texts have no words and fail. Columns of ``df`` with an added name are replaced.
     """
     added = [c.split()[0] for c in SCHEMA.split(", ")]

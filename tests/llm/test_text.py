@@ -171,6 +171,18 @@ def test_compression_bands(spark):
     assert got[0] == "incompressible" and got[1] == "kept" and got[2] in ("repetitive", "base") and got[3] == "incompressible"
 
 
+def test_the_end_of_a_text_is_judged_as_a_chunk():
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    rng = random.Random(2)
+    normal = " ".join("".join(rng.choice(["ka", "lo", "mi", "ten", "ur", "sa", "ve"]) for _ in range(rng.randrange(1, 4))) for _ in range(3000)).encode()
+    noise = bytes(rng.randrange(33, 127) for _ in range(4095))
+    assert quality.judge_bands(normal[:4096] + noise, press)[1:] == (2, 1, "incompressible")
+    assert quality.judge_bands(normal[:4096] + b"so it goes " * 372, press)[1:] == (2, 1, "repetitive")
+    assert [quality.judge_bands(normal[:n], press)[1:] for n in (4095, 4096, 4097, 8191, 8192, 8193)] == [(k, 0, None) for k in (0, 1, 2, 2, 2, 3)]
+
+
 # --- language model
 
 
