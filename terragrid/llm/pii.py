@@ -54,7 +54,7 @@ _SCAN = re.compile("|".join(f"(?P<{k}_>{p})" for k, p in PATTERNS.items()))
 _ALONE = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: Cards as they are mostly written: in groups, with an issuer's first digits.
 _USUAL = re.compile(r"(?<!\d)(?:[3-6]\d{3}|2[2-7]\d{2})([ -]?)(?:\d{4}\1\d{4}\1\d{4}|\d{6}\1\d{5})(?!\d)")
-_HINT = re.compile(r"[@0-9]|[\"'][A-Za-z+/_\-]{16}")
+_HINT = re.compile(r"[@\d]|[\"'][A-Za-z+/_\-]{16}")
 
 
 def may_have(text: str) -> bool:
@@ -98,9 +98,14 @@ def permute_all(key: bytes, label: str, value: int, size: int) -> int:
     return new if first == value else first
 
 
+def _digits(found: str) -> str:
+    """The digits of any script as 0 to 9."""
+    return "".join(str(int(c)) for c in found if c.isdecimal())
+
+
 def _digits_like(form: str, digits: str) -> str:
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in form)
+    return "".join(chr(ord(c) - int(c) + int(next(it))) if c.isdecimal() else c for c in form)
 
 
 def _syllables(n: int, count: int) -> str:
@@ -120,7 +125,7 @@ def surrogate(kind: str, found: str, key: bytes) -> str:
         n = _keyed(key, label, found.lower())
         sep = next((c for c in "._-" if c in user), ".")
         return f"{_syllables(n, 3)}{sep}{(n >> 12) % 10**20:020d}@example.invalid"
-    digits = re.sub(r"\D", "", found)
+    digits = _digits(found)
     if kind == "ip":
         n = permute_all(key, label, int.from_bytes(bytes(map(int, found.split("."))), "big"), 1 << 32)
         return ".".join(map(str, n.to_bytes(4, "big")))
@@ -171,7 +176,7 @@ def _valid(kind: str, found: str) -> bool:
 def identity(kind: str, found: str) -> str:
     """Spellings with one identity refer to the same entity."""
     if kind in ("phone", "card", "ssn"):
-        return "+" * (found[0] == "+") + re.sub(r"\D", "", found)
+        return "+" * (found[0] == "+") + _digits(found)
     if kind == "ip":
         return ".".join(str(int(x)) for x in found.split("."))
     return found.lower() if kind in ("email", "name") else found

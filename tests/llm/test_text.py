@@ -325,6 +325,13 @@ def test_cards_beside_other_numbers_are_found():
     assert counts == {"phone": 1, "card": 1} and "5500" not in new and "1234567890123456" in new
 
 
+def test_digits_of_other_scripts_are_found():
+    arabic = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
+    for t in ("+966 50 123 4567", "4111 1111 1111 1111"):
+        new, counts, _ = pii.replace_entities(t.translate(arabic), b"k")
+        assert sum(counts.values()) == 1 and new == pii.replace_entities(t, b"k")[0].translate(arabic)
+
+
 def test_surrogates_of_a_table(spark):
     texts = [*ODD, "write to a.b@c.de now"]
     rows = pii.surrogates(frame(spark, texts), "k").collect()
