@@ -1,14 +1,16 @@
 """Shared helpers of the training-data operators.
 
-Text hashing works on the UTF-8 buffer of an Arrow string column: word spans and
+Words are found on the UTF-8 buffer of an Arrow string column: spans, exact codes and
 hashes of all rows of a slice come from a few NumPy passes, without a Python object
-for each word.
+for each word (but for words of over 16 bytes, which get a digest).
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,10 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SOLID = np.ones(256, bool)
 _SOLID[[9, 10, 11, 12, 13, 32]] = False
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
+#: The first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,21 +36,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
+    """The folder that driver and executors share. Where the session has none, a temporary folder on a
+    local master, which is one process; on any other master that would be a folder of the driver alone."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="terragrid-"))
         configured = sc.getCheckpointDir()
     return configured
 
 
+def scratch(spark: SparkSession) -> str:
+    """Where this application's written tables lie."""
+    return f"{shared_dir(spark)}/terragrid-tables/{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark reads."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every table that the operators wrote in this application. For callers to use once their
+    results are written: a result that isn't reads from these tables."""
+    remove(spark, scratch(spark))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: its lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/terragrid-tables/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that no later plan reads."""
+    for t in tables:
+        remove(t.sparkSession, t.stored_at)
 
 
 def ascii_lower(col):
@@ -62,32 +97,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _byte_table(lower: bool) -> np.ndarray:
-    t = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
-    if lower:
-        t[65:91] = t[97:123]
-    return t
-
-
-_TABLES = {False: _byte_table(False), True: _byte_table(True)}
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base mod 2**64 and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        base = 0x2545F4914F6CDD1D
-        size = max(n, 1 << 20)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            out.append(p)
-        _POWERS[:] = out
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 class Slice:
     """Some rows of a text column as one byte buffer; nulls are empty texts.
 
@@ -96,9 +105,9 @@ class Slice:
     """
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False):
-        self.data, self.offs, self.lower = data, offs, lower
+        self.data, self.offs = _LOWERED[data] if lower else data, offs
         self.rows = len(offs) - 1
-        self.solid = _SOLID[data]
+        self.solid = _SOLID[self.data]
         n = len(data)
         first = self.solid.copy()
         last = self.solid.copy()
@@ -113,20 +122,30 @@ class Slice:
         self.ends = np.flatnonzero(last) + 1
         self.doc = np.searchsorted(offs, self.starts, "right") - 1
         self.n_words = np.bincount(self.doc, minlength=self.rows)
-        self._sums = None
-
-    def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte span."""
-        n = len(self.data)
-        power, inverse = _powers(n + 1)
-        if self._sums is None:
-            self._sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_TABLES[self.lower][self.data] * power[:n], out=self._sums[1:])
-        raw = (self._sums[ends] - self._sums[starts]) * inverse[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * _GOLD)
+        self._codes = None
+
+    def word_codes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(low, high, length) of each word: up to 16 bytes the bytes themselves, beyond that the
+        halves of a BLAKE2b digest. Words are equal where all three are."""
+        if self._codes is None:
+            n = len(self.data)
+            padded = np.zeros(n + 16, np.uint8)
+            padded[:n] = self.data
+            eight = np.ndarray((n + 9,), "<u8", padded, strides=(1,))
+            size = self.ends - self.starts
+            low = eight[self.starts] & _FIRST[np.minimum(size, 8)]
+            high = eight[self.starts + 8] & _FIRST[np.clip(size - 8, 0, 8)]
+            far = np.flatnonzero(size > 16)
+            if len(far):
+                raw = self.data.tobytes()
+                digests = b"".join(blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(self.starts[far].tolist(), self.ends[far].tolist()))
+                low[far], high[far] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+            self._codes = low, high, size
+        return self._codes
 
     def word_hash(self) -> np.ndarray:
-        return self.span_hash(self.starts, self.ends)
+        low, high, size = self.word_codes()
+        return mix(low + mix(high + size.astype(np.uint64) * _GOLD))
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The index of the first word and the hash of each run of ``width`` words of a row."""
@@ -141,11 +160,30 @@ class Slice:
         whole = np.flatnonzero(self.doc[:n] == self.doc[width - 1 :])
         return whole, mix(out[whole])
 
+    def told_apart(self, first: np.ndarray, h: np.ndarray, width: np.ndarray | int, within: np.ndarray | int = 0) -> np.ndarray:
+        """Numbers that are equal for equal windows only (words first to first + width, and equal in
+        ``within``): the hashes ``h``, or ranks where windows with equal hashes differ."""
+        codes = self.word_codes()
+        most = int(np.max(width, initial=0))
+        width, within = np.broadcast_to(width, first.shape), np.broadcast_to(within, first.shape)
+        order = np.argsort(h)
+        a, b = order[:-1], order[1:]
+        meet = h[a] == h[b]
+        a, b = a[meet], b[meet]
+        same = (width[a] == width[b]) & (within[a] == within[b])
+        for j in range(most):
+            on = np.flatnonzero(same & (j < width[a]))
+            for c in codes:
+                same[on] &= c[first[a[on]] + j] == c[first[b[on]] + j]
+        if same.all():
+            return h
+        last = max(len(codes[0]) - 1, 0)
+        table = np.stack([width.astype(np.uint64), within.astype(np.uint64)] + [np.where(j < width, c[np.minimum(first + j, last)].astype(np.uint64), 0) for j in range(most) for c in codes], axis=1)
+        return np.unique(table, axis=0, return_inverse=True)[1].reshape(-1).astype(np.uint64)
+
     def per_row(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes with a flag each row has."""
-        total = np.zeros(len(flags) + 1, np.int64)
-        np.cumsum(flags, out=total[1:])
-        return total[self.offs[1:]] - total[self.offs[:-1]]
+        return np.diff(np.searchsorted(np.flatnonzero(flags), self.offs))
 
     def row_bytes(self, i: int) -> bytes:
         return self.data[self.offs[i] : self.offs[i + 1]].tobytes()

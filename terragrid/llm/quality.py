@@ -25,29 +25,18 @@ SCHEMA = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, n_byte
 def counts(s) -> dict[str, np.ndarray]:
     """The counts of each row of a Slice."""
     out = {"n_words": s.n_words}
-    out["word_chars"] = s.per_row(s.solid & ((s.data & 0xC0) != 0x80))
+    # all bytes of a word but those that go on with a code point
+    out["word_chars"] = np.bincount(s.doc, weights=s.ends - s.starts, minlength=s.rows).astype(np.int64) - s.per_row(s.data & 0xC0 == 0x80)
     out["n_symbols"] = s.per_row(_SYMBOL[s.data])
 
-    # lines: cut at \n and at row ends; those with a word that equal an earlier one of the row
-    breaks = np.flatnonzero(s.data == 10)
-    doc = np.searchsorted(s.offs, breaks, "right") - 1
-    starts = np.concatenate([s.offs[:-1], breaks + 1])
-    ends = np.concatenate([breaks, s.offs[1:]])
-    row = np.concatenate([np.arange(s.rows), doc])
-    order = np.lexsort((row, starts))  # an empty last line begins where the next row does
-    starts, row = starts[order], row[order]
-    ends = np.sort(ends, kind="stable")
-    words = np.searchsorted(s.starts, ends) - np.searchsorted(s.starts, starts)
-    has = words > 0
-    starts, ends, row = starts[has], ends[has], row[has]
-    h = s.span_hash(starts, ends) ^ mix(row.astype(np.uint64) + np.uint64(1))
-    order = np.argsort(h, kind="stable")
-    again = np.zeros(len(h), bool)
-    again[order[1:]] = h[order[1:]] == h[order[:-1]]
-    out["n_dup_lines"] = np.bincount(row[again], minlength=s.rows)
+    # lines with a word, less the different ones among them
+    out["n_dup_lines"] = np.zeros(s.rows, np.int64)
+    for i in np.flatnonzero(s.per_row(s.data == 10)):
+        lines = [x for x in s.row_bytes(i).split(b"\n") if x.strip()]
+        out["n_dup_lines"][i] = len(lines) - len(set(lines))
 
     first, w = s.windows(8)
-    w = w ^ mix(s.doc[first].astype(np.uint64) + np.uint64(1))
+    w = s.told_apart(first, w ^ mix(s.doc[first].astype(np.uint64) + np.uint64(1)), 8, s.doc[first])
     order = np.argsort(w)
     same = w[order[1:]] == w[order[:-1]]
     twice = np.zeros(len(w), bool)
@@ -114,7 +103,7 @@ def quality_rules(df: DataFrame, text_col: str = "text", carry: list[str] | None
     compression decides: the whole text and each chunk of 4096 bytes are compressed (the last chunk
     ends with the text and may overlap the one before; a shorter text has no chunk but itself), and
     the ratio must lie in the band for that length. verdict: kept, base, repetitive or incompressible.
-    Null and empty texts have no words and fail. Columns of ``df`` with an added name are replaced.
+    Null and empty texts have no words and fail; a text of any length is judged whole, in one task. Columns of ``df`` with an added name are replaced.
     """
     added = [c.split()[0] for c in SCHEMA.split(", ")]
     names = [c for c in (df.columns if carry is None else carry) if c not in added]

@@ -112,7 +112,7 @@ def split_words(text: str) -> list[bytes]:
 def token_counts(df: DataFrame, text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", carry: list[str] | None = None) -> DataFrame:
     """The columns of ``df`` (or those in ``carry``), n_words, n_distinct and n_tokens (long).
 
-    One row for each row; null and empty texts have zeros. No shuffle: each task has a trie
+    One row for each row; null and empty texts have zeros; a text of any length is counted whole. No shuffle: each task has a trie
     of bounded size over its own rows' pre-tokens. Columns named like an added one are replaced.
     """
     added = ["n_words", "n_distinct", "n_tokens"]

@@ -103,22 +103,67 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert len(got) == len(rows)
 
 
-def test_blocks_of_one_family_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("far", [0, 14])
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_blocks_of_one_family_lose_no_link(spark, monkeypatch, far, limit):
+    """Families and buckets of many blocks: tight ones, and ones with texts far from any pivot."""
     monkeypatch.setattr(near_dedup, "WORD_BLOCK", 900)
+    monkeypatch.setattr(near_dedup, "TEXT_BLOCK", 7)
     monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", limit)
+    monkeypatch.setattr(near_dedup, "BROADCAST_HEADS", limit)
+    monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", limit)
     rng = random.Random(5)
     base = prose(rng, 120).split()
     rows = []
     for i in range(60):
         words = list(base)
-        for _ in range(rng.randrange(0, 4)):
+        for _ in range(rng.randrange(0, 4 + (far if i % 3 == 0 else 0))):
             words[rng.randrange(len(words))] = prose(rng, 1)
-        rows.append((i, " ".join(words)))
+        rows += [(2 * i, " ".join(words))] + ([(2 * i + 1, "  ".join(words))] if i % 4 == 0 else [])
     got = near_dedup.near_duplicates(spark.createDataFrame([(i, t, "", "") for i, t in rows], DOC)).collect()
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute_near(rows)
 
 
+def test_blocks_have_a_bounded_size(spark):
+    """Rows of a pair of blocks, and rows in all, for a tight family and for one of texts far from its pivot."""
+    for inner in (True, False):
+        most = []
+        for n in (5_000, 20_000):
+            rows = spark.range(n).select(F.lit(b"c").alias("comp"), F.col("id").cast("string").cast("binary").alias("key"), F.col("id").alias("rep"), F.lit(1).alias("copies"), F.lit(300).alias("words"), F.lit(64).alias("bin"), (F.lit(inner) & (F.col("id") % 100 > 0)).alias("inner"))
+            sizes = near_dedup._blocked(rows).groupBy("comp", "bi", "bj").count().agg(F.max("count"), F.sum("count")).first()
+            most.append(sizes)
+        assert max(m[0] for m in most) < 2 * 1.25 * near_dedup.TEXT_BLOCK
+        if inner:
+            assert all(m[1] <= 1.25 * n for m, n in zip(most, (5_000, 20_000)))
+
+
+def test_texts_whose_polynomial_hashes_meet_are_told_apart(spark):
+    """Thue-Morse words: polynomial hashes modulo 2**64 can't tell one from its complement."""
+    rows = []
+    for n in (1024, 4096):
+        bits = [bin(i).count("1") & 1 for i in range(n)]
+        rows += [(n, "".join("ab"[x] for x in bits)), (n + 1, "".join("ba"[x] for x in bits))]
+        rows += [(n + 2, " ".join("ab"[x] for x in bits)), (n + 3, " ".join("ba"[x] for x in bits))]
+    got = near_dedup.near_duplicates(spark.createDataFrame([(i, t, "", "") for i, t in rows], DOC)).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute_near(rows)
+    assert len({r["copy_id"] for r in got}) == len(rows)
+
+
+def test_windows_with_equal_hashes_are_told_apart(monkeypatch):
+    from terragrid.llm import common
+
+    rng = random.Random(8)
+    texts = ["a b c a b c a b d a b c", "x", "", "a b", "b a", prose(rng, 60) + " " + "w" * 20 + " " + "v" * 20 + " " + "w" * 20]
+    for h in (None, lambda n: np.zeros(n, np.uint64), lambda n: np.arange(n).astype(np.uint64) % np.uint64(3)):
+        for _, s in common.slices(__import__("pyarrow").array(texts), lower=True):
+            first, real = s.windows(3)
+            told = s.told_apart(first, real if h is None else h(len(real)), 3)
+            words = [re.findall(r"\S+", t.translate(UP)) for t in texts]
+            flat = [(w[i : i + 3]) for w in words for i in range(len(w) - 2)]
+            assert all((told[i] == told[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(i))
+
+
 def test_near_duplicates_odd_rows(spark):
     t = "one two three four five six seven eight nine ten"
     df = spark.createDataFrame([(None, t, "", ""), (4, t, "", ""), (4, t, "", ""), (9, "other words", "", ""), (None, None, "", "")], DOC)

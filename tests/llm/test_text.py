@@ -161,6 +161,45 @@ def test_quality_counts_equal_plain_python(spark):
     assert quality.quality_rules(frame(spark, texts).where("false")).count() == 0
 
 
+def plain_bands(text):
+    """The verdict of the compression bands, from zstandard and the documented limits alone."""
+    import zstandard
+
+    raw = (text or "").encode()
+    size = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x))
+    low, high = next((a, b) for n, a, b in ((256, 0.0, 4.0), (1024, 1.2, 4.5), (4096, 1.35, 5.0), (16384, 1.5, 6.0), (10**18, 1.6, 8.0)) if len(raw) < n)
+    ratio = len(raw) / size(raw) if raw else 0.0
+    starts = sorted({*range(0, len(raw) - 4095, 4096), len(raw) - 4096}) if len(raw) >= 4096 else []
+    ratios = [4096 / size(raw[i : i + 4096]) for i in starts]
+    tight, loose = sum(r > 6.0 for r in ratios), sum(r < 1.3 for r in ratios)
+    if ratio > high or 4 * tight > len(ratios) > 0:
+        return ratio, len(ratios), tight + loose, "repetitive"
+    return ratio, len(ratios), tight + loose, "incompressible" if raw and ratio < low or 4 * loose > len(ratios) > 0 else "kept"
+
+
+def test_quality_verdicts_equal_a_plain_computation(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    got = quality.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), carry=["doc_id"]).collect()
+    seen = set()
+    for r in got:
+        ratio, chunks, bad, verdict = plain_bands(texts[r["doc_id"]])
+        base = r["base_failed"]
+        assert (r["zstd_ratio"], r["n_chunks"], r["n_bad_chunks"], r["verdict"], r["kept"]) == (ratio, chunks, bad, "base" if base else verdict, not base and verdict == "kept")
+        seen.add(r["verdict"])
+    assert seen >= {"kept", "base"} and len(got) == len(texts)
+
+
+def test_lines_and_windows_whose_polynomial_hashes_meet_are_told_apart(spark):
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    texts = []
+    for n in (1024, 2048, 4096):
+        a, b = ("".join(two[x] for x in bits[:n]) for two in ("ab", "ba"))
+        texts += [f"{a}\n{b}\n{a}", f"{a} {b} " * 6, " ".join([a] * 8 + ["x"] + [b] * 8)]
+    for r in quality.quality_rules(frame(spark, texts)).collect():
+        assert tuple(r[c] for c in (*quality.COUNTS, "base_failed")) == plain_quality(texts[r["doc_id"]])
+
+
 def test_compression_bands(spark):
     rng = random.Random(1)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
