@@ -83,8 +83,8 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 
-def _url_filter_sql() -> str:
-    """The rules, and the template tree level by level."""
+def _url_filter_sql(depth: int = 16) -> str:
+    """The rules, and the template tree level by level. Levels below ``depth`` have no wildcards here (no path of the tables has so many)."""
     u = url_filter
     fits = lambda text: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*text.split("/", 1))
     by_length = sorted(URL_RULES, key=lambda r: (len(r[1]), r[1]), reverse=True)
@@ -92,30 +92,36 @@ def _url_filter_sql() -> str:
     fixed = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{k}'" for k, t in by_length) + " END"
     levels = "".join(
         f""",
-        n{k} AS (SELECT host, template, count(*) >= {u.MANY_CHILDREN} AND max(n) < {u.TOP_SHARE}::DOUBLE * sum(n) AS wide
-                 FROM (SELECT host, template, segs[{k}] AS seg, sum(n) AS n FROM t{k - 1} WHERE len(segs) >= {k} GROUP BY ALL) GROUP BY ALL),
-        t{k} AS (SELECT host, segs, n, m, b, CASE WHEN len(segs) < {k} THEN template ELSE template || '/' || CASE WHEN wide THEN '*' ELSE segs[{k}] END END AS template
-                 FROM t{k - 1} LEFT JOIN n{k} USING (host, template))"""
-        for k in range(1, u.DEPTH + 1)
+        n{k} AS (SELECT host, tpl, count(*) >= {u.MANY_CHILDREN} AND max(n) < {u.TOP_SHARE}::DOUBLE * sum(n) AS wide
+                 FROM (SELECT host, tpl, segs[{k}] AS seg, sum(n) AS n FROM t{k - 1} WHERE len(segs) >= {k} GROUP BY ALL) GROUP BY ALL),
+        t{k} AS (SELECT host, segs, n, m, b, CASE WHEN len(segs) < {k} THEN tpl ELSE list_append(tpl, CASE WHEN wide THEN '*' ELSE segs[{k}] END) END AS tpl
+                 FROM t{k - 1} LEFT JOIN n{k} USING (host, tpl))"""
+        for k in range(1, depth + 1)
     )
     return f"""
         WITH p0 AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         p1 AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM p0),
         p2 AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM p1),
-        p3 AS (SELECT *, list_filter(string_split(regexp_replace(regexp_replace(path, '[0-9a-fA-F]{{8,}}(?:-[0-9a-fA-F]{{4,}})*', '*', 'g'), '[0-9]+', '*', 'g'), '/'), lambda s: s <> '') AS seg FROM p2),
-        p AS (SELECT page_id, host, path, CASE WHEN len(seg) <= {u.DEPTH} THEN seg ELSE list_append(seg[1:{u.DEPTH - 1}], array_to_string(seg[{u.DEPTH}:], '/')) END AS segs FROM p3),
+        p AS (SELECT *, list_filter(string_split(regexp_replace(regexp_replace(path, '[0-9a-fA-F]{{8,}}(?:-[0-9a-fA-F]{{4,}})*', '*', 'g'), '[0-9]+', '*', 'g'), '/'), lambda s: s <> '') AS segs FROM p2),
         l AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
-        t0 AS (SELECT host, segs, count(*) AS n, count(bad) AS m, coalesce(sum(bad), 0) AS b, '' AS template FROM p LEFT JOIN l ON doc_id = page_id GROUP BY host, segs){levels},
-        leaf AS (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, sum(m)::DOUBLE AS m, sum(b)::DOUBLE AS b FROM t{u.DEPTH} GROUP BY host, template),
-        r0 AS (SELECT *, (sum(b) OVER (PARTITION BY host) + {u.PRIOR} * (sum(b) OVER () / (sum(m) OVER () + 1))) / (sum(m) OVER (PARTITION BY host) + {u.PRIOR}) AS hrate,
-                      sum(m) OVER (PARTITION BY host, parent) - m AS om, sum(b) OVER (PARTITION BY host, parent) - b AS ob FROM leaf),
+        t0 AS (SELECT host, segs, count(*) AS n, count(bad) AS m, coalesce(sum(bad), 0) AS b, []::VARCHAR[] AS tpl FROM p LEFT JOIN l ON doc_id = page_id GROUP BY host, segs){levels},
+        t AS (SELECT host, segs, m, b, list_concat(tpl, segs[{depth + 1}:]) AS tpl FROM t{depth}),
+        leaf AS (SELECT host, tpl, sum(m)::DOUBLE AS m, sum(b)::DOUBLE AS b FROM t GROUP BY host, tpl),
+        step AS (SELECT host, tpl, m, b, list_append(list_transform(tpl, lambda s: '/' || s), 'end') AS marks FROM leaf),
+        node AS (SELECT host, tpl, m, b, k AS level, marks[1:k] AS node, CASE WHEN k > 0 THEN marks[1:k - 1] END AS parent FROM step, unnest(range(0, len(marks) + 1)) AS r(k)),
+        total AS (SELECT host, node, parent, sum(m) AS m, sum(b) AS b FROM node GROUP BY host, node, parent),
+        r0 AS (SELECT c.host, c.node, c.parent, c.m, c.b, q.m - c.m AS om, q.b - c.b AS ob FROM total c JOIN total q ON q.host = c.host AND q.node = c.parent),
         r1 AS (SELECT *, (ob + b + 1) / (om + m + 2) AS pooled FROM r0),
         r2 AS (SELECT *, m = 0 OR om = 0 OR abs(b / greatest(m, 1) - ob / greatest(om, 1)) <= {u.SIMILAR_Z} * sqrt(pooled * (1 - pooled) * (1 / greatest(m, 1) + 1 / greatest(om, 1))) AS merged FROM r1),
-        r3 AS (SELECT host, template, CASE WHEN merged THEN sum(m) OVER g ELSE m END AS mm, CASE WHEN merged THEN sum(b) OVER g ELSE b END AS bb, hrate FROM r2 WINDOW g AS (PARTITION BY host, parent, merged)),
-        r AS (SELECT host, template, (bb + {u.PRIOR} * hrate) / (mm + {u.PRIOR}) AS purity FROM r3)
+        pool AS (SELECT host, parent AS top, sum(m) AS mm, sum(b) AS bb FROM r2 WHERE merged GROUP BY host, parent),
+        held AS (SELECT node.host, tpl, max(level) AS level FROM node JOIN r2 ON r2.host = node.host AND r2.node = node.node WHERE NOT merged GROUP BY node.host, tpl),
+        top AS (SELECT step.host, step.tpl, m, b, marks[1:coalesce(level, 0)] AS top FROM step LEFT JOIN held ON held.host = step.host AND held.tpl = step.tpl),
+        rated AS (SELECT host, (sum(b) + {u.PRIOR} * (SELECT sum(b) / (sum(m) + 1) FROM leaf)) / (sum(m) + {u.PRIOR}) AS hrate FROM leaf GROUP BY host),
+        r AS (SELECT top.host, tpl, (coalesce(bb, b) + {u.PRIOR} * hrate) / (coalesce(mm, m) + {u.PRIOR}) AS purity
+              FROM top JOIN rated ON rated.host = top.host LEFT JOIN pool ON pool.host = top.host AND pool.top = top.top)
         SELECT page_id, p.host, path, {rule.replace("host", "p.host")} AS rule, coalesce({fixed.replace("host", "p.host")}, CASE WHEN purity >= {u.REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
-               r.template, round(purity, 9) AS purity
-        FROM p JOIN t{u.DEPTH} t ON t.host = p.host AND t.segs = p.segs JOIN r ON r.host = t.host AND r.template = t.template"""
+               CASE WHEN len(t.tpl) > 0 THEN '/' || array_to_string(t.tpl, '/') ELSE '' END AS template, round(purity, 9) AS purity
+        FROM p JOIN t ON t.host = p.host AND t.segs = p.segs JOIN r ON r.host = t.host AND r.tpl = t.tpl"""
 
 
 ORACLE_SQL["op8_url_filter"] = _url_filter_sql()

@@ -120,6 +120,89 @@ def test_templates_learn_from_labels(spark):
     assert {(r["template"], r["verdict"]) for r in got if r["host"] == "blog.example.org"} == {("/user/*", "allow")}
 
 
+def plain_tree(rows, bad):
+    """(template, purity) of each (id, host, path): the tree from its definition, with dictionaries."""
+    u = url_filter
+    urls = {}
+    for i, host, path in rows:
+        segs = [s for s in re.sub(r"[0-9]+", "*", re.sub(r"[0-9a-fA-F]{8,}(?:-[0-9a-fA-F]{4,})*", "*", path)).split("/") if s]
+        e = urls.setdefault((host, tuple(segs)), [0, 0, 0, ()])
+        e[0] += 1
+        e[1] += i in bad
+        e[2] += bad.get(i, 0)
+    for k in range(max((len(s) for _, s in urls), default=0)):
+        kids = {}
+        for (h, s), (n, _, _, t) in urls.items():
+            if len(s) > k:
+                at = kids.setdefault((h, t), {})
+                at[s[k]] = at.get(s[k], 0) + n
+        for (h, s), e in urls.items():
+            if len(s) > k:
+                c = kids[h, e[3]]
+                wide = len(c) >= u.MANY_CHILDREN and max(c.values()) < u.TOP_SHARE * sum(c.values())
+                e[3] += ("*" if wide else s[k],)
+    sums, leaves = {}, {}
+    for (h, _), (_, m, b, t) in urls.items():
+        marks = (*("/" + x for x in t), "end")
+        leaves.setdefault((h, marks), [0, 0])
+        for at in (leaves[h, marks], *(sums.setdefault((h, marks[:k]), [0, 0]) for k in range(len(marks) + 1))):
+            at[0] += m
+            at[1] += b
+    merged, pools = {}, {}
+    for (h, node), (m, b) in sums.items():
+        if node:
+            pm, pb = sums[h, node[:-1]]
+            om, ob = pm - m, pb - b
+            p = (ob + b + 1) / (om + m + 2)
+            error = (p * (1 - p) * (1 / max(m, 1) + 1 / max(om, 1))) ** 0.5
+            merged[h, node] = m == 0 or om == 0 or abs(b / max(m, 1) - ob / max(om, 1)) <= u.SIMILAR_Z * error
+            if merged[h, node]:
+                pool = pools.setdefault((h, node[:-1]), [0, 0])
+                pool[0] += m
+                pool[1] += b
+    all_m, all_b = (sum(x[j] for x in leaves.values()) for j in (0, 1))
+    out = {}
+    for (h, s), (_, _, _, t) in urls.items():
+        marks = (*("/" + x for x in t), "end")
+        top = max((k for k in range(1, len(marks) + 1) if not merged[h, marks[:k]]), default=0)
+        m, b = pools.get((h, marks[:top]), leaves[h, marks]) if top < len(marks) else leaves[h, marks]
+        hm, hb = sums[h, ()]
+        rate = (hb + u.PRIOR * all_b / (all_m + 1)) / (hm + u.PRIOR)
+        out[h, s] = ("".join("/" + x for x in t), (b + u.PRIOR * rate) / (m + u.PRIOR))
+    return out
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_template_tree_equals_a_plain_one(spark, monkeypatch, limit):
+    monkeypatch.setattr(url_filter, "BROADCAST_NODES", limit)
+    rng = random.Random(12)
+    name = lambda n: "".join(rng.choice("ghijkl") for _ in range(n))
+    rows = []
+    for i in range(900):
+        kind = rng.randrange(6)
+        path = [f"/user/{name(4)}/post/{name(5)}", f"/a/b/c/{rng.choice('pq')}/{name(1)}", f"/shop/{rng.choice(['deals', 'docs', 'faq'])}/{i}", "/" + "/".join("x" * rng.randrange(1, 3) for _ in range(rng.randrange(0, 30))), "/one" * 25 + f"/{name(4)}", ""][kind]
+        rows.append((i, rng.choice(["big.org", "big.org", "b.net", ""]), path))
+    bad = {i: int("deals" in p or (p.startswith("/a/b/c/p") and rng.random() < 0.8) or rng.random() < 0.1) for i, _, p in rows if rng.random() < 0.7}
+    df = spark.createDataFrame([(i, f"http://{h}{p}", "", "") for i, h, p in rows], PAGE)
+    labels = spark.createDataFrame([(i, 1, v) for i, v in bad.items()], "doc_id long, quality int, toxic int")
+    want_ = plain_tree(rows, bad)
+    got = url_filter.filter_urls(df, labels, []).collect()
+    paths = {i: (h, tuple(s for s in re.sub("[0-9]+", "*", p).split("/") if s)) for i, h, p in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        template, purity = want_[paths[r["page_id"]]]
+        assert r["template"] == template and r["purity"] == pytest.approx(purity) and r["verdict"] == ("block" if purity >= url_filter.REJECT else "allow")
+
+
+def test_plans_do_not_grow_with_the_depth(spark):
+    exchanges = []
+    for depth in (4, 8, 16):
+        rows = [(i, "http://h.org/" + "/".join(f"{chr(97 + i % 5)}{k}" if k % 2 else chr(97 + i % 7) for k in range(depth)), "", "") for i in range(100)]
+        got = url_filter.filter_urls(spark.createDataFrame(rows, PAGE), spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int"), [])
+        exchanges.append(got._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+    assert exchanges[0] == exchanges[1] == exchanges[2] < 12
+
+
 def test_deep_paths_and_repeated_rows(spark):
     deep = "http://d.org/" + "/".join(f"s{chr(97 + i)}" for i in range(20))
     df = spark.createDataFrame([(1, deep, "", ""), (1, deep, "", ""), (2, "http://d.org//a///b", "", "")], PAGE)
