@@ -5,16 +5,20 @@ children makes them one wildcard; a round takes one level of every node that cou
 so many, and is a written table, so neither plan nor work grows with the depth of other paths. Then, at every level,
 a branch whose labelled rate agrees with that of the branches beside it is merged with them; a
 template is judged by the labels of the largest merged branch that holds it.
+
+Joins on a node have one row for each node on one side: adaptive execution broadcasts that side
+where its measured size allows, and else splits the rows of a large host.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, drop_stored, remove, scratch, stored
+from .common import LOWER, UPPER, scratch, stored
 
 #: A node's children become one wildcard if there are this many and none has this share of its URLs.
 MANY_CHILDREN, TOP_SHARE = 20, 0.2
@@ -22,8 +26,6 @@ MANY_CHILDREN, TOP_SHARE = 20, 0.2
 SIMILAR_Z = 2.0
 #: Weight of the host's rate in a template's (and of the overall rate in a host's), and the rate that rejects.
 PRIOR, REJECT = 8.0, 0.5
-#: Nodes that are joined by a broadcast; more go by a join whose rows of one node adaptive execution can split.
-BROADCAST_NODES = 100_000
 
 
 def url_parts(url):
@@ -52,16 +54,12 @@ def _segments(path):
     return F.filter(F.split(plain, "/"), lambda s: s != "")
 
 
-def _few(nodes: DataFrame) -> DataFrame:
-    return F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-
-
-def generalised(urls: DataFrame, path: str) -> DataFrame:
-    """urls: (host, segs, n), one row each. Returns (host, segs, tpl): the segments with wildcards, kept in the folder ``path``."""
+def generalised(urls: DataFrame) -> DataFrame:
+    """urls: (host, segs, n), one row each. Returns (host, segs, tpl): the segments with wildcards."""
     spark = urls.sparkSession
-    strings = F.array().cast("array<string>")
-    now = stored(urls.select("host", "segs", "n", strings.alias("tpl"), F.lit(0).alias("level")), "url-level")
-    while True:
+    path = f"{scratch(spark)}/url-levels-{uuid.uuid4().hex}"
+    now = urls.select("host", "segs", "n", F.array().cast("array<string>").alias("tpl"), F.lit(0).alias("level"))
+    for i in itertools.count():
         left = F.slice("segs", F.col("level") + 1, F.greatest(F.size("segs") - F.col("level"), F.lit(0)))
         going = now.where(F.size("segs") > F.col("level"))
         children = going.groupBy("host", "tpl", F.get("segs", F.col("level")).alias("seg")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min(left).alias("first"), F.max(left).alias("last"))
@@ -71,20 +69,18 @@ def generalised(urls: DataFrame, path: str) -> DataFrame:
         # what all paths of a node begin with is passed at once; nodes of fewer paths than a wildcard needs are done
         differ = F.array_position(F.zip_with("first", "last", lambda x, y: ~x.eqNullSafe(y)), True)
         alike = F.when(differ == 0, F.size("first")).otherwise(differ - 1).cast("int")
-        nodes = stored(nodes.where(F.col("rows") >= MANY_CHILDREN).select("host", "tpl", "wide", alike.alias("alike")), "url-nodes")
-        told = now.join(_few(nodes), ["host", "tpl"], "left")
+        nodes = nodes.where(F.col("rows") >= MANY_CHILDREN).select("host", "tpl", "wide", alike.alias("alike"))
+        told = now.join(nodes, ["host", "tpl"], "left")
         open_ = F.col("wide").isNotNull() & (F.size("segs") > F.col("level"))
         step = F.when(~open_, F.size("segs") - F.col("level")).otherwise(F.greatest(F.col("alike"), F.lit(1)))
         more = F.when(open_ & F.col("wide"), F.array(F.lit("*"))).otherwise(F.slice("segs", F.col("level") + 1, F.greatest(step, F.lit(0))))
-        told = stored(told.select("host", "segs", "n", F.concat("tpl", more).alias("tpl"), (F.col("level") + step).alias("level"), open_.alias("open")), "url-level")
-        told.where("not open").select("host", "segs", "tpl").write.mode("append").parquet(path)
-        drop_stored(now, nodes)
-        now = told
-        if not told.where("open").limit(1).count():
-            drop_stored(now)
-            return spark.read.schema(urls.select("host", "segs", F.col("segs").alias("tpl")).schema).parquet(path)
+        told = told.select("host", "segs", "n", F.concat("tpl", more).alias("tpl"), (F.col("level") + step).alias("level"), open_.alias("open"))
+        told.write.parquet(f"{path}/round={i}")
+        told = spark.read.schema(told.schema).parquet(f"{path}/round={i}")
         now = told.where("open").drop("open")
-        now.stored_at = told.stored_at
+        if not now.limit(1).count():
+            done = urls.select("host", "segs", F.col("segs").alias("tpl"), F.lit(True).alias("open"))
+            return spark.read.schema(done.schema).parquet(path).where("not open").select("host", "segs", "tpl")
 
 
 def branch_purity(leaves: DataFrame) -> DataFrame:
@@ -95,45 +91,38 @@ def branch_purity(leaves: DataFrame) -> DataFrame:
     start = F.array(F.md5(F.concat(F.lit("/"), "host").cast("binary")))
     below = lambda acc, s: F.array_append(acc, F.md5(F.concat(F.element_at(acc, -1), s).cast("binary")))
     marks = F.concat(F.transform("tpl", lambda s: F.concat(F.lit("/"), s)), F.array(F.lit("end")))
-    paths = stored(leaves.select("host", "tpl", "m", "b", F.aggregate(marks, start, below).alias("path")), "url-paths")
+    paths = leaves.select("host", "tpl", "m", "b", F.aggregate(marks, start, below).alias("path"))
     each = paths.select("host", "tpl", "m", "b", "path", F.posexplode("path").alias("level", "node"))
     sums = each.groupBy("node").agg(F.max(F.get("path", F.col("level") - 1)).alias("parent"), F.sum("m").alias("m"), F.sum("b").alias("b"))
     sums = stored(sums, "url-sums")
     parents = sums.select(F.col("node").alias("parent"), F.col("m").alias("pm"), F.col("b").alias("pb"))
-    beside = sums.where("parent is not null").join(_few(parents), "parent")
+    beside = sums.where("parent is not null").join(parents, "parent")
     # branches whose labels agree with those of the branches beside them
     om, ob = F.col("pm") - F.col("m"), F.col("pb") - F.col("b")
     pooled = (ob + F.col("b") + 1) / (om + F.col("m") + 2)
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("m"), F.lit(1)) + 1 / F.greatest(om, F.lit(1))))
     gap = F.abs(F.col("b") / F.greatest(F.col("m"), F.lit(1)) - ob / F.greatest(om, F.lit(1)))
-    beside = stored(beside.select("node", "parent", "m", "b", ((F.col("m") == 0) | (om == 0) | (gap <= SIMILAR_Z * error)).alias("merged")), "url-beside")
+    beside = beside.select("node", "parent", "m", "b", ((F.col("m") == 0) | (om == 0) | (gap <= SIMILAR_Z * error)).alias("merged"))
     apart = beside.where("not merged").select("node")
     pools = beside.where("merged").groupBy(F.col("parent").alias("top")).agg(F.sum("m").alias("mm"), F.sum("b").alias("bb"))
     # the deepest branch of each path that stays apart, or the root: what is merged below it is judged together
-    held = each.where("level > 0").join(_few(apart), "node", "left_semi").groupBy("host", "tpl").agg(F.max("level").alias("held"))
+    held = each.where("level > 0").join(apart, "node", "left_semi").groupBy("host", "tpl").agg(F.max("level").alias("held"))
     tops = paths.join(held, ["host", "tpl"], "left").select("host", "tpl", "m", "b", F.get("path", F.coalesce("held", F.lit(0))).alias("top"))
     hosts = leaves.groupBy("host").agg(F.sum("m").alias("hm"), F.sum("b").alias("hb"))
     everything = leaves.agg((F.coalesce(F.sum("b"), F.lit(0)) / (F.coalesce(F.sum("m"), F.lit(0)) + 1)).alias("overall"))  # one row
-    rated = tops.join(_few(pools), "top", "left").join(_few(hosts), "host").join(F.broadcast(everything))
+    rated = tops.join(pools, "top", "left").join(hosts, "host").join(F.broadcast(everything))
     rate = (F.col("hb") + PRIOR * F.col("overall")) / (F.col("hm") + PRIOR)
     purity = (F.coalesce("bb", "b") + PRIOR * rate) / (F.coalesce("mm", "m") + PRIOR)
-    out = stored(rated.select("host", "tpl", purity.alias("purity")), "url-purity")
-    drop_stored(paths, sums, beside)
-    return out
+    return rated.select("host", "tpl", purity.alias("purity"))
 
 
 def template_verdicts(urls: DataFrame) -> DataFrame:
     """urls: (host, segs, n, labelled, bad), one row each. Returns (host, segs, template, purity, verdict)."""
-    path = f"{scratch(urls.sparkSession)}/url-done-{uuid.uuid4().hex}"
-    tree = generalised(urls, path).join(urls, ["host", "segs"])
-    leaves = stored(tree.groupBy("host", "tpl").agg(F.sum("labelled").alias("m"), F.sum("bad").alias("b")), "url-leaves")
-    judged = branch_purity(leaves)
-    out = tree.select("host", "segs", "tpl").join(judged, ["host", "tpl"])
+    tree = generalised(urls)
+    leaves = stored(tree.join(urls, ["host", "segs"]).groupBy("host", "tpl").agg(F.sum("labelled").alias("m"), F.sum("bad").alias("b")), "url-leaves")
+    out = tree.join(branch_purity(leaves), ["host", "tpl"])
     template = F.when(F.size("tpl") > 0, F.concat(F.lit("/"), F.array_join("tpl", "/"))).otherwise("")
-    out = stored(out.select("host", "segs", template.alias("template"), "purity", F.when(F.col("purity") >= REJECT, "block").otherwise("allow").alias("verdict")), "url-verdicts")
-    drop_stored(leaves, judged)
-    remove(urls.sparkSession, path)
-    return out
+    return out.select("host", "segs", template.alias("template"), "purity", F.when(F.col("purity") >= REJECT, "block").otherwise("allow").alias("verdict"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad=None) -> DataFrame:
@@ -154,9 +143,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     rows = pages.select(F.col(id_col).alias("__id"), host.alias("host"), path.alias("path")).withColumn("segs", _segments(F.col("path")))
     known = rows.join(marks, rows["__id"] == marks["__lid"], "left")
     urls = known.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("__bad").alias("labelled"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("bad"))
-    urls = stored(urls, "url-templates")
-    judged = template_verdicts(urls)
-    drop_stored(urls)
+    judged = template_verdicts(stored(urls, "url-templates"))
     rule, fixed = rule_of(F.col("host"), F.col("path"), rules)
     out = rows.join(judged.withColumnRenamed("verdict", "learned"), ["host", "segs"], "left")
     return out.select(F.col("__id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(fixed, F.col("learned"), F.lit("allow")).alias("verdict"), "template", "purity")
