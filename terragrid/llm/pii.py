@@ -2,18 +2,21 @@
 
 Detected entities get a replacement of the same type and format, made with a key: equal
 entities (after a type's normalisation) get equal surrogates in all texts, and different ones
-different surrogates. Numbers pass through a keyed permutation of their own domain
-(a Feistel network with cycle walking) that leaves none in its place, so two can't collide.
-Names and e-mail names are drawn by key from lists and syllables of their gender and script; a
-family name has 66 keyed bits, a full name 66 more of the whole name, an e-mail name 78, a
-secret four or more a letter. A surrogate depends on the entity and the key alone, never on the text.
+different surrogates. Every surrogate is a value of a keyed permutation (a Feistel network with cycle
+walking) of the domain of its format, which leaves none in its place: digits of numbers, and
+the letters of names, e-mail addresses and secrets, each among the letters of its script, case and kind
+(vowel or consonant). A given name has one of its gender before it. A surrogate depends on the entity and the key alone,
+never on the text. A pass over the corpus checks that no two entities share a surrogate.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
+import string
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,19 +33,21 @@ GIVEN = {
     ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Иван", "Кирилл", "Олег", "Павел", "Роман"),
 }
 HONORIFICS = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Dr": "n", "Prof": "n", "г-н": "m", "г-жа": "f"}
-SYLLABLES = ("ba", "co", "den", "fir", "gal", "hun", "jor", "kel", "lim", "mon", "nar", "pel", "rus", "sev", "tor", "vim")
-#: 64 pairs of letters by script: consonants, vowels; a family name or suffix has PAIRS of them.
-LETTERS = {"latin": ("bcdfghjklmnprstv", "aeio"), "cyrillic": ("бвгджзклмнпрстфх", "аеио")}
-PAIRS = 11
-#: Between a family name and the suffix of the whole name.
-JOINT = {"latin": "-", "cyrillic": ""}
+HONORIFICS |= {"Mx": "n", "Sir": "m", "Lady": "f", "Lord": "m", "Mlle": "f", "Mademoiselle": "f", "Fräulein": "f", "Señorita": "f", "Srta": "f", "Professor": "n", "господин": "m", "Господин": "m", "госпожа": "f", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
+#: What secrets of known issuers begin with, longest first.
+ISSUERS = ("sk-proj-", "glpat-", "xoxa-", "xoxb-", "xoxp-", "AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "pk-")
+#: Alphabets whose letters are told apart as vowels, signs and consonants.
+ALPHABETS = (("a", "z"), ("а", "я"), ("α", "ω"))
+VOWELS, SIGNS = "aeiouyаеиоуыэюяαεηιουω", "ъьς"
 #: Country codes of one digit and of two; all others have three.
 COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 
 _NAME = r"[^\W\d_a-zа-яß-öø-ÿ][^\W\d_]+"
 PATTERNS = {
     "email": r"(?<![\w.+-])\w[\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9])",
-    "secret": r"""(?<=[=:])(?P<open>\s*["'])(?P<value>[A-Za-z0-9+/_\-]{16,})(?=["'])""",
+    "secret": r"""(?<=[=:])\s*["'](?P<quoted>[A-Za-z0-9+/_\-]{16,})(?=["'])"""
+    r"""|(?i:(?:key|token|secret|passwd|password|pwd))\s*[=:]\s*(?P<bare>(?=[A-Za-z+/_\-]*\d)(?=[\d+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{16,})"""
+    r"""|(?<![A-Za-z0-9_\-])(?P<issued>(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?:sk|pk)-[A-Za-z0-9_\-]{20,}|gh[opusr]_[A-Za-z0-9]{36,}|xox[abp]-[A-Za-z0-9\-]{16,}|glpat-[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{35})""",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
@@ -54,7 +59,7 @@ _SCAN = re.compile("|".join(f"(?P<{k}_>{p})" for k, p in PATTERNS.items()))
 _ALONE = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: Cards as they are mostly written: in groups, with an issuer's first digits.
 _USUAL = re.compile(r"(?<!\d)(?:[3-6]\d{3}|2[2-7]\d{2})([ -]?)(?:\d{4}\1\d{4}\1\d{4}|\d{6}\1\d{5})(?!\d)")
-_HINT = re.compile(r"[@\d]|[\"'][A-Za-z+/_\-]{16}")
+_HINT = re.compile(r"[@\d]|[\"'][A-Za-z+/_\-]{16}|" + "|".join(ISSUERS))
 
 
 def may_have(text: str) -> bool:
@@ -70,18 +75,20 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _keyed(key: bytes, *parts) -> int:
-    return int.from_bytes(hmac.new(key, "\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), hashlib.sha256).digest()[:16], "big")
+def _keyed(key: bytes, *parts, bits: int = 128) -> int:
+    """A number of so many bits: HMAC-SHA256 of the parts, with a counter where one digest is too short."""
+    text = "\0".join(map(str, parts)).encode("utf-8", "surrogatepass")
+    blocks = [hmac.new(key, text + bytes([i]) * bool(i), hashlib.sha256).digest() for i in range(-(-bits // 256))]
+    return int.from_bytes(b"".join(blocks), "big") >> (256 * len(blocks) - bits)
 
 
 def permute(key: bytes, label: str, value: int, size: int) -> int:
     """A keyed permutation of range(size): six Feistel rounds over the next even number of bits, walked until inside."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
     while True:
-        left, right = value >> half, value & mask
+        left, right = value >> half, value & ((1 << half) - 1)
         for r in range(6):
-            left, right = right, left ^ (_keyed(key, label, r, right) & mask)
+            left, right = right, left ^ _keyed(key, label, r, right, bits=half)
         value = (left << half) | right
         if value < size:
             return value
@@ -108,23 +115,73 @@ def _digits_like(form: str, digits: str) -> str:
     return "".join(chr(ord(c) - int(c) + int(next(it))) if c.isdecimal() else c for c in form)
 
 
-def _syllables(n: int, count: int) -> str:
-    return "".join(SYLLABLES[(n >> (4 * i)) & 15] for i in range(count))
-
-
-def _pairs(n: int, script: str) -> str:
-    consonants, vowels = LETTERS[script]
-    return "".join(consonants[(n >> (6 * i)) & 15] + vowels[(n >> (6 * i + 4)) & 3] for i in range(PAIRS))
+@functools.cache
+def letters_like(ch: str) -> str:
+    """What may stand for a lower-case letter or a digit: digits of its script; of an alphabet, its vowels, signs or
+    consonants; else the letters of its script and case in its block of 256. "" for what stays as it is."""
+    if ch.isdecimal():
+        return "".join(chr(ord(ch) - int(ch) + i) for i in range(10))
+    if not ch.isalpha():
+        return ""
+    kind = lambda c: "v" if c in VOWELS else "s" if c in SIGNS else "c"
+    for first, last in ALPHABETS:
+        if first <= ch <= last:
+            return "".join(c for c in map(chr, range(ord(first), ord(last) + 1)) if kind(c) == kind(ch))
+    script = lambda c: (unicodedata.category(c), unicodedata.name(c, "").split(" ")[0])
+    core = lambda c: any(a <= c <= b for a, b in ALPHABETS)
+    stable = lambda c: c.lower() == c and len(c.upper()) == 1 and c.upper().lower() == c and c.isalpha()
+    block = ord(ch) & ~255
+    same = [c for c in map(chr, range(block, block + 256)) if script(c) == script(ch) and not core(c) and stable(c)]
+    return "".join(same) if ch in same else ""
+
+
+def reformed(key: bytes, label: str, text: str, sets: list[str]) -> str:
+    """A keyed permutation, without fixed points, of all texts whose letters come from the same sets; "" keeps a letter."""
+    value, size = 0, 1
+    for ch, s in zip(text, sets):
+        if s:
+            value, size = value * len(s) + s.index(ch), size * len(s)
+    if size < 2:
+        return text
+    value = permute_all(key, "\0".join([label, *(s or ch for ch, s in zip(text, sets))]), value, size)
+    out = []
+    for ch, s in zip(reversed(text), reversed(sets)):
+        if s:
+            value, at = divmod(value, len(s))
+            ch = s[at]
+        out.append(ch)
+    return "".join(reversed(out))
+
+
+def reformed_word(key: bytes, label: str, word: str) -> str:
+    """A word of the same scripts and form; upper case stays where it was."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in word)
+    new = reformed(key, label, low, [letters_like(c) for c in low])
+    return "".join(n.upper() if c != l else n for n, c, l in zip(new, word, low))
+
+
+def family_name(key: bytes, word: str) -> str:
+    """The word's letters permuted, behind a keyed pair of its script: longer than the word, so that it is seldom another's real name."""
+    low = word.lower()
+    span = next(("".join(map(chr, range(ord(a), ord(b) + 1))) for a, b in ALPHABETS if a <= low[0] <= b), "")
+    sets = ("".join(c for c in span if c not in VOWELS + SIGNS), "".join(c for c in span if c in VOWELS)) if span else (letters_like(low[0]),) * 2
+    n = _keyed(key, "pair", low)
+    pair = "".join(s[(n >> (16 * i)) % len(s)] for i, s in enumerate(sets) if s)
+    new = reformed_word(key, "family", word)
+    return (pair + new.lower()).capitalize() if pair and word[1:] == low[1:] else pair.upper() + new
+
+
+def _secret_form(text: str) -> tuple[str, bool]:
+    """Issuer's beginning, and whether the rest is of hexadecimal digits."""
+    begin = next((i for i in ISSUERS if text.startswith(i)), "")
+    return begin, re.fullmatch(r"[0-9a-f]+", text[len(begin) :]) is not None
 
 
 def surrogate(kind: str, found: str, key: bytes) -> str:
     """The replacement of an entity."""
     label = kind
     if kind == "email":
-        user, _, _ = found.lower().partition("@")
-        n = _keyed(key, label, found.lower())
-        sep = next((c for c in "._-" if c in user), ".")
-        return f"{_syllables(n, 3)}{sep}{(n >> 12) % 10**20:020d}@example.invalid"
+        return reformed_word(key, label, found.lower()) + ".invalid"
     digits = _digits(found)
     if kind == "ip":
         n = permute_all(key, label, int.from_bytes(bytes(map(int, found.split("."))), "big"), 1 << 32)
@@ -140,25 +197,22 @@ def surrogate(kind: str, found: str, key: bytes) -> str:
         rest = digits[code:]
         return _digits_like(found, digits[:code] + f"{permute_all(key, f'{label}{digits[:code]}/{len(rest)}', int(rest), 10 ** len(rest)):0{len(rest)}d}")
     if kind == "secret":
-        n, out = 0, ""
-        hexa = re.fullmatch(r"[0-9a-f]+", found)
-        letters = "0123456789abcdef" if hexa else "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-        while len(out) < len(found):
-            v = _keyed(key, label, found, n)
-            out += "".join(letters[(v >> (6 * i)) % len(letters)] for i in range(20))
-            n += 1
-        return out[: len(found)]
+        begin, hexa = form = _secret_form(found)
+        classes = ("0123456789abcdef",) if hexa else (string.ascii_uppercase, string.ascii_lowercase, string.digits)
+        sets = ["" if i < len(begin) else next((s for s in classes if c in s), "") for i, c in enumerate(found)]
+        new = reformed(key, label, found, sets)
+        while _secret_form(new) != form:  # walked until it is of the same form, as others of it are
+            new = reformed(key, label, new, sets)
+        return new
     title, _, name = found.partition(" ")
-    script = "cyrillic" if re.search("[А-яЁё]", name) else "latin"
-    gender = HONORIFICS[title.rstrip(".")]
     words = name.split(" ")
-    family = _keyed(key, "name", words[-1].lower())
-    gender = gender if gender != "n" else "fm"[_keyed(key, "gender", name.lower()) & 1]
-    out = [_pairs(family, script).capitalize()]
+    out = [family_name(key, words[-1])]
     if len(words) > 1:
-        given = GIVEN[script, gender]
-        suffix = _pairs(_keyed(key, "whole", name.lower()), script)
-        out = [given[_keyed(key, "given", words[0].lower()) % len(given)], out[0] + JOINT[script] + (suffix.capitalize() if JOINT[script] else suffix)]
+        gender = HONORIFICS[title.rstrip(".")]
+        gender = gender if gender != "n" else "fm"[_keyed(key, "gender", words[0].lower()) & 1]
+        given = GIVEN.get(("cyrillic" if re.search("[А-яЁё]", name) else "latin" if words[0].isascii() or re.search("[A-Za-z]", name) else "", gender), ())
+        own = reformed_word(key, "given", words[0])
+        out.insert(0, f"{given[_keyed(key, 'given', words[0].lower()) % len(given)]}-{own}" if given else own)
     return f"{title} {' '.join(out)}"
 
 
@@ -179,11 +233,14 @@ def identity(kind: str, found: str) -> str:
         return "+" * (found[0] == "+") + _digits(found)
     if kind == "ip":
         return ".".join(str(int(x)) for x in found.split("."))
-    return found.lower() if kind in ("email", "name") else found
+    if kind == "name":
+        title, _, name = found.partition(" ")
+        return f"{HONORIFICS[title.rstrip('.')]} {name.lower()}"
+    return found.lower() if kind == "email" else found
 
 
 def _span(kind: str, m: re.Match) -> tuple[int, int]:
-    return m.span("value") if kind == "secret" else m.span()
+    return m.span(next(g for g in ("quoted", "bare", "issued") if m[g])) if kind == "secret" else m.span()
 
 
 def _others(text: str, start: int):
@@ -242,13 +299,44 @@ def replace_entities(text: str, key: bytes) -> tuple[str, dict[str, int], int]:
     return "".join(out), counts, len(seen)
 
 
-def surrogates(df: DataFrame, key: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def entity_table(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """(kind, entity, surrogate): each different entity of the corpus once, both as keyed digests of their identities."""
+    secret = key.encode()
+    digest = lambda kind, found: hmac.new(secret, f"{kind}\0{identity(kind, found)}".encode("utf-8", "surrogatepass"), hashlib.sha256).digest()[:16]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                seen = {}
+                for t in b.column(0).slice(at, 512).to_pylist():
+                    if t and may_have(t):
+                        for kind, start, end in entities(t):
+                            found = t[start:end]
+                            entity = kind, digest(kind, found)
+                            if entity not in seen:
+                                seen[entity] = digest(kind, surrogate(kind, found, secret))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([e for _, e in seen], pa.binary()), pa.array(seen.values(), pa.binary())], names=["kind", "entity", "surrogate"])
+
+    return df.select(text_col).mapInArrow(run, "kind string, entity binary, surrogate binary").distinct()
+
+
+def collisions(table: DataFrame) -> DataFrame:
+    """(kind, surrogate) that several entities share, and (kind, entity) that has several surrogates, of an entity_table."""
+    one = table.groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a <> b").select("kind", F.lit("shared").alias("what"))
+    two = table.groupBy("kind", "entity").agg(F.min("surrogate").alias("a"), F.max("surrogate").alias("b")).where("a <> b").select("kind", F.lit("split").alias("what"))
+    return one.unionByName(two)
+
+
+def surrogates(df: DataFrame, key: str, text_col: str = "text", carry: list[str] | None = None, check: bool = True) -> DataFrame:
     """The columns of ``df`` (or those in ``carry``) with the text replaced, n_entities,
     n_distinct and n_<type> (long).
 
-    One row for each row. A null text stays null, an empty one empty; a text without entities is
-    unchanged. Columns named like an added one are replaced.
+    One row for each row, repeated ones too. A null text stays null, an empty one empty; a text without entities is
+    unchanged, one of any length is scanned whole. Columns named like an added one are replaced. ``check``: a pass before
+    this one compares all entities of the corpus, and raises ValueError if two share a surrogate or one has two.
     """
+    if check and (bad := collisions(entity_table(df, key, text_col)).limit(1).collect()):
+        raise ValueError(f"surrogates of kind {bad[0]['kind']} are {bad[0]['what']}")
     secret = key.encode()
     added = ["n_entities", "n_distinct", *(f"n_{t}" for t in TYPES)]
     carry = [c for c in (df.columns if carry is None else carry) if c not in (text_col, *added)]
