@@ -34,7 +34,7 @@ SHINGLE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Signatures of a bucket are compared with this many standard errors below the threshold.
 SLACK = 4.5
 #: Members of a bucket that one task compares with each other; in larger ones with HEADS of them first.
-BUCKET_BLOCK, HEADS = 4096, 8
+BUCKET_BLOCK, HEADS = 1024, 8
 #: Texts, and words, of a block: what a task compares at once is two blocks, however large the family is.
 TEXT_BLOCK, WORD_BLOCK = 1024, 1_000_000
 #: Distances from a family's pivot are told in bins, so many to the largest distance of a link.
