@@ -140,7 +140,10 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
 
 
 def bpe_decode(df: DataFrame, ids_col: str = "ids", vocabulary: str = "byte_bpe_50k.tiktoken", carry: list[str] | None = None) -> DataFrame:
-    """The columns in ``carry`` (default: all but the ids) and decoded binary: the ids' bytes one after another."""
+    """The columns in ``carry`` (default: all but the ids) and decoded binary: the ids' bytes one after another.
+
+    One row for each row; null and empty ids give no bytes, an id outside the vocabulary raises an error. A given
+    column named decoded is replaced."""
     carry = [c for c in (df.columns if carry is None else carry) if c not in (ids_col, "decoded")]
 
     def run(batches):

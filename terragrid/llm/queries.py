@@ -73,11 +73,14 @@ ORACLE_SQL: dict[str, str] = {
         WITH w(source, weight) AS (VALUES {_weights}),
         d AS (SELECT doc_id, text, lang, documents.source, n_chars, coalesce(w.source, '') AS s,
                      coalesce(w.weight, 1 - (SELECT sum(weight) FROM w)) AS weight FROM documents LEFT JOIN w ON documents.source = w.source),
-        r AS (SELECT *, (count(*) OVER ())::DOUBLE * weight / count(*) OVER (PARTITION BY s) AS rate,
-                     ('0x' || substr(md5(doc_id::VARCHAR || ':20260101'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM d),
-        p AS (SELECT rate, j, sum(exp(-rate + j * ln(rate) - lgamma(j + 1))) OVER (PARTITION BY rate ORDER BY j) AS c
-              FROM (SELECT DISTINCT rate FROM r), (SELECT unnest(range(0, 80))::DOUBLE AS j)),
-        k AS (SELECT r.doc_id, text, lang, source, n_chars, count(*) AS copies FROM r JOIN p ON p.rate = r.rate AND p.c <= r.u GROUP BY ALL)
+        r AS (SELECT *, (count(*) OVER ())::DOUBLE * weight / count(*) OVER (PARTITION BY s) AS rate FROM d),
+        m AS (SELECT doc_id, unnest(range(0, (rate // {mixing.MOST_RATE})::BIGINT + 1)) AS part, rate FROM r),
+        x AS (SELECT doc_id, CASE WHEN part = 0 THEN rate % {mixing.MOST_RATE} ELSE {mixing.MOST_RATE} END AS mean,
+                     ('0x' || substr(md5(doc_id::VARCHAR || ':20260101' || CASE WHEN part > 0 THEN ':' || part::VARCHAR ELSE '' END), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM m),
+        p AS (SELECT mean, j, sum(exp(-mean + j * ln(mean) - lgamma(j + 1))) OVER (PARTITION BY mean ORDER BY j) AS c
+              FROM (SELECT DISTINCT mean FROM x WHERE mean > 0), (SELECT unnest(range(0, 160))::DOUBLE AS j)),
+        n AS (SELECT doc_id, count(*) AS copies FROM x JOIN p ON p.mean = x.mean AND p.c <= x.u GROUP BY doc_id),
+        k AS (SELECT r.doc_id, text, lang, source, n_chars, copies FROM r JOIN n ON n.doc_id = r.doc_id)
         SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, md5(doc_id::VARCHAR || ':' || copy::VARCHAR || ':20260101') AS mix_key
         FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM k)""",
 }

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import uuid
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, sorted_groups, stored
+from .common import scratch, sorted_groups, stored
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 _M, _E = len(MAGIC), len(END)
@@ -133,7 +134,7 @@ def _reached(spark: SparkSession, path: str) -> DataFrame:
     nodes = stored(records.join(records.select("file", F.col("to").alias("at")).union(start).distinct(), ["file", "at"], "left_semi"), "warc-nodes")
     reach, jump = start, nodes.select("file", "at", "to")
     have = -1
-    for i in range(64):
+    for i in itertools.count():
         reach = stored(reach.union(reach.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))).distinct(), f"warc-reach-{i}")
         now = reach.count()
         if now == have:
@@ -234,7 +235,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
     payload_bytes and payload_digest (base32 SHA-1) are those of the stored payload; a revisit's
     is empty. ``with_payload`` False leaves the payload out, so that it never leaves the task.
-    Files without a record give none; bytes that no chain from a file's start reaches are no records.
+    Files without a record give none; bytes that no chain from a file's start reaches are no records. Files
+    ending in .gz are read through Spark's codec, each as one range (the format can't be split); of members too.
     """
     reached = stored(_reached(spark, path), "warc-reached")
     chunks = _chunks(spark, path)
@@ -249,15 +251,17 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Writes ``pages`` as WARC in the shared folder, reads the archives, and gives for each record
-    (id, payload_bytes, payload_digest, record_type, refers_to): payload figures of the whole
+    (id, payload_bytes, payload_digest, record_type, refers_to): figures of the whole
     payload, a revisit's from the record it refers to, checked against the digest both declare."""
     spark = pages.sparkSession
-    path = write_warc(pages, f"{shared_dir(spark)}/terragrid-tables/warc-{uuid.uuid4().hex}", id_col, url_col, payload_col, least_bytes)
+    path = write_warc(pages, f"{scratch(spark)}/warc-{uuid.uuid4().hex}", id_col, url_col, payload_col, least_bytes)
     records = read_warc(spark, path, with_payload=False)
     kind = pages.schema[id_col].dataType
     number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(.*)>$", 1), F.lit("null"))
     rows = records.select(number(F.col("record_id")).alias("id"), "record_type", number(F.col("refers_to")).alias("ref"), F.regexp_replace("declared_digest", "^sha1:", "").alias("declared"), "payload_bytes", "payload_digest")
     own = rows.where("record_type = 'response'").select(F.col("id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.lit(None).cast(kind).alias("refers_to"))
     first = rows.where("record_type = 'response'").groupBy(F.col("id").alias("ref"), F.col("payload_digest").alias("declared")).agg(F.max("payload_bytes").alias("whole"))
-    other = rows.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(first, ["ref", "declared"])
+    other = rows.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(first, ["ref", "declared"], "left")
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce("id", F.lit("null")), F.lit(" of "), F.coalesce("ref", F.lit("null"))))
+    other = other.withColumn("whole", F.when(F.col("whole").isNull(), lost.cast("long")).otherwise(F.col("whole")))
     return own.unionByName(other.select(F.col("id").cast(kind).alias(id_col), F.col("whole").alias("payload_bytes"), F.col("declared").alias("payload_digest"), "record_type", F.col("ref").cast(kind).alias("refers_to")))

@@ -51,6 +51,22 @@ def test_exact_dedup_null_ids_and_empty_tables(spark):
     assert empty.count() == 0 and empty.columns == ["doc_id", "text", "source", "keep_id", "group_size", "kept", "text_sha256"]
 
 
+def test_exact_dedup_null_ids_are_spread_and_any_column_name_goes(spark):
+    rows = [(None, f"text {i}", i, {"a": i}) for i in range(2000)] + [(None, "the same", i, None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __order long, `od.d``n` map<string, int>").withColumnsRenamed({"__order": "__norm"})
+    df = df.withColumns({c: F.lit(1) for c in ("__order", "norm", "range", "row", "key", "id", "n", "top", "rank", "digest", "__u", "best", "all")})
+    out = exact_dedup(df, ranges=8)
+    assert out.columns == [*df.columns, "keep_id", "group_size", "kept", "text_sha256"]
+    got = out.withColumn("part", F.spark_partition_id()).collect()
+    assert sum(r["kept"] for r in got) == 2001 and {r["group_size"] for r in got if r["text"] == "the same"} == {1000}
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r["part"]] += 1
+    assert len(sizes) == 8 and max(sizes.values()) < 1000
+    words = spark.createDataFrame([("b", "T"), ("a", "t"), (None, "t")], "doc_id string, text string")
+    assert {(r["doc_id"], r["kept"], r["keep_id"]) for r in exact_dedup(words).collect()} == {("b", True, "b"), ("a", False, "b"), (None, False, "b")}
+
+
 def shingles(text, k=5):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UP))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())

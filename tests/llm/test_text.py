@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terragrid.llm import bpe, lm, mixing, pii, quality, token_counts
 
@@ -48,6 +49,12 @@ def test_bpe_digests_round_trip(spark):
         assert bytes(r["decoded"]).decode() == (texts[r["doc_id"]] or "")
 
 
+def test_bpe_decode_of_no_ids(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, b"", "x"), (2, struct.pack("<2I", 64, 65), "x")], "doc_id long, ids binary, decoded string")
+    got = bpe.bpe_decode(df).collect()
+    assert sorted((r["doc_id"], len(r["decoded"])) for r in got)[:2] == [(1, 0), (2, 0)] and got[0].asDict().keys() == {"doc_id", "decoded"}
+
+
 def test_bpe_repeated_identifiers_keep_a_row_each(spark):
     df = spark.createDataFrame([(1, prose(1, 100)), (1, prose(1, 100)), (1, "b"), (None, prose(2, 90))], "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in bpe.bpe_encode(df, chunk=50, overlap=20).collect()) == sorted((str(i), len(bpe.load("byte_bpe_50k.tiktoken").encode_ordinary(t))) for i, t in [(1, prose(1, 100)), (1, prose(1, 100)), (1, "b"), (None, prose(2, 90))])
@@ -132,6 +139,36 @@ def test_mixing_odd_tables(spark):
         mixing.mix_sources(df, {"x": 1.2})
 
 
+def test_mixing_without_identifiers_and_with_any_column_name(spark):
+    rows = [(None, f"t{i}", "x", {"a": i}) for i in range(400)] + [(f"{i}", "t", None, None) for i in range(100)] + [("null", "t", "x", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, m map<string, int>")
+    df = df.withColumns({c: F.lit(7) for c in ("__u", "__copies", "u", "copies", "name", "row", "od.d")})
+    out = mixing.mix_sources(df, {"x": 0.5}, 900.0)
+    assert out.columns == [*df.columns, "copy", "mix_key"]
+    got = [r for r in out.collect() if r["doc_id"] is None]
+    have = {}
+    for r in got:
+        assert r["__u"] == r["copies"] == 7
+        have[r["text"]] = have.get(r["text"], 0) + 1
+    assert set(have.values()) >= {1, 2} and 200 < len(have) < 400 and 350 < len(got) < 550
+
+
+def test_large_rates_are_sums_of_poisson_counts(spark):
+    df = spark.createDataFrame([(i, "t", "x") for i in range(300)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["count"] for r in mixing.mix_sources(df, {"x": 1.0}, 300 * 150.5).groupBy("doc_id").count().collect()}
+
+    def inverse(rate, name):
+        u, k, c = int(hashlib.md5(name.encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate)
+        while c <= u:
+            k += 1
+            c += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+        return k
+
+    want = {i: inverse(150.5 - 128, f"{i}:20260101") + sum(inverse(32.0, f"{i}:20260101:{j}") for j in range(1, 5)) for i in range(300)}
+    assert got == want
+    assert max(len(mixing.poisson_steps(r)) for r in (0.1, 1, 31.9, 32.0)) < 120
+
+
 # --- quality
 
 

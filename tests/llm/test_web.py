@@ -69,6 +69,31 @@ def test_records_are_whole_and_chains_end_at_damage(spark, tmp_path):
     assert got == {"<r1>": "one", "<r2>": f"in {rec(9, 'payload')} out", "<r3>": "", "<r4>": "four"}
 
 
+def test_archives_in_gzip_are_read(spark, tmp_path):
+    import gzip
+
+    rec = lambda i, body: f"{MAGIC}WARC-Type: resource\r\nWARC-Record-ID: <r{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(rec(i, f"body {i} {MAGIC}" * i)) for i in range(30)))  # a member for each record
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(rec(i, "x" * i) for i in range(100, 130))))
+    got = {r["record_id"]: bytes(r["payload"]).decode() for r in warc.read_warc(spark, f"file://{tmp_path}").collect()}
+    assert got == {f"<r{i}>": f"body {i} {MAGIC}" * i for i in range(30)} | {f"<r{i}>": "x" * i for i in range(100, 130)}
+
+
+def test_a_revisit_without_its_response_fails(spark, tmp_path, monkeypatch):
+    rows = [(1, "u", "same", ""), (2, "u", "same", ""), (3, "u", "other", "")]
+    df = spark.createDataFrame(rows, PAGE)
+    real = warc.read_warc
+    monkeypatch.setattr(warc, "read_warc", lambda *a, **k: real(*a, **k).where("record_id <> '<urn:page:2>'"))
+    with pytest.raises(Exception, match="no response for the revisit of page 1"):
+        warc.round_trip(df).collect()
+
+
+def test_rows_that_share_identifier_and_payload_are_all_responses(spark):
+    rows = [(5, "u", "p", ""), (5, "u", "p", ""), (4, "u", "p", ""), (None, "u", "p", ""), (None, None, None, None)]
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(spark.createDataFrame(rows, PAGE)).collect())
+    assert got == [("4", 1, "revisit", 5), ("5", 1, "response", None), ("5", 1, "response", None), ("None", 0, "response", None), ("None", 1, "revisit", 5)]
+
+
 def test_warc_of_an_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGE)).count() == 0
 
