@@ -68,3 +68,11 @@ def pair_of(pair: Column) -> tuple[Column, Column]:
     base = F.lit(2147483647).cast("long")
     second = F.pmod(pair, base)
     return ((pair - second).cast("decimal(20,0)") / base.cast("decimal(20,0)")).cast("long"), second
+
+
+def masked(value: Column, *masks: Column) -> Column:
+    """Void where any mask holds or the value is void; a null mask doesn't hold."""
+    out = F.lit(False)
+    for m in masks:
+        out = out | F.coalesce(m, F.lit(False))
+    return F.when(~(out | value.isNull()), value)

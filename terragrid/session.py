@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -22,3 +25,15 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in (DEFAULTS | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where the session has none, a temporary one on a local master, which is one process."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="terragrid-"))
+        configured = sc.getCheckpointDir()
+    return configured

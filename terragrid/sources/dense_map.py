@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import good, parsed, read_files
+from .files import parsed, read_files
 
 
 def decode(raw: bytes) -> np.ndarray:
@@ -29,14 +30,13 @@ def encode(a: np.ndarray) -> bytes:
 def _rows(path: str, raw: bytes):
     a = decode(raw)
     view = path.rsplit("/", 1)[-1]
-    for i in range(a.shape[0]):
-        for j, v in enumerate(a[i].tolist()):
-            yield {"view": view, "row": i, "col": j, "depth": v}
+    row, col = np.indices(a.shape, "i4").reshape(2, -1)
+    yield pa.table([pa.array([view] * a.size, pa.string()), pa.array(row), pa.array(col), pa.array(a.astype("f4").ravel())], names=["view", "row", "col", "depth"])
 
 
-def read_depth_maps(spark: SparkSession, path: str, kind: str = "geometric") -> DataFrame:
+def read_depth_maps(spark: SparkSession, path: str, kind: str = "geometric", errors: str = "raise") -> DataFrame:
     """(view, row, col, depth) of all maps of a kind; view is the image's name, without ".<kind>.bin"."""
-    out = good(parsed(read_files(spark, path, f"*.{kind}.bin"), _rows, "view string, row int, col int, depth float"))
+    out = parsed(read_files(spark, path, f"*.{kind}.bin"), _rows, "view string, row int, col int, depth float", errors)
     return out.withColumn("view", F.expr(f"substring(view, 1, length(view) - {len(kind) + 5})"))
 
 

@@ -6,9 +6,12 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .files import good, parsed, read_files
+from .files import parsed, read_files
 
 NODATA = -10000.0
 _SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d"}
@@ -77,8 +80,8 @@ def decode(raw: bytes) -> tuple[np.ndarray, Georef]:
 
 def _rows(_: str, raw: bytes):
     z, _ = decode(raw)
-    for i, j in zip(*np.nonzero(~np.isnan(z))):
-        yield {"row": int(i), "col": int(j), "z": float(z[i, j])}
+    row, col = np.nonzero(~np.isnan(z))
+    yield pa.table([pa.array(row.astype("i4")), pa.array(col.astype("i4")), pa.array(z[row, col])], names=["row", "col", "z"])
 
 
 def _refs(_: str, raw: bytes):
@@ -86,25 +89,52 @@ def _refs(_: str, raw: bytes):
     yield {"ul_e": g.ul_e, "ul_n": g.ul_n, "lr_e": g.ul_e + z.shape[1] * g.e_res, "lr_n": g.ul_n - z.shape[0] * g.n_res, "e_res": g.e_res, "n_res": g.n_res, "zone": g.zone, "hemisphere": "S" if g.south else "N", "n_rows": z.shape[0], "n_cols": z.shape[1]}
 
 
-def read_dsm(spark: SparkSession, path: str) -> DataFrame:
+def read_dsm(spark: SparkSession, path: str, errors: str = "raise") -> DataFrame:
     """(row, col, z) of the valued cells."""
-    return good(parsed(read_files(spark, path), _rows, "row int, col int, z double"))
+    return parsed(read_files(spark, path), _rows, "row int, col int, z double", errors)
 
 
-def read_georef(spark: SparkSession, path: str) -> DataFrame:
-    return good(parsed(read_files(spark, path), _refs, "ul_e double, ul_n double, lr_e double, lr_n double, e_res double, n_res double, zone int, hemisphere string, n_rows int, n_cols int"))
+def read_georef(spark: SparkSession, path: str, errors: str = "raise") -> DataFrame:
+    return parsed(read_files(spark, path), _refs, "ul_e double, ul_n double, lr_e double, lr_n double, e_res double, n_res double, zone int, hemisphere string, n_rows int, n_cols int", errors)
 
 
 def dsm_files(dsm: DataFrame, name: str, rows: int, cols: int, ref: Georef) -> DataFrame:
-    """(path, content) of one file: a DSM grid has a size that the area fixes."""
+    """(path, content) of one file, by the task that gathers the raster: for surfaces that fit a task."""
 
     def run(pdf):
-        import pandas as pd
-
         z = np.full((rows, cols), np.nan)
         z[pdf["row"], pdf["col"]] = pdf["z"]
         return pd.DataFrame({"path": [name], "content": [encode(z, ref)]})
 
-    from pyspark.sql import functions as F
-
     return dsm.select("row", "col", "z", F.lit(0).alias("one")).groupBy("one").applyInPandas(run, "path string, content binary")
+
+
+def dsm_strips(dsm: DataFrame, stem: str, rows: int, cols: int, ref: Georef, strip: int = 1024) -> DataFrame:
+    """(path, content) of a file for every ``strip`` rows of the surface, each with its own place: a task holds one strip.
+
+    Strips without a valued cell are written too, so that the files cover the area. ``read_strips`` reads them as one surface."""
+    high = min(strip, rows)
+    every = dsm.sparkSession.range((rows + high - 1) // high).select(F.col("id").cast("int").alias("s"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), F.lit(None).cast("double").alias("z"))
+    cells = dsm.select(F.floor(F.col("row") / high).cast("int").alias("s"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("z").cast("double").alias("z"))
+
+    def run(pdf):
+        s = int(pdf["s"].iloc[0])
+        z = np.full((min(high, rows - s * high), cols), np.nan)
+        own = pdf[pdf["row"].notna()]
+        z[own["row"].astype(int) - s * high, own["col"].astype(int)] = own["z"]
+        place = Georef(ref.ul_e, ref.ul_n - s * high * ref.n_res, ref.e_res, ref.n_res, ref.zone, ref.south)
+        return pd.DataFrame({"path": [f"{stem}-{s:05d}.tif"], "content": [encode(z, place)]})
+
+    return cells.unionByName(every).groupBy("s").applyInPandas(run, "path string, content binary")
+
+
+def read_strips(spark: SparkSession, path: str, ref: Georef, errors: str = "raise") -> DataFrame:
+    """(row, col, z) of the valued cells of all files, in rows and columns of the raster that ``ref`` begins."""
+
+    def rows(_, raw):
+        z, g = decode(raw)
+        row, col = np.nonzero(~np.isnan(z))
+        down, right = round((ref.ul_n - g.ul_n) / ref.n_res), round((g.ul_e - ref.ul_e) / ref.e_res)
+        yield pa.table([pa.array((row + down).astype("i4")), pa.array((col + right).astype("i4")), pa.array(z[row, col])], names=["row", "col", "z"])
+
+    return parsed(read_files(spark, path), rows, "row int, col int, z double", errors)

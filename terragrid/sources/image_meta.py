@@ -55,19 +55,34 @@ def tar_members(raw: bytes, wanted) -> dict[str, bytes]:
     return out
 
 
+def pan_members(names: list[str], stem: str) -> tuple[str, str | None]:
+    """The metadata and browse picture (None if there is none) of an archive's panchromatic image: below the order's
+    volume folder (DVD_VOL*; any place where an archive has no volume), in the folder that ends in _PAN, by the image's own name
+    if there are several."""
+    inside = [n for n in names if "_PAN/" in n]
+    volume = [n for n in inside if any(part.startswith("DVD_VOL") for part in n.split("/"))] or inside
+    xml = sorted(n for n in volume if n.upper().endswith(".XML"))
+    if not xml:
+        raise ValueError("no metadata of a panchromatic image")
+    own = next((n for n in xml if posixpath.basename(n).rsplit(".", 1)[0] == stem), xml[0])
+    picture = own.rsplit(".", 1)[0] + "-BROWSE.JPG"
+    beside = sorted(n for n in volume if n.upper().endswith("-BROWSE.JPG") and posixpath.dirname(n) == posixpath.dirname(own))
+    return own, picture if picture in beside else next(iter(beside), None)
+
+
 def read_tar_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(img, xml, has_browse) of each TAR: the metadata of its panchromatic image, stripped of control characters."""
+    """(img, member, xml, has_browse, browse) of each TAR: the metadata of its panchromatic image, stripped of control
+    characters, and the bytes of its browse picture."""
     import unicodedata
 
     def parse(path, raw):
         members = tar_members(raw, lambda n: n.upper().endswith((".XML", "-BROWSE.JPG")))
         stem = posixpath.basename(path).rsplit(".", 1)[0]
-        for name, content in members.items():
-            if name.upper().endswith(".XML") and "_PAN/" in name:
-                text = content.decode("utf-8", "replace")
-                yield {"img": stem, "member": name, "xml": "".join(c for c in text if unicodedata.category(c)[0] != "C"), "has_browse": any(n.upper().endswith("-BROWSE.JPG") for n in members)}
+        name, picture = pan_members(list(members), stem)
+        text = members[name].decode("utf-8", "replace")
+        yield {"img": stem, "member": name, "xml": "".join(c for c in text if unicodedata.category(c)[0] != "C"), "has_browse": picture is not None, "browse": members.get(picture)}
 
-    return parsed(read_files(spark, path, "*.tar"), parse, "img string, member string, xml string, has_browse boolean")
+    return parsed(read_files(spark, path, "*.tar"), parse, "img string, member string, xml string, has_browse boolean, browse binary")
 
 
 def list_images(spark: SparkSession, path: str, ext: str = ".NTF") -> DataFrame:

@@ -1,7 +1,10 @@
-"""Pictures (PNG, JPEG) as pixel relations, by Spark's image source."""
+"""Pictures (PNG, JPEG) as pixel relations, by Spark's image source, and pixel relations as PNG."""
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +35,32 @@ def read_table(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     f = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '#')")
     return rows.select(*[F.get(f, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(names)])
+
+
+def png(a: np.ndarray) -> bytes:
+    """An 8-bit PNG of a (rows, cols) grey or (rows, cols, 3) red, green and blue array."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.ascontiguousarray(a, np.uint8).reshape(a.shape[0], -1)
+    data = np.concatenate([np.zeros((len(lines), 1), np.uint8), lines], axis=1).tobytes()
+    head = struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 2 if a.ndim == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(data)) + chunk(b"IEND", b"")
+
+
+def picture_files(pixels: DataFrame, rows: int, cols: int, key: str = "view", value: str = "value", colours: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """(path, content): a PNG named after each view, of (key, row, col, value) with levels from 0; a picture is one task.
+
+    ``colours`` maps levels to red, green and blue; without it levels are grey. Pixels that are void (masked) are black."""
+
+    def run(pdf):
+        level = np.zeros((rows, cols), np.int64)
+        there = np.zeros((rows, cols), bool)
+        own = pdf[pdf["v"].notna()]
+        level[own["row"], own["col"]] = own["v"].astype(int)
+        there[own["row"], own["col"]] = True
+        if colours is None:
+            picture = np.where(there, level, 0).clip(0, 255)
+        else:
+            picture = np.where(there[:, :, None], np.asarray(colours)[level.clip(0, len(colours) - 1)], 0)
+        return pd.DataFrame({"path": [f"{pdf['k'].iloc[0]}.png"], "content": [png(picture)]})
+
+    return pixels.select(F.col(key).cast("string").alias("k"), "row", "col", F.col(value).alias("v")).groupBy("k").applyInPandas(run, "path string, content binary")

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .files import good, parsed, read_files
+from .files import parsed, read_files
 
 # fixed values: scalar types of the format, their NumPy letters and Spark types (unsigned ones a size up)
 TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
@@ -131,14 +132,14 @@ def point_rows(_: str, raw: bytes):
     """x, y, z and colours of the vertices."""
     v = decode(raw)["vertex"]
     names = ("x", "y", "z", "red", "green", "blue")
-    cols = [np.asarray(v[c]).tolist() if c in v else None for c in names]
-    for i in range(len(cols[0])):
-        yield {n: None if c is None else (float(c[i]) if n in "xyz" else int(c[i])) for n, c in zip(names, cols)}
+    n = len(v["x"])
+    kinds = [("f8", pa.float64()) if c in "xyz" else ("i2", pa.int16()) for c in names]
+    yield pa.table([pa.array(np.asarray(v[c]).astype(k), t) if c in v else pa.nulls(n, t) for c, (k, t) in zip(names, kinds)], names=list(names))
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
+def read_points(spark: SparkSession, path: str, errors: str = "raise") -> DataFrame:
     """(x, y, z, red, green, blue) of the vertices of all files; colours are null where there are none."""
-    return good(parsed(read_files(spark, path), point_rows, "x double, y double, z double, red smallint, green smallint, blue smallint"))
+    return parsed(read_files(spark, path), point_rows, "x double, y double, z double, red smallint, green smallint, blue smallint", errors)
 
 
 def point_files(points: DataFrame, name: str = "points", double: bool = True, comments: tuple[str, ...] = ()) -> DataFrame:

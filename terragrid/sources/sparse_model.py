@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as sc
-from .files import good, parsed, read_files
+from .files import parsed, read_files
 
 _MODELS = {m[0]: m for m in sc.CAMERA_MODELS}
 _BY_NAME = {m[1]: m for m in sc.CAMERA_MODELS}
@@ -66,7 +67,12 @@ def images_text(_: str, raw: bytes):
         if not line.strip():
             continue
         f = line.split()
-        flat = next(lines, "").split()
+        second = next(lines, None)
+        if second is None:
+            raise ValueError(f"no second line for image {f[0]}")
+        flat = second.split()
+        if len(flat) % 3:
+            raise ValueError(f"pixels of image {f[0]} aren't triples")
         points = [{"x": float(x), "y": float(y), "point3d_id": int(p)} for x, y, p in zip(flat[::3], flat[1::3], flat[2::3])]
         yield {"image_id": int(f[0]), "q": [float(x) for x in f[1:5]], "t": [float(x) for x in f[5:8]], "camera_id": int(f[8]), "name": f[9], "points2d": points}
 
@@ -76,21 +82,21 @@ def _fields(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.split(F.trim("value"), r"\s+").alias("f"))
 
 
-def read_cameras(spark: SparkSession, path: str) -> DataFrame:
+def read_cameras(spark: SparkSession, path: str, errors: str = "raise") -> DataFrame:
     if path.endswith(".bin"):
-        return good(parsed(read_files(spark, path), cameras_binary, sc.SPARSE_CAMERAS))
+        return parsed(read_files(spark, path), cameras_binary, sc.SPARSE_CAMERAS, errors)
     f = F.col("f")
     params = F.transform(F.slice(f, 5, F.size(f) - 4), lambda x: x.cast("double"))
     return _fields(spark, path).select(f[0].cast("int").alias("camera_id"), f[1].alias("model"), f[2].cast("long").alias("width"), f[3].cast("long").alias("height"), params.alias("params"))
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    return good(parsed(read_files(spark, path), images_binary if path.endswith(".bin") else images_text, sc.SPARSE_IMAGES))
+def read_images(spark: SparkSession, path: str, errors: str = "raise") -> DataFrame:
+    return parsed(read_files(spark, path), images_binary if path.endswith(".bin") else images_text, sc.SPARSE_IMAGES, errors)
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
+def read_points(spark: SparkSession, path: str, errors: str = "raise") -> DataFrame:
     if path.endswith(".bin"):
-        return good(parsed(read_files(spark, path), points_binary, sc.SPARSE_POINTS))
+        return parsed(read_files(spark, path), points_binary, sc.SPARSE_POINTS, errors)
     f = F.col("f")
     pair = lambda i: F.struct(f[8 + 2 * i].cast("int").alias("image_id"), f[9 + 2 * i].cast("int").alias("point2d_idx"))
     n = ((F.size(f) - 8) / 2).cast("int")
@@ -104,6 +110,43 @@ def read_model(spark: SparkSession, folder: str, ext: str = ".txt") -> tuple[Dat
     return tuple(f(spark, f"{folder}/{n}{ext}") for f, n in ((read_cameras, "cameras"), (read_images, "images"), (read_points, "points3D")))
 
 
+def point_lines(points: DataFrame) -> DataFrame:
+    """value: a line of points3D.txt for each row."""
+    track = F.array_join(F.transform("track", lambda o: F.concat_ws(" ", o["image_id"].cast("string"), o["point2d_idx"].cast("string"))), " ")
+    return points.select(F.rtrim(_joined(*[F.col(c).cast("string") for c in ("point3d_id", "x", "y", "z", "r", "g", "b", "error")], track)).alias("value"))
+
+
+_CODES = {name: code for code, name, _ in sc.CAMERA_MODELS}
+
+
+def _camera_bytes(r) -> bytes:
+    return struct.pack(f"<iiQQ{len(r['params'])}d", r["camera_id"], _CODES[r["model"]], r["width"], r["height"], *r["params"])
+
+
+def _image_bytes(r) -> bytes:
+    head = struct.pack("<i7di", r["image_id"], *r["q"], *r["t"], r["camera_id"]) + r["name"].encode() + b"\0"
+    return head + struct.pack("<Q", len(r["points2d"])) + b"".join(struct.pack("<ddq", p["x"], p["y"], p["point3d_id"]) for p in r["points2d"])
+
+
+def _point_bytes(r) -> bytes:
+    flat = [v for o in r["track"] for v in (o["image_id"], o["point2d_idx"])]
+    return struct.pack("<QdddBBBdQ", r["point3d_id"], r["x"], r["y"], r["z"], r["r"], r["g"], r["b"], r["error"], len(r["track"])) + struct.pack(f"<{len(flat)}i", *flat)
+
+
+def binary_files(rows: DataFrame, kind: str) -> DataFrame:
+    """(path, content): a little-endian file of cameras, images or points3D for each partition. The header has the
+    number of records, so a partition is gathered first: partition by size."""
+    record = {"cameras": _camera_bytes, "images": _image_bytes, "points3D": _point_bytes}[kind]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        parts = [record(r) for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([f"{kind}-{TaskContext.get().partitionId():05d}.bin"]), pa.array([struct.pack("<Q", len(parts)) + b"".join(parts)], pa.binary())], names=["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
 def _joined(*cols):
     return F.concat_ws(" ", *cols)
 
