@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import hmac
 import re
 import string
 import unicodedata
@@ -54,17 +53,29 @@ PATTERNS = {
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d])",
     "name": r"(?<!\w)(?:" + "|".join(HONORIFICS) + r")\.? " + _NAME + r"(?: " + _NAME + r")?",
 }
-#: One scan: the first alternative that fits at a place wins.
-_SCAN = re.compile("|".join(f"(?P<{k}_>{p})" for k, p in PATTERNS.items()))
 _ALONE = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: Cards as they are mostly written: in groups, with an issuer's first digits.
 _USUAL = re.compile(r"(?<!\d)(?:[3-6]\d{3}|2[2-7]\d{2})([ -]?)(?:\d{4}\1\d{4}\1\d{4}|\d{6}\1\d{5})(?!\d)")
-_HINT = re.compile(r"[@\d]|[\"'][A-Za-z+/_\-]{16}|" + "|".join(ISSUERS))
+#: What every number that is an entity, and every secret without an issuer's beginning, has somewhere.
+_NUMBER_HINT, _SECRET_HINT = re.compile(r"\d[\d .()\-]{6}"), re.compile(r"[=:]\s*[\"']?[A-Za-z0-9+/_\-]{16}")
+_TITLES = [h for h in HONORIFICS if not any(o != h and o in h for o in HONORIFICS)]
 
 
-def may_have(text: str) -> bool:
-    """False only for texts that the scan would find nothing in."""
-    return _HINT.search(text) is not None or any(h in text for h in HONORIFICS)
+def kinds_in(text: str) -> tuple[str, ...]:
+    """The types that a text can have, in their order; a type that it leaves out has no match."""
+    number = _NUMBER_HINT.search(text) is not None
+    there = {
+        "email": "@" in text,
+        "secret": _SECRET_HINT.search(text) is not None or any(i in text for i in ISSUERS),
+        "name": any(h in text for h in _TITLES),
+    }
+    return tuple(k for k in PATTERNS if there.get(k, number))
+
+
+@functools.cache
+def _scan(kinds: tuple[str, ...]) -> re.Pattern:
+    """One scan: the first alternative that fits at a place wins."""
+    return re.compile("|".join(f"(?P<{k}_>{PATTERNS[k]})" for k in kinds))
 
 
 def luhn(digits: str) -> bool:
@@ -75,11 +86,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def key_bytes(key: str) -> bytes:
+    """A key of any length as 32 bytes."""
+    return hashlib.blake2b(key.encode(), digest_size=32).digest()
+
+
 def _keyed(key: bytes, *parts, bits: int = 128) -> int:
-    """A number of so many bits: HMAC-SHA256 of the parts, with a counter where one digest is too short."""
+    """A number of so many bits: keyed BLAKE2b of the parts, with a counter where one digest is too short."""
     text = "\0".join(map(str, parts)).encode("utf-8", "surrogatepass")
-    blocks = [hmac.new(key, text + bytes([i]) * bool(i), hashlib.sha256).digest() for i in range(-(-bits // 256))]
-    return int.from_bytes(b"".join(blocks), "big") >> (256 * len(blocks) - bits)
+    size = (bits + 7) // 8
+    blocks = [hashlib.blake2b(text, key=key, salt=bytes([i]), digest_size=min(64, size - 64 * i)).digest() for i in range((size + 63) // 64)]
+    return int.from_bytes(b"".join(blocks), "big") >> (8 * size - bits)
 
 
 def permute(key: bytes, label: str, value: int, size: int) -> int:
@@ -177,6 +194,7 @@ def _secret_form(text: str) -> tuple[str, bool]:
     return begin, re.fullmatch(r"[0-9a-f]+", text[len(begin) :]) is not None
 
 
+@functools.lru_cache(1 << 16)
 def surrogate(kind: str, found: str, key: bytes) -> str:
     """The replacement of an entity."""
     label = kind
@@ -272,9 +290,12 @@ def _fits(text: str, kind: str, start: int, end: int) -> bool:
 def entities(text: str):
     """(kind, start, end) of entities from left to right. Where the scan's match doesn't fit, the
     others at its place are tried, and then the scan goes on from the next character."""
-    at = 0
-    while m := _SCAN.search(text, at):
-        kind = next(k for k in PATTERNS if m[f"{k}_"] is not None)
+    kinds = kinds_in(text)
+    if not kinds:
+        return
+    at, scan = 0, _scan(kinds)
+    while m := scan.search(text, at):
+        kind = next(k for k in kinds if m[f"{k}_"] is not None)
         start, end = _span(kind, m)
         if not _fits(text, kind, start, end):
             kind, start, end = next((o for o in _others(text, m.start()) if _fits(text, *o)), (None, 0, 0))
@@ -285,8 +306,6 @@ def entities(text: str):
 
 def replace_entities(text: str, key: bytes) -> tuple[str, dict[str, int], int]:
     """The text with surrogates, entities by type, and how many different ones."""
-    if not may_have(text):
-        return text, {}, 0
     out, at, counts = [], 0, {}
     seen: set[tuple[str, str]] = set()
     for kind, start, end in entities(text):
@@ -299,32 +318,34 @@ def replace_entities(text: str, key: bytes) -> tuple[str, dict[str, int], int]:
     return "".join(out), counts, len(seen)
 
 
-def entity_table(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(kind, entity, surrogate): each different entity of the corpus once, both as keyed digests of their identities."""
-    secret = key.encode()
-    digest = lambda kind, found: hmac.new(secret, f"{kind}\0{identity(kind, found)}".encode("utf-8", "surrogatepass"), hashlib.sha256).digest()[:16]
+def _entity_rows(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    secret = key_bytes(key)
+    digest = lambda kind, found: hashlib.blake2b(f"{kind}\0{identity(kind, found)}".encode("utf-8", "surrogatepass"), key=secret, digest_size=16).digest()
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 seen = {}
                 for t in b.column(0).slice(at, 512).to_pylist():
-                    if t and may_have(t):
-                        for kind, start, end in entities(t):
-                            found = t[start:end]
-                            entity = kind, digest(kind, found)
-                            if entity not in seen:
-                                seen[entity] = digest(kind, surrogate(kind, found, secret))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([e for _, e in seen], pa.binary()), pa.array(seen.values(), pa.binary())], names=["kind", "entity", "surrogate"])
+                    for kind, start, end in entities(t or ""):
+                        seen[kind, t[start:end]] = None
+                rows = [(kind, digest(kind, found), digest(kind, surrogate(kind, found, secret))) for kind, found in seen]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["kind", "entity", "surrogate"])
+
+    return df.select(text_col).mapInArrow(run, "kind string, entity binary, surrogate binary")
+
 
-    return df.select(text_col).mapInArrow(run, "kind string, entity binary, surrogate binary").distinct()
+def entity_table(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """(kind, entity, surrogate): each different entity of the corpus once, both as keyed digests of their identities."""
+    return _entity_rows(df, key, text_col).distinct()
 
 
 def collisions(table: DataFrame) -> DataFrame:
-    """(kind, surrogate) that several entities share, and (kind, entity) that has several surrogates, of an entity_table."""
-    one = table.groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a <> b").select("kind", F.lit("shared").alias("what"))
-    two = table.groupBy("kind", "entity").agg(F.min("surrogate").alias("a"), F.max("surrogate").alias("b")).where("a <> b").select("kind", F.lit("split").alias("what"))
-    return one.unionByName(two)
+    """(kind, what): "shared" for a surrogate that several entities have, "split" for an entity that has several, of rows
+    (kind, entity, surrogate), repeated or not. Rows are added up before the one shuffle."""
+    side = lambda what, a, b: F.struct(F.lit(what).alias("what"), F.col(a).alias("key"), F.col(b).alias("other"))
+    both = table.select("kind", F.explode(F.array(side("shared", "surrogate", "entity"), side("split", "entity", "surrogate"))).alias("s"))
+    return both.groupBy("kind", "s.what", "s.key").agg(F.min("s.other").alias("a"), F.max("s.other").alias("b")).where("a <> b").select("kind", "what")
 
 
 def surrogates(df: DataFrame, key: str, text_col: str = "text", carry: list[str] | None = None, check: bool = True) -> DataFrame:
@@ -335,9 +356,9 @@ def surrogates(df: DataFrame, key: str, text_col: str = "text", carry: list[str]
     unchanged, one of any length is scanned whole. Columns named like an added one are replaced. ``check``: a pass before
     this one compares all entities of the corpus, and raises ValueError if two share a surrogate or one has two.
     """
-    if check and (bad := collisions(entity_table(df, key, text_col)).limit(1).collect()):
+    if check and (bad := collisions(_entity_rows(df, key, text_col)).limit(1).collect()):
         raise ValueError(f"surrogates of kind {bad[0]['kind']} are {bad[0]['what']}")
-    secret = key.encode()
+    secret = key_bytes(key)
     added = ["n_entities", "n_distinct", *(f"n_{t}" for t in TYPES)]
     carry = [c for c in (df.columns if carry is None else carry) if c not in (text_col, *added)]
 
