@@ -55,6 +55,11 @@ def linspace(index: Column, low: float, high: float, n: int) -> Column:
     return index * ((high - low) / (n - 1)) + low
 
 
+def stack_mean(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, row, col, mean, n) over the pictures of a stack; voids don't count, and a cell that is void in all has no row."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, "row", "col").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
 def densify(df: DataFrame, rows: int, cols: int) -> DataFrame:
     """Every cell of the grid, void (null) where ``df`` has none."""
     grid = lattice(df.sparkSession, rows, cols).toDF("row", "col")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +41,9 @@ def global_percentiles(df: DataFrame, value: str, shares: list[float], most: int
     counted by value, so what is sorted in one place is at most ``most`` values. A bracket with more is
     narrowed by the same step on its own rows until it fits or holds one value only."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    n = rows.count()
+    n, found = _order_statistics(rows, lambda n: [int(k) for p in shares for k in (p * (n - 1) // 1, -(-p * (n - 1) // 1))], shares, most)
     if not n:
         return [None] * len(shares)
-    wanted = sorted({int(k) for p in shares for k in (p * (n - 1) // 1, -(-p * (n - 1) // 1))})
-    found = _order_statistics(rows, n, wanted, most)
     out = []
     for p in shares:
         place = p * (n - 1)
@@ -52,29 +52,42 @@ def global_percentiles(df: DataFrame, value: str, shares: list[float], most: int
     return out
 
 
-def _order_statistics(rows: DataFrame, n: int, wanted: list[int], most: int) -> dict[int, float]:
-    """The values at the zero-based places ``wanted`` of the sorted rows (v)."""
+def _order_statistics(rows: DataFrame, places: Callable[[int], list[int]], shares: list[float], most: int) -> tuple[int, dict[int, float]]:
+    """How many rows (v) there are, and the values at the zero-based ``places`` of so many, which lie near ``shares`` of them.
+
+    Two passes and a sort of what the brackets hold: number, ends and brackets are one aggregate, rows
+    below and inside the brackets another."""
     accuracy = 10_000
-    edge = lambda k, d: min(1.0, max(0.0, k / n + d / accuracy))
-    cuts = rows.agg(F.percentile_approx("v", [edge(k, d) for k in wanted for d in (-2, 2)], accuracy)).first()[0]
-    ends = rows.agg(F.min("v"), F.max("v")).first()
-    brackets = {k: (ends[0] if k <= 2 * n / accuracy else cuts[2 * i], ends[1] if k >= n - 1 - 2 * n / accuracy else cuts[2 * i + 1]) for i, k in enumerate(wanted)}
+    edge = lambda p, d: min(1.0, max(0.0, p + d / accuracy))
+    n, low, high, cuts = rows.agg(F.count("v"), F.min("v"), F.max("v"), F.percentile_approx("v", [edge(p, d) for p in shares for d in (-2, 2)], accuracy)).first()
+    if not n:
+        return 0, {}
+    near = lambda k: min(range(len(shares)), key=lambda i: abs(shares[i] * n - k))
+    brackets = {}
+    for k in sorted(set(places(n))):
+        i = near(k)
+        brackets[k] = (low if k <= 2 * n / accuracy else cuts[2 * i], high if k >= n - 1 - 2 * n / accuracy else cuts[2 * i + 1])
     counts = rows.agg(*[c for lo, hi in brackets.values() for c in (F.count(F.when(F.col("v") < lo, 1)), F.count(F.when(F.col("v").between(lo, hi), 1)))]).first()
-    out = {}
+    out, sorted_here = {}, {}
     for i, (k, (lo, hi)) in enumerate(brackets.items()):
         below, inside = counts[2 * i], counts[2 * i + 1]
+        if not below <= k < below + inside:  # the approximation missed: all rows are the bracket
+            lo, hi, below, inside = low, high, 0, n
         if lo == hi:
             out[k] = lo
         elif inside > most and inside < n:
-            out[k] = _order_statistics(rows.where(F.col("v").between(lo, hi)), inside, [k - below], most)[k - below]
+            deeper = _order_statistics(rows.where(F.col("v").between(lo, hi)), lambda _, k=k, below=below: [k - below], [(k - below) / inside], most)
+            out[k] = deeper[1][k - below]
         else:
+            if (lo, hi) not in sorted_here:
+                sorted_here[lo, hi] = rows.where(F.col("v").between(lo, hi)).groupBy("v").count().orderBy("v").collect()
             at = below
-            for v, c in rows.where(F.col("v").between(lo, hi)).groupBy("v").count().orderBy("v").collect():
+            for v, c in sorted_here[lo, hi]:
                 at += c
                 if at > k:
                     out[k] = v
                     break
-    return out
+    return n, out
 
 
 def index_percentile_range(df: DataFrame, keys: list[str], value: str, below: float = 10.0, above: float = 30.0) -> DataFrame:
@@ -83,11 +96,10 @@ def index_percentile_range(df: DataFrame, keys: list[str], value: str, below: fl
     Without keys one row, found by bracketing: no task sorts all rows; without a value both are null."""
     if not keys:
         rows = df.where(F.col(value) > 0).select(F.col(value).cast("double").alias("v"))
-        n = rows.count()
-        places = [int(LOW_SHARE * n), int(HIGH_SHARE * n)]
-        got = _order_statistics(rows, n, sorted(set(places)), MOST_SORTED) if n else {}
-        low, high = (got[k] for k in places) if n else (None, None)
-        return df.sparkSession.range(1).select(F.lit(low and low - below).cast("double").alias("depth_min"), F.lit(high and high + above).cast("double").alias("depth_max"))
+        places = lambda n: [int(LOW_SHARE * n), int(HIGH_SHARE * n)]
+        n, got = _order_statistics(rows, places, [LOW_SHARE, HIGH_SHARE], MOST_SORTED)
+        low, high = (got[k] for k in places(n)) if n else (None, None)
+        return df.sparkSession.range(1).select(F.lit(None if low is None else low - below).cast("double").alias("depth_min"), F.lit(None if high is None else high + above).cast("double").alias("depth_max"))
     every = Window.partitionBy(*keys)
     ranked = df.where(F.col(value) > 0).select(*keys, F.col(value).alias("__v"))
     ranked = ranked.withColumns({"__i": F.row_number().over(every.orderBy("__v")) - 1, "__n": F.count(F.lit(1)).over(every)})
@@ -95,6 +107,25 @@ def index_percentile_range(df: DataFrame, keys: list[str], value: str, below: fl
     return ranked.groupBy(*keys).agg((at(LOW_SHARE) - below).alias("depth_min"), (at(HIGH_SHARE) + above).alias("depth_max"))
 
 
+def summaries(df: DataFrame, keys: list[str], medians: dict[str, str], aggregates: list[Column]) -> DataFrame:
+    """(keys, aggregates, a median for each name in ``medians``, name to value column).
+
+    Medians are picked by position from sorted groups: one shuffle and a sort for each that can spill, where
+    an aggregate would hold a group's distinct values in memory. Without keys one row, by bracketing."""
+    if not keys:
+        got = {n: global_percentiles(df, v, [0.5])[0] for n, v in medians.items()}
+        return df.agg(*aggregates).withColumns({n: F.lit(v).cast("double") for n, v in got.items()})
+    own = Window.partitionBy(*keys)
+    rows, picked = df, []
+    for i, (name, v) in enumerate(medians.items()):
+        place, n = f"__place{i}", f"__n{i}"
+        rows = rows.withColumns({place: F.row_number().over(own.orderBy(F.col(v).asc_nulls_last())) - 1, n: F.count(v).over(own)})
+        middle = 0.5 * (F.col(n) - 1)
+        at = lambda f, place=place, v=v, middle=middle: F.max(F.when(F.col(place) == f(middle), F.col(v).cast("double")))
+        picked.append(((at(F.floor) + at(F.ceil)) / 2).alias(name))
+    return rows.groupBy(*keys).agg(*aggregates, *picked)
+
+
 def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
     """(bin, n, density) of equal bins over the range of the values, clipped to [low, high] first; the last bin is closed."""
     x = F.col(value)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linalg as la
 from ..functions.image import pair_of
+from .robust import summaries
 
 
 def camera_dict(images: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -69,25 +70,23 @@ def reprojection(obs: DataFrame, cameras: DataFrame) -> DataFrame:
 
 def view_stats(obs: DataFrame, keys: list[str]) -> DataFrame:
     """Count, mean and median of error and track length."""
-    return obs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("err").alias("mean_err"), F.median("err").alias("median_err"), F.avg("track_len").alias("mean_len"), F.median("track_len").alias("median_len")
-    )
+    out = summaries(obs, keys, {"median_err": "err", "median_len": "track_len"}, [F.count(F.lit(1)).alias("n"), F.avg("err").alias("mean_err"), F.avg("track_len").alias("mean_len")])
+    return out.select(*keys, "n", "mean_err", "median_err", "mean_len", "median_len")
 
 
 def track_stats(points: DataFrame) -> DataFrame:
     """One row: least, mean, median and largest error and track length."""
-    out = []
-    for v in ("error", "track_len"):
-        out += [F.min(v).alias(f"min_{v}"), F.avg(v).alias(f"mean_{v}"), F.median(v).alias(f"median_{v}"), F.max(v).alias(f"max_{v}")]
-    return points.agg(*out)
+    values = ("error", "track_len")
+    out = summaries(points, [], {f"median_{v}": v for v in values}, [f(v).alias(f"{n}_{v}") for v in values for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))])
+    return out.select(*[f"{n}_{v}" for v in values for n in ("min", "mean", "median", "max")])
 
 
 def camera_error(rows: DataFrame, keys: list[str], proj: Column, inverse: Column) -> DataFrame:
     """Mean, median and largest projection and inverse-projection error."""
-    out = []
-    for n, c in (("proj", proj), ("inv", inverse)):
-        out += [F.avg(c).alias(f"mean_{n}"), F.median(c).alias(f"median_{n}"), F.max(c).alias(f"max_{n}")]
-    return rows.groupBy(*keys).agg(*out)
+    names = ("proj", "inv")
+    both = rows.select(*keys, proj.alias("proj"), inverse.alias("inv"))
+    out = summaries(both, keys, {f"median_{n}": n for n in names}, [f(n).alias(f"{a}_{n}") for n in names for a, f in (("mean", F.avg), ("max", F.max))])
+    return out.select(*keys, *[f"{a}_{n}" for n in names for a in ("mean", "median", "max")])
 
 
 def projection_errors(k: la.Matrix, r: la.Matrix, t: la.Vector, xyz: la.Vector, col: Column, row: Column) -> tuple[Column, Column]:

@@ -194,7 +194,7 @@ def _homography_sql() -> str:
         pl AS (SELECT i AS plane, 0.1::DOUBLE AS n1, -0.05::DOUBLE AS n2, 1.0::DOUBLE AS n3, -(500 + 20 * i)::DOUBLE AS const FROM range(10) t(i)),
         s AS (SELECT src.k, plane, {s('ref', 'a')}, {s('src', 'b')} FROM p src, p ref, pl WHERE ref.k = 0),
         v AS (SELECT *, {inv} FROM s), h AS (SELECT k, plane, {prod} FROM v)
-        SELECT k, plane, round(h11 / {top}, 6) + 0 AS h11, round(h12 / {top}, 6) + 0 AS h12, round(h21 / {top}, 6) + 0 AS h21, round(h33 / {top}, 6) + 0 AS h33 FROM h"""
+        SELECT k, plane, {", ".join(f"round(h{i}{j} / {top}, 6) + 0 AS h{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))} FROM h"""
 
 
 @query(_homography_sql())
@@ -207,7 +207,7 @@ def homography(spark, d):
     a, b = sparse.camera_columns(F.col("ref")), sparse.camera_columns(F.col("camera"))
     normal, constant = [F.lit(0.1), F.lit(-0.05), F.lit(1.0)], (-(500 + 20 * F.col("plane"))).cast("double")
     out, h = la.homography(both, la.projection(a["k"], a["r"], a["t"]), la.projection(b["k"], b["r"], b["t"]), normal, constant)
-    return out.select("k", "plane", *[(r(h[i][j]) + 0.0).alias(f"h{i + 1}{j + 1}") for i, j in ((0, 0), (0, 1), (1, 0), (2, 2))])
+    return out.select("k", "plane", *[(r(h[i][j]) + 0.0).alias(f"h{i + 1}{j + 1}") for i in range(3) for j in range(3)])
 
 
 # --- lines as observations ------------------------------------------------------------------------------------
@@ -246,20 +246,21 @@ def _observed(spark, d):
     return rows.join(n, "l_orderkey").select(F.col("l_suppkey").alias("img"), (F.col("l_extendedprice") / 100).alias("z"), (F.col("l_quantity") * 4 + F.col("l_extendedprice") / 500 - 30).alias("depth"), (F.col("l_linenumber") - 1).alias("place"), "track_len").withColumn("w", F.col("depth"))
 
 
+def _heights(spark, d):
+    return table(spark, d, "lineitem").select((F.col("l_extendedprice") / 100).alias("z"))
+
+
 @query(f"""WITH {_REPARAM}, rp AS {_range_sql('pd', 'img', 'pd', '30')}
            SELECT img, round(raw.lo, 4) + 0 AS raw_min, round(raw.hi, 4) + 0 AS raw_max, round(rp.lo, 4) + 0 AS plane_min, round(rp.hi, 4) + 0 AS plane_max, round(-raw.lo * z_ref, 4) + 0 AS last FROM raw JOIN rp USING (img), zr""")
 def reparam_depth(spark, d):
-    obs = _observed(spark, d)
-    got = depth.reparametrised(obs, obs)
-    name = lambda df, a, b: df.select("img", r("depth_min", 4).alias(a), r("depth_max", 4).alias(b))
-    last = got["last_rows"].select("img", r(F.col("last_row")[3], 4).alias("last"))
-    return name(got["raw"], "raw_min", "raw_max").join(name(got["reparam"], "plane_min", "plane_max"), "img").join(last, "img")
+    got = depth.reparametrised(_observed(spark, d), _heights(spark, d))["ranges"].where("plane_min is not null")
+    return got.select("img", *[r(c, 4).alias(c) for c in ("raw_min", "raw_max", "plane_min", "plane_max")], r(F.col("last_row")[3], 4).alias("last"))
 
 
 @query(f"WITH {_REPARAM}, l AS (SELECT pd FROM pd WHERE place = track_len - 1) SELECT round(lo, 4) + 0 AS depth_min, round(hi, 4) + 0 AS depth_max FROM {_range_sql('l', '', 'pd', '100')}")
 def common_range(spark, d):
-    obs = _observed(spark, d)
-    return depth.reparametrised(obs, obs)["common"].select(r("depth_min", 4).alias("depth_min"), r("depth_max", 4).alias("depth_max"))
+    plane = depth.reparametrised(_observed(spark, d), _heights(spark, d))["obs"]
+    return depth.common_range(plane).select(r("depth_min", 4).alias("depth_min"), r("depth_max", 4).alias("depth_max"))
 
 
 _SEEN = "l_quantity AS x, l_discount * 100 AS y, l_extendedprice / 1000 AS z"
@@ -294,17 +295,20 @@ def _affine_sql() -> str:
         c AS (SELECT *, {', '.join(d.values())} FROM o WINDOW g AS (PARTITION BY l_suppkey)),
         s AS (SELECT l_suppkey, count(*)::BIGINT AS n, {', '.join(f'avg({c}) AS m{c}' for c in (*_C, 'col', 'row'))}, {s} FROM c GROUP BY 1)
         SELECT l_suppkey, n, round({gx('col')}, 4) + 0 AS p1, round({gy('col')}, 4) + 0 AS p2, round({gz('col')}, 4) + 0 AS p3, round(mcol - {gx('col')} * mx - {gy('col')} * my - {gz('col')} * mz, 4) + 0 AS p4,
-               round({gx('row')}, 4) + 0 AS p5, round({gz('row')}, 4) + 0 AS p7 FROM s"""
+               round({gx('row')}, 4) + 0 AS p5, round({gy('row')}, 4) + 0 AS p6, round({gz('row')}, 4) + 0 AS p7, round(mrow - {gx('row')} * mx - {gy('row')} * my - {gz('row')} * mz, 4) + 0 AS p8 FROM s"""
 
 
 @query(_affine_sql())
 def affine_fit(spark, d):
     o = table(spark, d, "lineitem").select("l_suppkey", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_extendedprice") / 1000).alias("z"), (F.col("l_tax") * 400 + F.col("l_quantity")).alias("col"), (F.col("l_linenumber") * 6.0 - F.col("l_extendedprice") / 3000).alias("row"))
     out = fit.affine_fit(o, ["l_suppkey"])
-    return out.select("l_suppkey", "n", *[r(F.col("p")[i - 1], 4).alias(f"p{i}") for i in (1, 2, 3, 4, 5, 7)])
+    return out.select("l_suppkey", "n", *[r(F.col("p")[i - 1], 4).alias(f"p{i}") for i in range(1, 9)])
+
 
+_ROT = [f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
 
-@query(f"WITH {CAMERA_SQL} SELECT k, true AS fitted, round(fx, 3) + 0 AS fx, round(cy, 3) + 0 AS cy, round(tz, 3) + 0 AS tz FROM cam")
+
+@query(f"""WITH {CAMERA_SQL} SELECT k, true AS fitted, {", ".join(f"round({c}, 3) + 0 AS {c}" for c in ("fx", "fy", "cx", "cy", "s", "tx", "ty", "tz"))}, {", ".join(f"round({c}, 5) + 0 AS {c}" for c in _ROT)}, 0.0::DOUBLE AS below FROM cam""")
 def dlt_fit(spark, d):
     """Exact projections of a lattice of 350 points by each nation's camera: the fit gives the camera back."""
     c = sparse.camera_columns(F.col("camera"))
@@ -313,14 +317,17 @@ def dlt_fit(spark, d):
     both = cameras(spark, d).crossJoin(F.broadcast(grid))
     col, row = la.apply_projection(la.projection(c["k"], c["r"], c["t"]), [F.col(a) for a in "xyz"])
     out = fit.dlt_fit(both.select(F.col("k").alias("cam"), "x", "y", "z", col.alias("col"), row.alias("row")), "cam")
-    return out.select(F.col("cam").alias("k"), F.col("k").isNotNull().alias("fitted"), r(F.col("k")[0], 3).alias("fx"), r(F.col("k")[5], 3).alias("cy"), r(F.col("t")[2], 3).alias("tz"))
+    return out.select(F.col("cam").alias("k"), F.col("k").isNotNull().alias("fitted"), *[r(F.col("k")[i], 3).alias(n) for i, n in ((0, "fx"), (4, "fy"), (2, "cx"), (5, "cy"), (1, "s"))], *[r(F.col("t")[i], 3).alias(n) for i, n in enumerate(("tx", "ty", "tz"))], *[r(F.col("r")[i], 5).alias(n) for i, n in enumerate(_ROT)], r(F.abs(F.col("k")[3]) + F.abs(F.col("k")[6]) + F.abs(F.col("k")[7]), 5).alias("below"))
+
+
+_ALIGN = {"m11": 2.0, "m12": 0.0, "m13": 0.0, "m21": 0.0, "m22": 1.0, "m23": 0.5, "m31": -1.0, "m32": 0.0, "m33": 1.0}
 
 
-@query("SELECT r_regionkey, true AS fitted, 2.0::DOUBLE AS m11, 0.5::DOUBLE AS m23, (r_regionkey - 3)::DOUBLE AS t1 FROM region")
+@query(f"""SELECT r_regionkey, true AS fitted, {", ".join(f"({v})::DOUBLE AS {n}" for n, v in _ALIGN.items())}, (r_regionkey - 3)::DOUBLE AS t1, 0.0::DOUBLE AS t2, 0.0::DOUBLE AS t3, 2.0::DOUBLE AS product FROM region""")
 def align3d_fit(spark, d):
     i = F.col("id")
     grid = spark.range(60).select(((i % 5) * 1.0).alias("x"), ((i / 5).cast("int") % 4 * 2.0).alias("y"), ((i / 20).cast("int") * 3.0 + i % 2).alias("z"))
     both = table(spark, d, "region").select("r_regionkey").crossJoin(F.broadcast(grid))
     both = both.select("r_regionkey", "x", "y", "z", (2 * F.col("x") + F.col("r_regionkey") - 3).alias("x2"), (F.col("y") + 0.5 * F.col("z")).alias("y2"), (F.col("z") - F.col("x")).alias("z2"))
     out = fit.align3d_fit(both, "r_regionkey")
-    return out.select("r_regionkey", F.col("m").isNotNull().alias("fitted"), r(F.col("m")[0], 4).alias("m11"), r(F.col("m")[5], 4).alias("m23"), (r(F.col("t")[0], 4) + 0.0).alias("t1"))
+    return out.select("r_regionkey", F.col("m").isNotNull().alias("fitted"), *[r(F.col("m")[i], 4).alias(n) for i, n in enumerate(_ALIGN)], *[r(F.col("t")[i], 4).alias(f"t{i + 1}") for i in range(3)], r(F.aggregate("singular", F.lit(1.0), lambda a, x: a * x), 4).alias("product"))

@@ -8,15 +8,14 @@ from ..functions import image
 from ..operators import raster, robust
 from .common import long, query, r, table
 
-ROWS, COLS = 300, 200
-#: Cells of a sparse surface: order and part numbers as place, the price as height, a fifth of the lines.
-_GRID = "g AS (SELECT (l_orderkey % 300)::INT AS row, (l_partkey % 200)::INT AS col, max(l_extendedprice) AS z FROM lineitem WHERE l_quantity <= 10 GROUP BY ALL)"
+ROWS, COLS = 700, 300
+#: Cells of a surface with voids: order and part numbers as place, the price as height; there are more cells than lines.
+_GRID = "g AS (SELECT (l_orderkey % 700)::INT AS row, (l_partkey % 300)::INT AS col, max(l_extendedprice) AS z FROM lineitem GROUP BY ALL)"
 _STACK = "g AS (SELECT l_linenumber AS view, (l_partkey % 40)::INT AS row, (l_suppkey % 25)::INT AS col, max(l_extendedprice) AS z FROM lineitem GROUP BY ALL)"
 
 
 def _grid(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity <= 10")
-    return raster.grid_max(rows, [], F.col("l_orderkey") % ROWS, F.col("l_partkey") % COLS, F.col("l_extendedprice"), ROWS, COLS)
+    return raster.grid_max(table(spark, d, "lineitem"), [], F.col("l_orderkey") % ROWS, F.col("l_partkey") % COLS, F.col("l_extendedprice"), ROWS, COLS)
 
 
 def _stack(spark, d):
@@ -39,12 +38,12 @@ def grid_max(spark, d):
     return raster.grid_max(table(spark, d, "lineitem"), [], row, col, F.col("l_extendedprice"), 2000, 50)
 
 
-@query(f"WITH {_GRID} SELECT r.i::INT AS row, c.j::INT AS col, z FROM range(300) r(i) CROSS JOIN range(200) c(j) LEFT JOIN g ON g.row = i AND g.col = j")
+@query(f"WITH {_GRID} SELECT r.i::INT AS row, c.j::INT AS col, z FROM range(700) r(i) CROSS JOIN range(300) c(j) LEFT JOIN g ON g.row = i AND g.col = j")
 def grid_dense(spark, d):
     return raster.densify(_grid(spark, d), ROWS, COLS)
 
 
-@query(f"WITH {_GRID} SELECT 60000::BIGINT AS n_cells, round(1 - (SELECT count(*) FROM g) / 60000.0::DOUBLE, 6) + 0 AS void_ratio")
+@query(f"WITH {_GRID} SELECT 210000::BIGINT AS n_cells, round(1 - (SELECT count(*) FROM g) / 210000.0::DOUBLE, 6) + 0 AS void_ratio")
 def void_ratio(spark, d):
     return raster.void_ratio(raster.densify(_grid(spark, d), ROWS, COLS), []).select("n_cells", r("void_ratio").alias("void_ratio"))
 
@@ -53,14 +52,14 @@ _OFF = "o AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j))"
 
 
 @query(f"""WITH {_GRID}, {_OFF},
-           f AS (SELECT g.row + i AS row, g.col + j AS col, median(z) AS z FROM g, o WHERE g.row + i BETWEEN 0 AND 299 AND g.col + j BETWEEN 0 AND 199 GROUP BY 1, 2)
+           f AS (SELECT g.row + i AS row, g.col + j AS col, median(z) AS z FROM g, o WHERE g.row + i BETWEEN 0 AND 699 AND g.col + j BETWEEN 0 AND 299 GROUP BY 1, 2)
            SELECT row::INT AS row, col::INT AS col, round(z, 4) + 0 AS z FROM g UNION ALL
            SELECT f.row::INT, f.col::INT, round(f.z, 4) FROM f ANTI JOIN g ON f.row = g.row AND f.col = g.col""")
 def hole_fill(spark, d):
     return raster.hole_fill(_grid(spark, d), ROWS, COLS).select("row", "col", r("z", 4).alias("z"))
 
 
-@query(f"""WITH {_GRID}, {_OFF}, p AS (SELECT row, col, least(299, greatest(0, row + i)) AS y, least(199, greatest(0, col + j)) AS x FROM g, o)
+@query(f"""WITH {_GRID}, {_OFF}, p AS (SELECT row, col, least(699, greatest(0, row + i)) AS y, least(299, greatest(0, col + j)) AS x FROM g, o)
            SELECT p.row::INT AS row, p.col::INT AS col, round(median(g.z), 4) + 0 AS z FROM p JOIN g ON g.row = p.y AND g.col = p.x GROUP BY 1, 2""")
 def median3x3(spark, d):
     return raster.median3x3(_grid(spark, d), ROWS, COLS).select("row", "col", r("z", 4).alias("z"))
@@ -73,10 +72,11 @@ def cell_coords(spark, d):
     return _grid(spark, d).select("row", "col", east.alias("east"), north.alias("north"), "z", rows.alias("n_rows"), cols.alias("n_cols"))
 
 
-@query("SELECT l_linenumber AS plane, (l_partkey % 40)::INT AS row, (l_suppkey % 25)::INT AS col, round(avg(l_extendedprice) + 1e-7::DOUBLE, 4) + 0 AS mean, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2, 3")
+@query("SELECT l_linenumber AS plane, (l_partkey % 40)::INT AS row, (l_suppkey % 25)::INT AS col, round(sum(l_extendedprice), 2) + 0 AS total, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2, 3")
 def stack_mean(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("plane"), (F.col("l_partkey") % 40).cast("int").alias("row"), (F.col("l_suppkey") % 25).cast("int").alias("col"), "l_extendedprice")
-    return rows.groupBy("plane", "row", "col").agg(r(F.avg("l_extendedprice") + 1e-7, 4).alias("mean"), F.count(F.lit(1)).alias("n"))
+    """Mean pictures of planes; shown as the mean times the number of pictures, which has two decimals."""
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("plane"), (F.col("l_partkey") % 40).cast("int").alias("row"), (F.col("l_suppkey") % 25).cast("int").alias("col"), F.col("l_extendedprice").alias("value"))
+    return raster.stack_mean(rows, ["plane"]).select("plane", "row", "col", r(F.col("mean") * F.col("n"), 2).alias("total"), "n")
 
 
 @query("""SELECT DISTINCT p_brand, y::INT AS row, x::INT AS col FROM part, range(-5, 6) a(i), range(-5, 6) b(j), LATERAL (SELECT p_size * 4 + j AS x, p_partkey % 97 + i AS y)

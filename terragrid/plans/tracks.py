@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import image
 from ..operators import sparse
-from .common import query, r, table
+from .common import CAMERA_SQL, cameras, query, r, table
 
 
 def _model(spark, d):
@@ -69,17 +69,29 @@ def track_stats(spark, d):
     return out.select(*[(r(c) if c.startswith("mean") else F.col(c)).alias(c) for c in out.columns])
 
 
+@query(f"""WITH {CAMERA_SQL}, o AS (SELECT l_orderkey, l_linenumber, s_nationkey AS k, l_quantity AS x, l_discount * 100 AS y, l_extendedprice / 1000 AS z, l_tax * 4000 AS u, l_linenumber * 60.0::DOUBLE AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+           a AS (SELECT o.*, fx, fy, cx, cy, s, r11 * x + r12 * y + r13 * z + tx AS lx, r21 * x + r22 * y + r23 * z + ty AS ly, r31 * x + r32 * y + r33 * z + tz AS lz FROM o JOIN cam USING (k))
+           SELECT l_orderkey, l_linenumber, round(u, 2) + 0 AS u, round(lz, 6) + 0 AS depth, round(sqrt(power((fx * lx + s * ly + cx * lz) / lz - u, 2) + power((fy * ly + cy * lz) / lz - v, 2)), 4) + 0 AS err FROM a""")
+def reprojection_error(spark, d):
+    """Lines as points that their supplier's nation sees: depth along the axis and distance of pixel and projection."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("k"))
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("img"))
+    rows = table(spark, d, "lineitem").join(s, "l_suppkey").join(names, "k")
+    obs = rows.select("l_orderkey", "l_linenumber", "img", F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_extendedprice") / 1000).alias("z"), (F.col("l_tax") * 4000).alias("u"), (F.col("l_linenumber") * 60.0).alias("v"))
+    out = sparse.reprojection(obs, cameras(spark, d).select("img", "camera"))
+    return out.select("l_orderkey", "l_linenumber", r("u", 2).alias("u"), r("depth").alias("depth"), r("err", 4).alias("err"))
+
+
 def _pairs(spark, d):
-    """Nations of two suppliers of one order: a match of two images. An order has a few lines, so pairs stay linear."""
-    n = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("k"))
-    seen = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(n, "l_suppkey").select("l_orderkey", "k").distinct()
+    """Two suppliers of one order: a match of two images. An order has a few lines, so pairs stay linear."""
+    seen = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("long").alias("k")).distinct()
     per = seen.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("k")).alias("ks"))
     pair = F.flatten(F.transform("ks", lambda a, i: F.transform(F.slice("ks", i + 2, F.greatest(F.size("ks") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     each = per.select(F.explode(pair).alias("p"))
     return each.groupBy(image.pair_id(F.col("p.a"), F.col("p.b")).alias("pair_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_PAIRS = """s AS (SELECT DISTINCT l_orderkey, s_nationkey AS k FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+_PAIRS = """s AS (SELECT DISTINCT l_orderkey, l_suppkey AS k FROM lineitem),
     e AS (SELECT a.k AS i, b.k AS j, count(*)::BIGINT AS n FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.k <> b.k GROUP BY 1, 2)"""
 
 
@@ -88,7 +100,7 @@ def match_graph(spark, d):
     return sparse.match_graph(_pairs(spark, d))
 
 
-@query(f"WITH {_PAIRS} SELECT a.n_nationkey::BIGINT AS src, b.n_nationkey::BIGINT AS dst, coalesce(e.n, 0)::BIGINT AS n FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey LEFT JOIN e ON e.i = a.n_nationkey AND e.j = b.n_nationkey")
+@query(f"WITH {_PAIRS} SELECT a.s_suppkey::BIGINT AS src, b.s_suppkey::BIGINT AS dst, coalesce(e.n, 0)::BIGINT AS n FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey LEFT JOIN e ON e.i = a.s_suppkey AND e.j = b.s_suppkey")
 def match_matrix(spark, d):
-    nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
     return sparse.match_matrix(nodes, sparse.match_graph(_pairs(spark, d)), "k")
