@@ -7,8 +7,6 @@ for each word (but for words of over 16 bytes, which get a digest).
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from hashlib import blake2b
 
@@ -17,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: What separates words everywhere in this package: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,22 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session has none, a temporary folder on a
-    local master, which is one process; on any other master that would be a folder of the driver alone."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not configured:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="terragrid-"))
-        configured = sc.getCheckpointDir()
-    return configured
+#: Paths that the operators wrote in this process, in order, until ``release`` deletes them.
+WRITTEN: list[str] = []
 
 
-def scratch(spark: SparkSession) -> str:
-    """Where this application's written tables lie."""
-    return f"{shared_dir(spark)}/terragrid-tables/{spark.sparkContext.applicationId}"
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    WRITTEN.append(f"{shared_dir(spark)}/terragrid-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -60,16 +52,18 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every table that the operators wrote in this application. For callers to use once their
-    results are written: a result that isn't reads from these tables."""
-    remove(spark, scratch(spark))
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that the operators wrote after the first ``since`` of WRITTEN. For callers to use once a
+    result is written elsewhere: one that isn't still reads from its tables."""
+    for path in WRITTEN[since:]:
+        remove(spark, path)
+    del WRITTEN[since:]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: its lineage ends there."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -80,6 +74,7 @@ def drop_stored(*tables: DataFrame) -> None:
     """Deletes tables of ``stored`` that no later plan reads."""
     for t in tables:
         remove(t.sparkSession, t.stored_at)
+        WRITTEN.remove(t.stored_at)
 
 
 def ascii_lower(col):

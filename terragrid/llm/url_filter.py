@@ -13,7 +13,6 @@ where its measured size allows, and else splits the rows of a large host.
 from __future__ import annotations
 
 import itertools
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +56,7 @@ def _segments(path):
 def generalised(urls: DataFrame) -> DataFrame:
     """urls: (host, segs, n), one row each. Returns (host, segs, tpl): the segments with wildcards."""
     spark = urls.sparkSession
-    path = f"{scratch(spark)}/url-levels-{uuid.uuid4().hex}"
+    path = scratch(spark, "url-levels")
     now = urls.select("host", "segs", "n", F.array().cast("array<string>").alias("tpl"), F.lit(0).alias("level"))
     for i in itertools.count():
         left = F.slice("segs", F.col("level") + 1, F.greatest(F.size("segs") - F.col("level"), F.lit(0)))

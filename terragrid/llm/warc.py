@@ -13,7 +13,6 @@ import base64
 import hashlib
 import itertools
 import re
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -254,7 +253,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     (id, payload_bytes, payload_digest, record_type, refers_to): figures of the whole
     payload, a revisit's from the record it refers to, checked against the digest both declare."""
     spark = pages.sparkSession
-    path = write_warc(pages, f"{scratch(spark)}/warc-{uuid.uuid4().hex}", id_col, url_col, payload_col, least_bytes)
+    path = write_warc(pages, scratch(spark, "warc"), id_col, url_col, payload_col, least_bytes)
     records = read_warc(spark, path, with_payload=False)
     kind = pages.schema[id_col].dataType
     number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(.*)>$", 1), F.lit("null"))

@@ -213,6 +213,27 @@ def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     assert len(written) < 30
 
 
+def test_tables_are_deleted_on_release_and_a_cluster_needs_a_folder(spark):
+    import glob
+    import types
+
+    from terragrid import session
+    from terragrid.llm import common
+
+    common.release(spark)
+    assert near_dedup.near_duplicates(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")).count() == 2
+    folder = f"{session.shared_dir(spark)}/terragrid-tables/{spark.sparkContext.applicationId}/*".removeprefix("file:")
+    assert len(glob.glob(folder)) == len(common.WRITTEN) > 0
+    kept = common.stored(spark.range(3), "kept")
+    common.release(spark, len(common.WRITTEN))
+    assert kept.count() == 3
+    common.release(spark)
+    assert not glob.glob(folder)
+    far = types.SimpleNamespace(sparkContext=types.SimpleNamespace(master="spark://far:7077", getConf=dict, getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(far)
+
+
 def test_large_near_group_gives_rows_not_pairs(spark):
     rng = random.Random(9)
     base = prose(rng, 200).split()
