@@ -44,6 +44,28 @@ def test_stages_on_empty_and_odd_documents(spark):
             stage(spark, spark.createDataFrame(rows, schema), SF).collect()
 
 
+def test_stages_equal_plain_rules_on_odd_rows_and_clashing_columns(spark):
+    from .test_text import plain_bands, plain_quality
+
+    long = " ".join(f"w{i} more{i * 7 % 13}" for i in range(60))
+    near = long + " end"
+    texts = [(None, None), (1, ""), (2, long), (3, long.upper()), (3, long.upper()), (None, long), (4, near), (5, "few words"), (6, "so it goes " * 2000), (7, " ".join(f"v{i * i} u{i}" for i in range(9000)))]
+    names = ["doc_id", "text", "source", "kept", "n_words", "__row", "row", "copy", "copies", "mix_key", "key"]
+    docs = spark.createDataFrame([(i, t, None, "k", n, "r", "q", "c", "d", "m", "y") for n, (i, t) in enumerate(texts)], "doc_id long, text string, source string, kept string, n_words long, __row string, row string, copy string, copies string, mix_key string, key string")
+    stage = dict(corpus_pipeline.STAGES)
+    kept = stage["quality rules"](spark, docs, SF)
+    want = [n for n, (_, t) in enumerate(texts) if not plain_quality(t)[5] and plain_bands(t)[3] == "kept"]
+    assert kept.columns == names and sorted(r["n_words"] for r in kept.collect()) == want == [2, 3, 4, 5, 6, 9]
+    one = stage["exact dedup"](spark, kept, SF)
+    rows = one.collect()
+    assert one.columns == names and sorted((r["doc_id"], len(r["text"])) for r in rows) == sorted([(3, len(long)), (4, len(near)), (7, len(texts[9][1]))])
+    left = stage["n-gram Jaccard join"](spark, one, SF)
+    assert left.columns == names and sorted(r["doc_id"] for r in left.collect()) == [3, 7]
+    mixed = stage["mixing sources"](spark, left, SF)
+    assert mixed.columns == names and {tuple(r[c] for c in names[3:] if c != "n_words") for r in left.collect()} == {("k", "r", "q", "c", "d", "m", "y")}
+    assert {r["doc_id"] for r in stage["byte-level BPE"](spark, left, SF).collect()} == {3, 7}
+
+
 def test_near_stage_goes_by_rows_where_identifiers_repeat(spark):
     words = [[f"{k}{i}" for i in range(60)] for k in "abcd"]
     texts = [" ".join(w) for w in words]
