@@ -44,25 +44,36 @@ def _np_poly(c: np.ndarray, x, y, z):
 
 
 def locate(rpc: dict[str, np.ndarray], col: np.ndarray, row: np.ndarray, alt: np.ndarray, cap: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(lat, lon) at a pixel and altitude by Newton steps with difference quotients, at most ``cap``; NaN if they don't settle."""
+    """(lat, lon) at a pixel and altitude by Newton steps with difference quotients, at most ``cap``; NaN if they don't settle.
+
+    Rows leave the loop once they have settled or aren't finite, so one bad row doesn't make its batch go on."""
     u, v = (col - rpc["colOff"]) / rpc["colScale"], (row - rpc["rowOff"]) / rpc["rowScale"]
     z = (alt - rpc["altOff"]) / rpc["altScale"]
-    image = lambda x, y: (_np_poly(rpc["colNum"], x, y, z) / _np_poly(rpc["colDen"], x, y, z), _np_poly(rpc["rowNum"], x, y, z) / _np_poly(rpc["rowDen"], x, y, z))
+
+    def image(rows, x, y):
+        ratio = lambda a, b: _np_poly(rpc[a][rows], x, y, z[rows]) / _np_poly(rpc[b][rows], x, y, z[rows])
+        return ratio("colNum", "colDen"), ratio("rowNum", "rowDen")
+
     x, y = np.zeros_like(u), np.zeros_like(u)
+    settled = np.zeros(len(u), bool)
+    left = np.flatnonzero(np.isfinite(u) & np.isfinite(v) & np.isfinite(z))
     step = 1e-4
     with np.errstate(all="ignore"):
-        for _ in range(cap):
-            cu, cv = image(x, y)
-            du, dv = u - cu, v - cv
-            if np.all((du * du < 1e-18) & (dv * dv < 1e-18)):
+        for i in range(cap + 1):
+            px, py = x[left], y[left]
+            cu, cv = image(left, px, py)
+            du, dv = u[left] - cu, v[left] - cv
+            near = (du * du < 1e-18) & (dv * dv < 1e-18)
+            settled[left] = (du * du < 1e-14) & (dv * dv < 1e-14)
+            on = ~near & np.isfinite(du) & np.isfinite(dv)
+            left, px, py, cu, cv, du, dv = left[on], px[on], py[on], cu[on], cv[on], du[on], dv[on]
+            if i == cap or not len(left):
                 break
-            (xu, xv), (yu, yv) = image(x + step, y), image(x, y + step)
+            (xu, xv), (yu, yv) = image(left, px + step, py), image(left, px, py + step)
             a, b, c, d = (xu - cu) / step, (yu - cu) / step, (xv - cv) / step, (yv - cv) / step
             det = a * d - b * c
-            x, y = x + (d * du - b * dv) / det, y + (a * dv - c * du) / det
-        cu, cv = image(x, y)
-        bad = ~(((u - cu) ** 2 < 1e-14) & ((v - cv) ** 2 < 1e-14))
-    x, y = np.where(bad, np.nan, x), np.where(bad, np.nan, y)
+            x[left], y[left] = px + (d * du - b * dv) / det, py + (a * dv - c * du) / det
+    x, y = np.where(settled, x, np.nan), np.where(settled, y, np.nan)
     return x * rpc["latScale"] + rpc["latOff"], y * rpc["lonScale"] + rpc["lonOff"]
 
 

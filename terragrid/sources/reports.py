@@ -16,14 +16,16 @@ def depth_range_lines(ranges: DataFrame, key: str = "img") -> DataFrame:
 
 
 def write_depth_ranges(got: dict[str, DataFrame], views: DataFrame, folder: str, key: str = "img") -> None:
-    """raw, reparametrised, last rows, reference plane and common ranges; views without any range too."""
+    """raw, reparametrised, last rows, reference plane and common ranges; views without any range too. got: of ``depth.reparametrised``."""
+    from ..operators.depth import common_range
+
     for name in ("raw", "reparam"):
         depth_range_lines(views.join(got[name], key, "left"), key).write.text(f"{folder}/{name}")
     last = got["last_rows"].orderBy(key)
     last.select(F.concat_ws(" ", key, F.array_join(F.transform("last_row", lambda x: x.cast("string")), " ")).alias("value")).write.text(f"{folder}/last_rows")
     last.select(F.concat_ws(" ", key, F.array_join(F.transform(F.slice("last_row", 3, 2), lambda x: (x / F.col("last_row")[2]).cast("string")), " ")).alias("value")).write.text(f"{folder}/reference_plane")
     seen = got["last_rows"].select(key)
-    depth_range_lines(seen.join(F.broadcast(got["common"])), key).write.text(f"{folder}/common")
+    depth_range_lines(seen.join(F.broadcast(common_range(got["obs"]))), key).write.text(f"{folder}/common")
 
 
 def matching_config(images: DataFrame, key: str = "img") -> DataFrame:

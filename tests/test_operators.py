@@ -189,7 +189,11 @@ def test_reparametrised_depth(spark):
         plane = sorted(p for img, z, d, _, _ in rows if img == v and (p := low * (z - zref) / d) > 0)
         r = got["reparam"].where(F.col("img") == v).first()
         assert (r["depth_min"], r["depth_max"]) == pytest.approx((plane[int(0.02 * len(plane))] - 10, plane[int(0.98 * len(plane))] + 30))
-    assert got["common"].count() == 1
+    lows = {v: last[v][2] for v in last}
+    ends = sorted(p for v, z, d, place, n in rows if place == n - 1 and (p := lows[v] * (z - zref) / d) > 0)
+    assert tuple(depth.common_range(got["obs"]).first()) == pytest.approx((ends[int(0.02 * len(ends))] - 10, ends[int(0.98 * len(ends))] + 100))
+    plan = got["ranges"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
 
 
 def test_sparse_joins(spark):
@@ -227,6 +231,41 @@ def test_match_graph_is_symmetric(spark):
     assert len(m) == 6 and m[2, 3] == 0 and m[1, 2] == 6
 
 
+def test_no_task_holds_all_rows(spark):
+    """Statistics of all rows, and chronology without keys: one partition gets partial aggregates or a row for each range, never the rows."""
+    rng = np.random.default_rng(6)
+    n = 3000
+    x, t = rng.normal(size=n), rng.integers(0, 500, n)
+    df = spark.createDataFrame(list(zip(x.tolist(), t.tolist(), [f"n{i:05d}" for i in rng.permutation(n)])), "error double, track_len long, name string").repartition(5)
+    s = sparse.track_stats(df).first()
+    assert s[:] == pytest.approx((x.min(), x.mean(), np.median(x), x.max(), t.min(), t.mean(), np.median(t), t.max()))
+    first = df.withColumn("track_len", F.when(F.col("track_len") > 3, F.col("track_len")))
+    out = meta.chronological(first, "track_len", "name")
+    want = sorted(first.collect(), key=lambda r: (r["track_len"] is not None, r["track_len"] or 0, r["name"]))
+    assert [r["name"] for r in out.orderBy("idx").collect()] == [r["name"] for r in want]
+    assert meta.chronological(df.where("false"), "track_len", "name").count() == 0
+    got = sparse.camera_error(df.withColumn("k", F.col("track_len") % 3), ["k"], F.col("error"), F.col("track_len"))
+    for r in got.collect():
+        own = x[t % 3 == r["k"]]
+        assert (r["mean_proj"], r["median_proj"], r["max_proj"]) == pytest.approx((own.mean(), np.median(own), own.max()))
+        assert r["median_inv"] == np.median(t[t % 3 == r["k"]])
+    for plan in (out, got):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        lines = text.splitlines()
+        for i, line in enumerate(lines):
+            if "SinglePartition" in line:
+                below = "\n".join(lines[i + 1 : i + 3])
+                assert "HashAggregate" in below and "error" not in below  # sizes of ranges, not rows
+        assert "percentile(" not in text
+
+
+def test_medians_of_odd_groups(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 4.0), ("b", None), ("c", 7.0)], "k string, v double")
+    got = {r["k"]: (r["m"], r["n"]) for r in robust.summaries(df, ["k"], {"m": "v"}, [F.count("v").alias("n")]).collect()}
+    assert got == {"a": (2.5, 2), "b": (None, 0), "c": (7.0, 1)}
+    assert robust.summaries(df.where("false"), [], {"m": "v"}, [F.count("v").alias("n")]).first()[:] == (0, None)
+
+
 def test_metadata(spark):
     df = spark.createDataFrame([("b", 2, 0.5), ("a", 2, 0.51), ("c", 1, None)], "name string, t int, cloud double")
     assert {r["name"] for r in meta.cloud_filter(df, F.col("cloud")).collect()} == {"b"}

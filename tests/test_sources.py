@@ -61,6 +61,74 @@ def test_ply_round_trip(spark, tmp_path, form):
     assert sorted(map(tuple, ply.read_points(spark, f"{tmp_path}/out").collect())) == sorted(map(tuple, df.collect()))
 
 
+def truncated(raw: bytes) -> bytes:
+    return raw[: len(raw) * 2 // 3]
+
+
+def test_truncated_files_raise_or_are_listed(spark, tmp_path):
+    """No format gives a part of a file's rows: the whole file is read, fails, or is listed."""
+    db = database.Database()
+    c = db.add_camera(0, 10, 10, [1.0, 2.0, 3.0])
+    for i in range(40):
+        db.add_image(f"{i}.png", c)
+        db.add_keypoints(i + 1, np.ones((200, 2)))
+        db.add_two_view_geometry(i + 1, i + 2, np.ones((300, 2)))
+    model = binary_model()
+    formats = {
+        "points.ply": (ply.encode({k: ("double", np.arange(50.0)) for k in "xyz"}), ply.read_points),
+        "ascii.ply": (ply.encode({k: ("double", np.arange(50.0)) for k in "xyz"}, "ascii"), ply.read_points),
+        "x.geometric.bin": (dense_map.encode(np.ones((9, 9), "f4")), lambda s, p, **k: dense_map.read_depth_maps(s, p.rsplit("/", 1)[0], **k)),
+        "d.tif": (geotiff.encode(np.ones((9, 9)), geotiff.Georef(0, 0, 1, 1, 21, True)), geotiff.read_dsm),
+        "r.tif": (geotiff.encode(np.ones((9, 9)), geotiff.Georef(0, 0, 1, 1, 21, True)), geotiff.read_georef),
+        "cameras.bin": (model["cameras.bin"], sparse_model.read_cameras),
+        "images.bin": (model["images.bin"], sparse_model.read_images),
+        "points3D.bin": (model["points3D.bin"], sparse_model.read_points),
+        "images.txt": (IMAGES.replace("3 4 -1", "3 4 -1 5").encode(), sparse_model.read_images),
+        "k.db": (db.content, database.read_keypoints),
+        "p.db": (db.content, database.read_pairs),
+    }
+    for n, (name, (raw, read)) in enumerate(formats.items()):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        bad = raw if name == "images.txt" else truncated(raw)
+        (folder / name).write_bytes(bad)
+        path = f"{folder}/{name}"
+        with pytest.raises(Exception, match=name):
+            read(spark, path).collect()
+        assert read(spark, path, errors="skip").count() == 0
+        kept = read(spark, path, errors="keep")
+        assert [r["source"].rsplit("/", 1)[-1] for r in files.rejected(kept).collect()] == [name] and files.good(kept).count() == 0
+    with pytest.raises(ValueError):
+        files.parsed(spark.createDataFrame([], "path string, content binary"), None, "a int", "ignore")
+
+
+def test_files_go_to_any_store(spark, tmp_path):
+    df = spark.createDataFrame([("a/b.txt", b"1"), ("c.txt", b"2")], "path string, content binary")
+    for folder in (f"file://{tmp_path}/x", f"file:{tmp_path}/y", f"{tmp_path}/z"):
+        assert files.save_files(df, folder) == 2 and files.save_files(df, folder) == 2
+    assert {p.name: p.read_bytes() for p in (tmp_path / "x").rglob("*.txt")} == {"b.txt": b"1", "c.txt": b"2"}
+    assert len(list(tmp_path.rglob("*.*"))) == 6
+
+
+def test_strips_of_a_surface(spark, tmp_path):
+    ref = geotiff.Georef(100.0, 900.0, 0.5, 0.25, 33, False)
+    cells = [(0, 0, 1.0), (6, 2, 2.5), (3, 1, -4.0)]
+    dsm = spark.createDataFrame(cells, "row int, col int, z double")
+    assert files.save_files(geotiff.dsm_strips(dsm, "s", 8, 3, ref, 3), f"{tmp_path}/t") == 3
+    assert sorted(map(tuple, geotiff.read_strips(spark, f"{tmp_path}/t", ref).collect())) == sorted(cells)
+    places = sorted((r["ul_n"], r["n_rows"], r["zone"], r["hemisphere"]) for r in geotiff.read_georef(spark, f"{tmp_path}/t").collect())
+    assert places == [(898.5, 2, 33, "N"), (899.25, 3, 33, "N"), (900.0, 3, 33, "N")]
+    assert geotiff.dsm_strips(dsm.where("false"), "s", 8, 3, ref, 3).count() == 3
+
+
+def test_archives_without_volume_and_with_several_images():
+    pan = image_meta.pan_members
+    assert pan(["o/DVD_VOL_2/o/x_PAN/b.XML", "o/DVD_VOL_2/o/x_PAN/a.XML", "o/DVD_VOL_2/o/x_PAN/a-BROWSE.JPG"], "b") == ("o/DVD_VOL_2/o/x_PAN/b.XML", "o/DVD_VOL_2/o/x_PAN/a-BROWSE.JPG")
+    assert pan(["x_PAN/a.XML"], "q") == ("x_PAN/a.XML", None)
+    with pytest.raises(ValueError):
+        pan(["x_MUL/a.XML"], "a")
+
+
 def test_ply_header_places():
     raw = b"ply\ncomment first\nformat ascii 1.0\ncomment second\nelement vertex 1\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n"
     assert ply.decode(raw)["vertex"]["y"] == [2.0] and ply.header(raw)[2] == ["first", "second"]
