@@ -130,6 +130,70 @@ def utm_roundtrip(spark, d):
     return back.select("c_custkey", r("q.lat", 8).alias("lat"), r("q.lon", 8).alias("lon"))
 
 
+# --- inverses, held against other formulas than the library's -----------------------------------------------------------------
+
+
+def _rpc_locate_sql() -> str:
+    """Five Newton steps from the middle of the scene, each a few named expressions."""
+    terms = lambda x, y: "[" + ", ".join(t.replace("x", f"({x})").replace("y", f"({y})") for t in "1, y, x, z, y*x, y*z, x*z, y*y, x*x, z*z, x*y*z, y*y*y, y*x*x, y*z*z, y*y*x, x*x*x, x*z*z, y*y*z, x*x*z, z*z*z".split(", ")) + "]::DOUBLE[]"
+    rows = []
+    for k in range(5):
+        c = _coefficients(k)
+        rows.append(f"({k}, {_lit(c['rowOff'])}, {_lit(c['colOff'])}, " + ", ".join("[" + ", ".join(map(_lit, c[n])) + "]" for n in ("rowNum", "rowDen", "colNum", "colDen")) + ")")
+    dot = lambda n, d, t: f"list_dot_product({n}, {t}) / list_dot_product({d}, {t})"
+    steps = ""
+    for i in range(5):
+        steps += f""",
+        e{i} AS (SELECT *, {terms("x", "y")} AS t0, {terms("x + 1e-4::DOUBLE", "y")} AS t1, {terms("x", "y + 1e-4::DOUBLE")} AS t2 FROM s{i}),
+        f{i} AS (SELECT c_custkey, cam, rn, rd, cn, cd, x, y, z, u, v, {dot("cn", "cd", "t0")} AS u0, {dot("rn", "rd", "t0")} AS v0, ({dot("cn", "cd", "t1")} - u0) * 1e4 AS a, ({dot("cn", "cd", "t2")} - u0) * 1e4 AS b, ({dot("rn", "rd", "t1")} - v0) * 1e4 AS c, ({dot("rn", "rd", "t2")} - v0) * 1e4 AS d FROM e{i}),
+        s{i + 1} AS (SELECT c_custkey, cam, rn, rd, cn, cd, x + (d * (u - u0) - b * (v - v0)) / (a * d - b * c) AS x, y + (a * (v - v0) - c * (u - u0)) / (a * d - b * c) AS y, z, u, v FROM f{i})"""
+    return f"""WITH k(cam, row_off, col_off, rn, rd, cn, cd) AS (VALUES {', '.join(rows)}),
+        s0 AS (SELECT c_custkey, cam, rn, rd, cn, cd, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, (c_acctbal / 100 - 20) / 120.0::DOUBLE AS z, (1500 + (c_custkey * 37) % 3001 - col_off) / 3500.0::DOUBLE AS u, (1000 + (c_custkey * 53) % 2001 - row_off) / 2500.0::DOUBLE AS v FROM customer, k){steps}
+        SELECT c_custkey, cam, round(x * 0.06::DOUBLE - 34.45::DOUBLE, 7) + 0 AS lat, round(y * 0.06::DOUBLE - 58.55::DOUBLE, 7) + 0 AS lon FROM s5"""
+
+
+@query(_rpc_locate_sql())
+def rpc_locate(spark, d):
+    """Pixels and heights of the table, located by each camera."""
+    k = F.col("c_custkey")
+    at = table(spark, d, "customer").select("c_custkey", (1500 + (k * 37) % 3001).cast("double").alias("col"), (1000 + (k * 53) % 2001).cast("double").alias("row"), (F.col("c_acctbal") / 100).alias("alt"))
+    both = at.crossJoin(_rpc_cameras(spark)).withColumn("at", rpc.inverse(F.col("rpc"), F.col("col"), F.col("row"), F.col("alt")))
+    return both.select("c_custkey", "cam", r("at.lat", 7).alias("lat"), r("at.lon", 7).alias("lon"))
+
+
+_ENU = "(c_custkey % 1000 * 7 - 3000)::DOUBLE AS e, ((c_custkey * 11) % 900 * 5 - 2000)::DOUBLE AS n, c_acctbal / 50 AS u"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, {_ENU}, 6378137.0::DOUBLE AS a, 6378137.0::DOUBLE * (1 - 1 / 298.257223563::DOUBLE) AS b, (1 / 298.257223563::DOUBLE) * (2 - 1 / 298.257223563::DOUBLE) AS e2, radians({_O[0]}) AS p0, radians({_O[1]}) AS l0 FROM customer),
+           o AS (SELECT *, {_ecef_sql(*_O, '0')} FROM c),
+           q AS (SELECT *, x0 - sin(l0) * e - sin(p0) * cos(l0) * n + cos(p0) * cos(l0) * u AS x, y0 + cos(l0) * e - sin(p0) * sin(l0) * n + cos(p0) * sin(l0) * u AS y, z0 + cos(p0) * n + sin(p0) * u AS z FROM o),
+           h AS (SELECT *, sqrt(x * x + y * y) AS rr, atan2(z * a, sqrt(x * x + y * y) * b) AS th FROM q),
+           f AS (SELECT *, atan2(z + (a * a - b * b) / b * power(sin(th), 3), rr - e2 * a * power(cos(th), 3)) AS lat FROM h)
+           SELECT c_custkey, round(degrees(lat), 8) + 0 AS lat, round(degrees(atan2(y, x)), 8) + 0 AS lon, round(rr * cos(lat) + z * sin(lat) - a * sqrt(1 - e2 * power(sin(lat), 2)), 4) + 0 AS alt FROM f""")
+def enu_inverse(spark, d):
+    """Positions about the origin as latitude, longitude and height; the SQL has one step by the parametric latitude."""
+    k = F.col("c_custkey")
+    at = table(spark, d, "customer").select("c_custkey", (k % 1000 * 7 - 3000).cast("double").alias("e"), ((k * 11) % 900 * 5 - 2000).cast("double").alias("n"), (F.col("c_acctbal") / 50).alias("u"))
+    back = at.select("c_custkey", geodesy.enu_to_geodetic(F.col("e"), F.col("n"), F.col("u"), *ORIGIN).alias("p"))
+    return back.select("c_custkey", r("p.lat", 8).alias("lat"), r("p.lon", 8).alias("lon"), r("p.alt", 4).alias("alt"))
+
+
+@query(f"""WITH c AS (SELECT n, 6378137.0::DOUBLE / (1 + n) * (1 + power(n, 2) / 4 + power(n, 4) / 64 + power(n, 6) / 256) AS a FROM (SELECT {_N} AS n)),
+           k AS (SELECT *, n / 2 - 2 * power(n, 2) / 3 + 37 * power(n, 3) / 96 - power(n, 4) / 360 AS b1, power(n, 2) / 48 + power(n, 3) / 15 - 437 * power(n, 4) / 1440 AS b2, 17 * power(n, 3) / 480 - 37 * power(n, 4) / 840 AS b3, 4397 * power(n, 4) / 161280 AS b4,
+                        2 * n - 2 * power(n, 2) / 3 - 2 * power(n, 3) + 116 * power(n, 4) / 45 AS d1, 7 * power(n, 2) / 3 - 8 * power(n, 3) / 5 - 227 * power(n, 4) / 45 AS d2, 56 * power(n, 3) / 15 - 136 * power(n, 4) / 35 AS d3, 4279 * power(n, 4) / 630 AS d4 FROM c),
+           p AS (SELECT c_custkey, k.*, (6180000 + (c_custkey * 17) % 5000 - 10000000) / (0.9996::DOUBLE * a) AS xi, (350000 + (c_custkey * 29) % 9000 - 500000) / (0.9996::DOUBLE * a) AS eta FROM customer, k),
+           s AS (SELECT *, xi - b1 * sin(2 * xi) * cosh(2 * eta) - b2 * sin(4 * xi) * cosh(4 * eta) - b3 * sin(6 * xi) * cosh(6 * eta) - b4 * sin(8 * xi) * cosh(8 * eta) AS x1,
+                        eta - b1 * cos(2 * xi) * sinh(2 * eta) - b2 * cos(4 * xi) * sinh(4 * eta) - b3 * cos(6 * xi) * sinh(6 * eta) - b4 * cos(8 * xi) * sinh(8 * eta) AS e1 FROM p),
+           q AS (SELECT *, asin(sin(x1) / cosh(e1)) AS chi FROM s)
+           SELECT c_custkey, round(degrees(chi + d1 * sin(2 * chi) + d2 * sin(4 * chi) + d3 * sin(6 * chi) + d4 * sin(8 * chi)), 8) + 0 AS lat, round(degrees(atan2(sinh(e1), cos(x1))) - 57, 8) + 0 AS lon FROM q""")
+def utm_inverse(spark, d):
+    """Eastings and northings of the table; the SQL has the series of the conformal latitude, the library Newton steps."""
+    k = F.col("c_custkey")
+    at = table(spark, d, "customer").select("c_custkey", (350000 + (k * 29) % 9000).cast("double").alias("e"), (6180000 + (k * 17) % 5000).cast("double").alias("n"))
+    back = at.select("c_custkey", geodesy.from_utm(F.col("e"), F.col("n"), ZONE, True).alias("q"))
+    return back.select("c_custkey", r("q.lat", 8).alias("lat"), r("q.lon", 8).alias("lon"))
+
+
 # --- nations as perspective cameras ---------------------------------------------------------------------------
 
 
