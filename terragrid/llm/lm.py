@@ -2,9 +2,10 @@
 
 Latent states emit word classes: the most frequent words have a class each, all others
 share classes by their last letters. P(word | state) is P(class | state) from Baum-Welch times
-P(word | class) from corpus counts. Training runs over all training texts, in segments, in
-parallel; the expected counts of all partitions are summed by class. The score of a text is the
-exact log10 likelihood of its whole token sequence by the scaled forward recursion.
+P(word | class) from corpus counts. Training runs over all whole training texts, in parallel; the
+expected counts of all partitions are summed by class, round after round until the likelihood
+gains little. The score of a text is the exact log10 likelihood of its whole token sequence by the
+scaled forward recursion.
 
 Word counts cover the whole corpus. Words of a bounded number, the most frequent, are broadcast
 with their counts; each other word's count comes from a join, so none is left out.
@@ -13,48 +14,54 @@ with their counts; each other word's count comes from a join, so none is left ou
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Slice, slices, stored
 
-STATES, ROUNDS, SEGMENT = 6, 4, 64
+#: States, rounds at most, and the gain of a round (log10 a token) below which training ends.
+STATES, ROUNDS, GAIN = 6, 20, 0.01
+#: Tokens whose recursions go on together, and of a block of a text that is longer: what a task holds at once.
+TOGETHER = 250_000
 OWN_CLASSES, TAIL_CLASSES = 4096, 1024
 #: Words in the broadcast, at most; about 60 bytes each in a worker.
 BROADCAST_WORDS = 150_000
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cases A-Z and splits at space and \\x09-\\x0D."""
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+def tail_class(word: bytes, tails: int = TAIL_CLASSES) -> int:
+    return zlib.crc32(word[-4:]) % tails
 
 
-def tail_class(word: bytes) -> int:
-    return zlib.crc32(word[-4:]) % TAIL_CLASSES
+def distinct_words(s: Slice) -> tuple[list[bytes], np.ndarray]:
+    """The different words of a Slice, and which of them each word is."""
+    codes = s.told_apart(np.arange(len(s.starts)), s.word_hash(), 1)
+    _, at, which = np.unique(codes, return_index=True, return_inverse=True)
+    raw = s.data.tobytes()
+    return [raw[a:b] for a, b in zip(s.starts[at].tolist(), s.ends[at].tolist())], which
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """(word binary, c long) over all rows; each task adds up its own words first."""
+    """(word binary, c long) over all rows; words have A-Z lower-cased. Each task adds up its own words first."""
 
     def run(batches):
-        bag: Counter = Counter()
+        bag: dict[bytes, int] = {}
         for b in batches:
-            for t in b.column(0).to_pylist():
-                bag.update(words(t))
-            if len(bag) > 400_000:
-                yield _bag(bag)
-                bag = Counter()
+            for _, s in slices(b.column(0), lower=True):
+                names, which = distinct_words(s)
+                for w, n in zip(names, np.bincount(which, minlength=len(names)).tolist()):
+                    bag[w] = bag.get(w, 0) + n
+                if len(bag) > 400_000:
+                    yield _bag(bag)
+                    bag = {}
         yield _bag(bag)
 
     return df.select(text_col).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _bag(bag: Counter) -> pa.RecordBatch:
+def _bag(bag: dict[bytes, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bag.keys(), pa.binary()), pa.array(bag.values(), pa.int64())], names=["word", "c"])
 
 
@@ -78,35 +85,84 @@ class Model:
         k = len(start)
         return Model(smooth(start, np.full(k, 1 / k), 1.0), smooth(move, np.full((k, k), 1 / k), 1.0), smooth(emit, prior[None, :], 20.0))
 
-    def expect(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts (start, move, emit) of padded segments, ids of shape (segments, length)."""
-        n, width = ids.shape
+    def expect(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts (start, move, emit) of whole sequences, and their log10 likelihood.
+
+        All go forward and back together, the longest alone at the end. Their tokens lie in the order of their
+        places, those of one place beside each other, longest sequence first."""
         k = len(self.start)
-        by_class = np.ascontiguousarray(self.emit.T)
-        alpha = np.zeros((width, n, k))
-        scale = np.ones((width, n))
-        emitted = by_class[ids.T]
-        now = self.start[None, :] * emitted[0]
-        for t in range(width):
-            if t:
-                now = (alpha[t - 1] @ self.move) * emitted[t]
+        lengths = np.array([len(s) for s in sequences])
+        order = np.argsort(-lengths, kind="stable")
+        order = order[lengths[order] > 0]
+        if not len(order):
+            return np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit), 0.0
+        sizes = lengths[order]
+        live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right")
+        pos = np.concatenate([[0], np.cumsum(live)])
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids = np.empty(len(place), np.int64)
+        ids[pos[place] + np.repeat(np.arange(len(sizes)), sizes)] = np.concatenate([sequences[i] for i in order])
+        emitted = np.ascontiguousarray(self.emit.T)[ids]
+        alpha, scale = self._forward(self.start, emitted, live, pos)
+        beta = np.ones((len(sizes), k))
+        start, move, _ = self._backward(alpha, scale, emitted, beta, live, pos)
+        emit = np.stack([np.bincount(ids, weights=alpha[:, j], minlength=self.emit.shape[1]) for j in range(k)])
+        return start, move * self.move, emit, float(np.log10(scale).sum())
+
+    def _forward(self, first: np.ndarray, emitted: np.ndarray, live: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward vectors, and the scales; ``first`` is what the first place's states have before they emit."""
+        alpha, scale = np.empty_like(emitted), np.empty(len(emitted))
+        for t, n in enumerate(live.tolist()):
+            a, b = pos[t], pos[t] + n
+            now = alpha[a:b]
+            np.multiply(first if t == 0 else alpha[pos[t - 1] : pos[t - 1] + n] @ self.move, emitted[a:b], out=now)
             total = now.sum(1)
-            scale[t] = total
-            alpha[t] = now / total[:, None]
-        live = np.arange(width)[:, None] < lengths[None, :]
-        beta = np.ones((n, k))
-        moves = np.zeros((k, k))
-        gamma = np.zeros((width, n, k))
-        for t in range(width - 1, -1, -1):
-            on = live[t]
-            gamma[t] = alpha[t] * beta * on[:, None]
+            now /= total[:, None]
+            scale[a:b] = total
+        return alpha, scale
+
+    def _backward(self, alpha: np.ndarray, scale: np.ndarray, emitted: np.ndarray, beta: np.ndarray, live: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected states of the first place, of pairs of neighbours (without the move probability), and what a place
+        before the first one pairs with. ``alpha`` becomes the expected states of all places, ``beta`` what a place before the first sees."""
+        move = np.zeros_like(self.move)
+        back_move = np.ascontiguousarray(self.move.T)
+        for t in range(len(live) - 1, -1, -1):
+            n = int(live[t])
+            a, b = pos[t], pos[t] + n
+            own = beta[:n]
+            back = emitted[a:b] * own
+            back /= scale[a:b, None]
+            alpha[a:b] *= own
             if t:
-                back = emitted[t] * beta / scale[t][:, None] * on[:, None]
-                moves += alpha[t - 1].T @ back
-                beta = np.where(on[:, None], back @ self.move.T, 1.0)
-        flat = ids.T.ravel()
-        emit = np.stack([np.bincount(flat, weights=gamma[:, :, j].ravel(), minlength=self.emit.shape[1]) for j in range(k)])
-        return gamma[0].sum(0), moves * self.move, emit
+                move += alpha[pos[t - 1] : pos[t - 1] + n].T @ back
+            beta[:n] = back @ back_move
+        return alpha[: live[0]].sum(0), move, back
+
+    def expect_long(self, sequence: np.ndarray, block: int = TOGETHER) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """``expect`` of one sequence with a block of it in memory: forward once for the state that each block
+        begins in, then block by block from the end."""
+        by_class = np.ascontiguousarray(self.emit.T)
+        cuts = list(range(0, len(sequence), block))
+        begins, now = [], self.start
+        for at in cuts:
+            begins.append(now)
+            part = sequence[at : at + block]
+            ones, pos = np.ones(len(part), np.int64), np.arange(len(part) + 1)
+            now = self._forward(now, by_class[part], ones, pos)[0][-1] @ self.move
+        beta, total, behind = np.ones((1, len(self.start))), 0.0, None
+        move, emit = np.zeros_like(self.move), np.zeros_like(self.emit)
+        for at, begin in reversed(list(zip(cuts, begins))):
+            part = sequence[at : at + block]
+            ones, pos = np.ones(len(part), np.int64), np.arange(len(part) + 1)
+            emitted = by_class[part]
+            alpha, scale = self._forward(begin, emitted, ones, pos)
+            if behind is not None:  # the pair over the cut
+                move += alpha[-1:].T @ behind
+            start, inside, behind = self._backward(alpha, scale, emitted, beta, ones, pos)
+            move += inside
+            total += float(np.log10(scale).sum())
+            emit += np.stack([np.bincount(part, weights=alpha[:, j], minlength=self.emit.shape[1]) for j in range(len(self.start))])
+        return start, move * self.move, emit, total
 
     def log10_likelihood(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Of each whole sequence; all go forward together, the longest alone at the end."""
@@ -133,37 +189,34 @@ class Model:
         return out
 
 
-def _segments(blobs: list[bytes], width: int):
-    """Padded segments of at most ``width`` tokens, some thousands at a time."""
-    parts, held = [], 0
-    for blob in blobs:
-        seq = np.frombuffer(blob, "<u2")
-        for i in range(0, len(seq), width):
-            parts.append(seq[i : i + width])
-        held += len(seq)
-        while len(parts) >= 1024:
-            yield _pad(parts[:1024], width)
-            parts = parts[1024:]
-    if parts:
-        yield _pad(parts, width)
-
+def _groups(lengths: np.ndarray, most: int = TOGETHER):
+    """Rows in groups of at most ``most`` tokens, longest first, so that a group's sequences are about equally long; a longer one is alone."""
+    order = np.argsort(-lengths, kind="stable")
+    group, held = [], 0
+    for i in order.tolist():
+        if group and held + lengths[i] > most:
+            yield group
+            group, held = [], 0
+        group.append(i)
+        held += lengths[i]
+    if group:
+        yield group
 
-def _pad(parts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(p) for p in parts])
-    out = np.zeros((len(parts), width), np.int64)
-    out[np.arange(width)[None, :] < lengths[:, None]] = np.concatenate(parts)
-    return out, lengths
 
-
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def score_texts(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, broadcast_words: int = BROADCAST_WORDS, own_classes: int = OWN_CLASSES, tails: int = TAIL_CLASSES, gain: float = GAIN
+) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``df``.
 
     Rows whose crc32 of the identifier's text leaves a remainder by 10 train the model; the
     others are held out (a null identifier counts as the empty text, and is held out). Null and
-    empty texts are one end token. base_score is the smoothed unigram log10 probability; score
-    is the model's. Rows that share an identifier keep a row each. Without a training text
+    empty texts are one end token; a text of any length is one sequence. base_score is the smoothed unigram
+    log10 probability; score is the model's. Rows that share an identifier keep a row each; other columns
+    are left out. Training ends after ``rounds``, or once a round gains less than ``gain`` (log10 a token). Without a training text
     all words are unknown, and the model is uniform.
     """
+    if not 0 <= own_classes + tails < 65_535:
+        raise ValueError("classes have numbers of 16 bits")
     sc = df.sparkSession.sparkContext
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
     rows = df.select(F.col(id_col).alias("__id"), held.alias("__held"), F.col(text_col).alias("__text"))
@@ -185,37 +238,43 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     names = top.column("word").to_pylist() if top else []
     freq = np.array(top.column("c").to_pylist() if top else [], np.int64)
     order = sorted(range(len(names)), key=lambda i: (-freq[i], names[i]))
-    own = order[:OWN_CLASSES]
-    classes = 1 + len(own) + TAIL_CLASSES
+    own = order[:own_classes]
+    classes = 1 + len(own) + tails
     shift = 1 + len(own)
     class_of = {names[i]: 1 + r for r, i in enumerate(own)}
 
-    tails = counts.mapInArrow(_tails_of(sc.broadcast(class_of), shift), "k int, c long, n long").groupBy("k").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect()
+    shared = counts.mapInArrow(_tails_of(sc.broadcast(class_of), shift, tails), "k int, c long, n long").groupBy("k").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect()
     mass, kinds = np.zeros(classes), np.zeros(classes)
     mass[0] = ends
     for r, i in enumerate(own):
         mass[1 + r] = freq[i]
-    for r in tails:
+    for r in shared:
         mass[r["k"]], kinds[r["k"]] = r["c"], r["n"]
     # log10 of what a word's c + 0.1 is divided by within its class; a class of one word gives it all
     within = np.log10(mass + 0.1 * (kinds + 1))
     within[: 1 + len(own)] = np.log10(mass[: 1 + len(own)] + 0.1)
 
-    lexicon = {w: (class_of.get(w) or shift + tail_class(w), float(np.log10(n + 0.1))) for w, n in zip(names, freq)}
-    coded = stored(_encode(rows, sc.broadcast(lexicon), shift, within, float(np.log10(ends + 0.1)), ends > 0), "lm-coded")
+    lexicon = {w: (class_of.get(w) or shift + tail_class(w, tails), float(np.log10(n + 0.1))) for w, n in zip(names, freq)}
+    coded = stored(_encode(rows, sc.broadcast(lexicon), shift, tails, within, float(np.log10(ends + 0.1)), ends > 0), "lm-coded")
 
     model = Model.first(mass, states)
+    reached = -np.inf
     for _ in range(rounds if ends else 0):
         sums = _expect(coded.where(~F.col("__held")).select("__ids"), sc.broadcast(model), states)
-        emit, move, start = np.zeros((states, classes)), np.zeros((states, states)), np.zeros(states)
+        emit, move, start, likelihood = np.zeros((states, classes)), np.zeros((states, states)), np.zeros(states), 0.0
         for r in sums.collect():
             v = np.array(r[1:])
             if r["k"] >= 0:
                 emit[:, r["k"]] = v
             elif r["k"] == -1:
                 start = v
+            elif r["k"] == -2:
+                likelihood = v[0] / total
             else:
-                move[-2 - r["k"]] = v
+                move[-3 - r["k"]] = v
+        if likelihood - reached < gain:  # of the model before; a round more would change little
+            break
+        reached = likelihood
         model = model.learn(start, move, emit, mass)
 
     # words outside the broadcast: their counts come by a join
@@ -234,72 +293,78 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     )
 
 
-def _tails_of(class_of, shift: int):
+def _tails_of(class_of, shift: int, tails: int):
     def run(batches):
         own = class_of.value
-        c, n = np.zeros(TAIL_CLASSES, np.int64), np.zeros(TAIL_CLASSES, np.int64)
+        c, n = np.zeros(tails, np.int64), np.zeros(tails, np.int64)
         for b in batches:
             names, freq = b.column(0).to_pylist(), b.column(1).to_numpy()
-            at = np.array([-1 if w in own else tail_class(w) for w in names], np.int64)
+            at = np.array([-1 if w in own else tail_class(w, tails) for w in names], np.int64)
             at, freq = at[at >= 0], freq[at >= 0]
             np.add.at(c, at, freq)
-            n += np.bincount(at, minlength=TAIL_CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAIL_CLASSES, dtype=np.int32) + np.int32(shift)), pa.array(c), pa.array(n)], names=["k", "c", "n"])
+            n += np.bincount(at, minlength=tails)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(tails, dtype=np.int32) + np.int32(shift)), pa.array(c), pa.array(n)], names=["k", "c", "n"])
 
     return run
 
 
-def _encode(rows: DataFrame, lexicon, shift: int, within: np.ndarray, end: float, end_known: bool) -> DataFrame:
-    """Class ids of all tokens, the sums that the lexicon gives, and the other words with their numbers."""
+def _encode(rows: DataFrame, lexicon, shift: int, tails: int, within: np.ndarray, end: float, end_known: bool) -> DataFrame:
+    """Class ids of all tokens, the sums that the lexicon gives, and the other words with their numbers.
+
+    Each different word of a slice is looked up once."""
     schema = "__row long, __id {}, __held boolean, n_tokens long, __known long, __q double, __within double, __ids binary, __rare array<struct<word: binary, n: long>>".format(rows.schema["__id"].dataType.simpleString())
+    names = [x.split()[0] for x in ("__row", "__id", "__held", "n_tokens", "__known", "__q", "__within", "__ids", "__rare")]
+
+    def coded(s: Slice, lex: dict) -> list[pa.Array]:
+        words, which = distinct_words(s)
+        found = [lex.get(w) for w in words]
+        known = np.array([f is not None for f in found], bool)
+        kind = np.array([f[0] if f else shift + tail_class(w, tails) for f, w in zip(found, words)], np.uint16)
+        value = np.array([f[1] if f else 0.0 for f in found])
+        ids = kind[which]
+        per = lambda x: np.bincount(s.doc, weights=x, minlength=s.rows)
+        ends = np.cumsum(s.n_words)
+        flat = np.insert(ids, ends, 0).astype("<u2")  # an end after each text
+        offsets = (np.concatenate([[0], ends + np.arange(1, s.rows + 1)]) * 2).astype(np.int64)
+        blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), s.rows, [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+        # other words: (text, word) pairs with their numbers, texts in order
+        other = np.flatnonzero(~known[which])
+        pairs, n = np.unique(s.doc[other] * max(len(words), 1) + which[other], return_counts=True)
+        doc, word = np.divmod(pairs, max(len(words), 1))
+        rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()).take(pa.array(word)), pa.array(n.astype(np.int64))], names=["word", "n"])
+        rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(s.rows + 1)).astype(np.int32)), rare)
+        tokens = s.n_words + 1
+        own = per(known[which].astype(float)).astype(np.int64) + int(end_known)
+        return [pa.array(tokens.astype(np.int64)), pa.array(own), pa.array(per(value[which]) + end), pa.array(per(within[ids]) + within[0]), blobs, rare]
 
     def run(batches):
         lex = lexicon.value
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                cols: list[list] = [[] for _ in range(6)]
-                for t in part.column(3).to_pylist():
-                    tokens = words(t)
-                    found = list(map(lex.get, tokens))
-                    rare: Counter = Counter()
-                    ids = np.empty(len(tokens) + 1, np.uint16)
-                    q = end
-                    for i, f in enumerate(found):
-                        if f is None:
-                            w = tokens[i]
-                            rare[w] += 1
-                            ids[i] = shift + tail_class(w)
-                        else:
-                            ids[i] = f[0]
-                            q += f[1]
-                    ids[-1] = 0
-                    n_rare = sum(rare.values())
-                    row = (len(ids), len(ids) - 1 - n_rare + end_known, q, float(within[ids].sum()), ids.astype("<u2").tobytes(), [{"word": w, "n": n} for w, n in rare.items()])
-                    for c, v in zip(cols, row):
-                        c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[x.split()[0] for x in ("__row", "__id", "__held", "n_tokens", "__known", "__q", "__within", "__ids", "__rare")])
+            for first, s in slices(b.column(3), lower=True, limit=1 << 20):
+                yield pa.RecordBatch.from_arrays([*b.slice(first, s.rows).columns[:3], *coded(s, lex)], names=names)
 
     return rows.select(F.monotonically_increasing_id().alias("__row"), "__id", "__held", "__text").mapInArrow(run, schema)
 
 
 def _expect(coded: DataFrame, model, states: int) -> DataFrame:
-    """Expected counts summed over all partitions: a row for each class (k >= 0), the start (-1) and each state's moves."""
+    """Expected counts summed over all partitions: a row for each class (k >= 0), the start (-1), the likelihood (-2) and each state's moves."""
     names = [f"v{j}" for j in range(states)]
 
     def run(batches):
         m = model.value
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(m.emit)
+        start, move, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros_like(m.emit), 0.0
         for b in batches:
-            for ids, lengths in _segments(b.column(0).to_pylist(), SEGMENT):
-                s, a, e = m.expect(ids, lengths)
-                start += s
-                move += a
-                emit += e
+            texts = b.column(0)
+            for group in _groups(np.array([len(x) // 2 for x in texts.to_pylist()])):
+                seqs = [np.frombuffer(texts[i].as_py(), "<u2") for i in group]
+                got = m.expect_long(seqs[0]) if len(seqs) == 1 and len(seqs[0]) > TOGETHER else m.expect(seqs)
+                start += got[0]
+                move += got[1]
+                emit += got[2]
+                total += got[3]
         k = np.flatnonzero(emit.sum(0))
-        at = np.concatenate([k, [-1], -2 - np.arange(states)]).astype(np.int32)
-        v = np.concatenate([emit[:, k].T, start[None, :], move])
+        at = np.concatenate([k, [-1, -2], -3 - np.arange(states)]).astype(np.int32)
+        v = np.concatenate([emit[:, k].T, start[None, :], np.full((1, states), total), move])
         yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(np.ascontiguousarray(v[:, j])) for j in range(states)]], names=["k", *names])
 
     rows = coded.mapInArrow(run, "k int, " + ", ".join(f"{n} double" for n in names))
@@ -313,7 +378,10 @@ def _forward(coded: DataFrame, model) -> DataFrame:
     def run(batches):
         m = model.value
         for b in batches:
-            path = m.log10_likelihood([np.frombuffer(x, "<u2") for x in b.column(at).to_pylist()])
+            seqs = [np.frombuffer(x, "<u2") for x in b.column(at).to_pylist()]
+            path = np.zeros(len(seqs))
+            for group in _groups(np.array([len(x) for x in seqs])):
+                path[group] = m.log10_likelihood([seqs[i] for i in group])
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(b.columns) if i != at], pa.array(path)], names=[*[n for n in b.schema.names if n != "__ids"], "__path"])
 
     return coded.mapInArrow(run, schema)

@@ -330,9 +330,91 @@ def test_forward_recursion_and_expected_counts_equal_enumeration():
                 emit[k, s[t]] += p / total
                 if t:
                     move[path[t - 1], k] += p / total
-    got = m.expect(*lm._pad(seqs, 7))
-    for a, b in zip(got, (start, move, emit)):
+    seqs += [np.zeros(0, int)]
+    got = m.expect(seqs)
+    for a, b in zip(got, (start, move, emit, sum(want))):
         assert a == pytest.approx(b)
+    assert [x for x in lm._groups(np.array([3, 9, 1, 2]), 5)] == [[1], [0, 3], [2]]
+
+
+def test_long_texts_learn_over_every_cut():
+    m = tiny_model()
+    seq = np.random.default_rng(5).integers(0, 4, 203)
+    for block in (1, 7, 50, 203, 500):
+        for a, b in zip(m.expect_long(seq, block), m.expect([seq])):
+            assert a == pytest.approx(b)
+
+
+def plain_model_scores(texts, held, states, rounds, own, tails, gain):
+    """Scores by the definitions alone: dictionaries, one sequence at a time, no scaling but logarithms of sums."""
+    import zlib
+
+    tokens = [[*WORD.findall((t or "").translate(UP)), None] for t in texts]
+    counts = {}
+    for ts, h in zip(tokens, held):
+        for t in () if h else ts:
+            counts[t] = counts.get(t, 0) + 1
+    n = sum(counts.values())
+    words = sorted((w for w in counts if w is not None), key=lambda w: (-counts[w], w.encode()))
+    head = {w: 1 + i for i, w in enumerate(words[:own])}
+    kind = lambda w: 0 if w is None else head.get(w) or 1 + len(head) + zlib.crc32(w.encode()[-4:]) % tails
+    classes = 1 + len(head) + tails
+    mass, kinds = np.zeros(classes), np.zeros(classes)
+    for w, c in counts.items():
+        mass[kind(w)] += c
+        kinds[kind(w)] += 1
+    share = lambda w: 1.0 if kind(w) < 1 + len(head) else (counts.get(w, 0) + 0.1) / (mass[kind(w)] + 0.1 * (kinds[kind(w)] + 1))
+    m = lm.Model.first(mass, states)
+    seqs = [[kind(t) for t in ts] for ts in tokens]
+
+    def both_ways(seq):
+        a, b = [m.start * m.emit[:, seq[0]]], [np.ones(states)]
+        for x in seq[1:]:
+            a.append(a[-1] @ m.move * m.emit[:, x])
+        for x in reversed(seq[1:]):
+            b.append(m.move @ (m.emit[:, x] * b[-1]))
+        return a, b[::-1], a[-1].sum()
+
+    reached = -np.inf
+    for _ in range(rounds):
+        start, move, emit, like = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes)), 0.0
+        for seq, h in zip(seqs, held):
+            if not h:
+                a, b, p = both_ways(seq)
+                like += math.log10(p)
+                start += a[0] * b[0] / p
+                for t, x in enumerate(seq):
+                    emit[:, x] += a[t] * b[t] / p
+                    if t:
+                        move += np.outer(a[t - 1], m.emit[:, x] * b[t]) * m.move / p
+        if like / n - reached < gain:
+            break
+        reached = like / n
+        m = m.learn(start, move, emit, mass)
+    return [math.log10(both_ways(seq)[2]) + sum(math.log10(share(t)) for t in ts) for seq, ts in zip(seqs, tokens)]
+
+
+@pytest.mark.parametrize(("rounds", "most"), [(0, 100), (2, 100), (9, 6)])
+def test_lm_scores_equal_a_plain_model(spark, rounds, most):
+    import zlib
+
+    texts = [t for t in ODD if t is None or len(t) < 100] + [prose(i, 25) for i in range(40)]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    counts = {}
+    for t, h in zip(texts, held):
+        for w in () if h else WORD.findall((t or "").translate(UP)):
+            counts[w] = counts.get(w, 0) + 1
+    own = min(5, sum(c > sorted(counts.values())[-6] for c in counts.values()))
+    want = plain_model_scores(texts, held, 2, rounds, own, 4, 0.01)
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(frame(spark, texts), states=2, rounds=rounds, broadcast_words=most, own_classes=own, tails=4, gain=0.01).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-6)
+
+
+def test_lm_of_odd_tables(spark):
+    rows = [(None, None, 1), (1, "a b", 1), (1, "a b", 1), (2, "", 1), (3, "y" * 100_000, 1), (4, "word " * 30_000, 1)]
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string, score long"), states=2).collect()
+    assert len(got) == 6 and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    assert {r["n_tokens"] for r in got} == {1, 3, 2, 30_001} and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
 
 
 # --- surrogates
