@@ -85,12 +85,29 @@ def test_token_counts_equal_a_plain_recursion(spark):
         assert r["n_tokens"] == sum(plain_count("▁" + w, scores) for w in words)
 
 
-def test_trie_shares_prefixes_and_starts_anew():
-    scores = {"▁": -1.0, "a": -2.0, "ab": -2.5, "abc": -2.6, "c": -2.0, "▁ab": -3.0}
-    words = ["▁abc", "▁abcc", "▁ab", "▁zé", "▁abc"]
-    big, small = token_counts.Trie(scores), token_counts.Trie(scores, most=3)
-    assert [big.insert(w) for w in words] == [small.insert(w) for w in words] == [plain_count(w, scores) for w in words]
-    assert len(big.best) == len({w[:i] for w in words for i in range(len(w) + 1)})
+def test_levels_of_the_trie_equal_single_words():
+    scores = {"▁": -1.0, "a": -2.0, "ab": -2.5, "abc": -2.6, "c": -2.0, "▁ab": -3.0, "é": -4.0, "🙂a": -9.0, "▁abcc": -7.0}
+    rng = random.Random(3)
+    words = ["abc", "abcc", "ab", "zé", "abc", "", "🙂a", "c" * 300] + ["".join(rng.choice("abcé🙂z日") for _ in range(rng.randrange(0, 12))) for _ in range(400)]
+    pieces = token_counts.Pieces(scores)
+    want = [plain_count("▁" + w, scores) for w in words]
+    assert [pieces.one("▁" + w) for w in words] == pieces.many(["▁" + w for w in words]).tolist() == want
+    big, small = token_counts.Counts(scores), token_counts.Counts(scores, most=3)
+    raw = [w.encode() for w in words]
+    assert big.of(raw).tolist() == want and [int(small.of([w])[0]) for w in raw] == want and len(small.terminal) <= 5
+    assert token_counts.Pieces({}).many(["▁é"]).tolist() == [5] and pieces.many([]).tolist() == []
+    real = token_counts.pieces()
+    some = [w for t in ODD if t and len(t) < 1000 for w in WORD.findall(t)] + prose(4, 500).split()
+    assert token_counts.Pieces(real).many(["▁" + w for w in some]).tolist() == [plain_count("▁" + w, real) for w in some]
+
+
+def test_token_counts_of_long_and_odd_rows(spark):
+    rows = [(None, None, "n"), (1, "x" * 50_000, "n"), (1, "x" * 50_000, "n"), (2, "word " * 50_000, "n"), (3, " \n", "n")]
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")).collect()
+    scores = token_counts.pieces()
+    one = plain_count("▁word", scores)
+    long = plain_count("▁" + "x" * 50_000, scores)
+    assert sorted((r["n_words"], r["n_distinct"], r["n_tokens"]) for r in got) == sorted([(0, 0, 0), (1, 1, long), (1, 1, long), (50_000, 1, 50_000 * one), (0, 0, 0)])
 
 
 def test_token_counts_by_source_and_empty(spark):
