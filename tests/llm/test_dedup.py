@@ -244,3 +244,38 @@ def test_large_near_group_gives_rows_not_pairs(spark):
         rows.append((i, " ".join(words), "", ""))
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOC))
     assert got.agg(F.count(F.lit(1)), F.min("n_links"), F.max("class_id")).first()[:] == (400, 399, 0)
+
+
+def all_links(rows, t=0.8):
+    """Number of links and class of every row, by an inverted index of all shingles: exact."""
+    sets = {i: shingles(x) for i, x in rows}
+    index = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            index[g].append(i)
+    common = defaultdict(int)
+    for ids in index.values():
+        for a in range(len(ids)):
+            for b in range(a):
+                common[ids[b], ids[a]] += 1
+    links, comp = defaultdict(int), {i: i for i in sets}
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for (a, b), n in common.items():
+        if n * 9 >= 4 * (len(sets[a]) + len(sets[b])):  # n / union >= 0.8
+            links[a] += 1
+            links[b] += 1
+            a, b = root(a), root(b)
+            comp[max(a, b)] = min(a, b)
+    return {i: (root(i), links[i]) for i in sets}
+
+
+def test_no_link_of_the_documents_is_lost(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = all_links([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 100
