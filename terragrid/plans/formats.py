@@ -261,6 +261,13 @@ def ply_points(spark, d):
     return ply.read_points(spark, folder)
 
 
+@query(_PLY)
+def ply_ranges(spark, d):
+    """The files read by ranges of vertices."""
+    folder = _files(ply.point_files(_cloud(spark, d).drop("c_nationkey").repartition(PARTS)), spark, "ply")
+    return ply.read_points_by_ranges(spark, folder, 100)
+
+
 @query(_PLY)
 def ply_formats(spark, d):
     """A file for each nation, in one of the format's three forms."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geodesy, image, rpc
 from ..operators import depth, fit, meta, raster, robust, sparse
 
+# fixed values: the steps as configurations name them, and the lattice that cameras are fitted to
 STEPS = ("clean_data", "crop_image", "derive_approx", "choose_subset", "colmap_sfm_perspective", "inspect_sfm_perspective", "reparam_depth", "colmap_mvs", "aggregate_2p5d", "aggregate_3d")
 GRID_POINTS, GRID_HEIGHTS = 100, 20
 

@@ -101,6 +101,13 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
 
 
+def file_at(path: str):
+    """(file system, path) of a file that Spark has listed."""
+    from urllib.parse import unquote
+
+    return _store(unquote(path) if path.startswith("file:") else path)
+
+
 def save_files(df: DataFrame, folder: str) -> int:
     """Writes (path, content) rows into a folder that driver and executors share, in any store that Arrow knows; returns
     how many. Each file appears at once, by a move, so that a task that runs again does no harm."""

@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .files import parsed, read_files
+from .files import file_at, parsed, read_files
 
 # fixed values: scalar types of the format, their NumPy letters and Spark types (unsigned ones a size up)
 TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
@@ -128,10 +128,13 @@ def _plain(v) -> str:
     return repr(v.item() if hasattr(v, "item") else v)
 
 
+COLUMNS = ("x", "y", "z", "red", "green", "blue")
+
+
 def point_rows(_: str, raw: bytes):
     """x, y, z and colours of the vertices."""
     v = decode(raw)["vertex"]
-    names = ("x", "y", "z", "red", "green", "blue")
+    names = COLUMNS
     n = len(v["x"])
     kinds = [("f8", pa.float64()) if c in "xyz" else ("i2", pa.int16()) for c in names]
     yield pa.table([pa.array(np.asarray(v[c]).astype(k), t) if c in v else pa.nulls(n, t) for c, (k, t) in zip(names, kinds)], names=list(names))
@@ -142,6 +145,46 @@ def read_points(spark: SparkSession, path: str, errors: str = "raise") -> DataFr
     return parsed(read_files(spark, path), point_rows, "x double, y double, z double, red smallint, green smallint, blue smallint", errors)
 
 
+def read_points_by_ranges(spark: SparkSession, path: str, rows: int = 1_000_000, pattern: str = "*.ply") -> DataFrame:
+    """``read_points`` for binary files of any size: a task reads ``rows`` vertices of a file at their place in it, so no
+    task holds a file. Vertices of scalar properties only, and as the file's first element; a file that ends early fails."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")  # no content is read
+
+    def parts(batches):
+        for b in batches:
+            out = []
+            for name, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                store, at = file_at(name)
+                with store.open_input_file(at) as f:
+                    head = f.read(1 << 20)
+                form, elements, _, start = header(head)
+                element, count, props = elements[0]
+                if element != "vertex" or form == "ascii" or any(p[2] for p in props):
+                    raise ValueError(f"{name}: not a binary file of vertices with scalar properties")
+                width = sum(np.dtype(p[1]).itemsize for p in props)
+                if size < start + count * width:
+                    raise ValueError(f"{name}: early end of file")
+                out += [(name, start + i * width, min(rows, count - i)) for i in range(0, count, rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "start", "n"])
+
+    def read(batches):
+        for b in batches:
+            for name, start, n in zip(*(c.to_pylist() for c in b.columns)):
+                store, at = file_at(name)
+                with store.open_input_file(at) as f:
+                    form, elements, _, _ = header(f.read(1 << 20))
+                    kind = np.dtype([(p[0], (">" if form == "binary_big_endian" else "<") + p[1]) for p in elements[0][2]])
+                    f.seek(start)
+                    table = np.frombuffer(f.read(n * kind.itemsize), kind)
+                for i in range(0, n, 100_000):
+                    part = table[i : i + 100_000]
+                    cols = [pa.array(part[c].astype("f8" if c in "xyz" else "i2")) if c in kind.names else pa.nulls(len(part), pa.int16()) for c in COLUMNS]
+                    yield pa.RecordBatch.from_arrays(cols, names=list(COLUMNS))
+
+    ranges = found.mapInArrow(parts, "path string, start long, n long")
+    return ranges.repartition("path", "start").mapInArrow(read, "x double, y double, z double, red smallint, green smallint, blue smallint")
+
+
 def point_files(points: DataFrame, name: str = "points", double: bool = True, comments: tuple[str, ...] = ()) -> DataFrame:
     """(path, content): a PLY file for each partition of (x, y, z and, if they are there, red, green, blue).
 
@@ -160,4 +203,4 @@ def point_files(points: DataFrame, name: str = "points", double: bool = True, co
     return points.select("x", "y", "z", *colours).mapInPandas(run, "path string, content binary")
 
 
-__all__ = ["decode", "encode", "header", "point_files", "point_rows", "read_points"]
+__all__ = ["decode", "encode", "header", "point_files", "point_rows", "read_points", "read_points_by_ranges"]

@@ -129,6 +129,19 @@ def test_archives_without_volume_and_with_several_images():
         pan(["x_MUL/a.XML"], "a")
 
 
+def test_points_by_ranges_equal_whole_files(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    for k, form in enumerate(("binary_little_endian", "binary_big_endian")):
+        cols = {c: ("float", rng.normal(size=1000 + k)) for c in "xyz"} | ({"red": ("uchar", rng.integers(0, 256, 1000))} if k == 0 else {})
+        (tmp_path / f"a b{k}.ply").write_bytes(ply.encode(cols, form))
+    whole = sorted(map(str, ply.read_points(spark, str(tmp_path)).collect()))
+    parts = ply.read_points_by_ranges(spark, str(tmp_path), 300)
+    assert sorted(map(str, parts.collect())) == whole and len(whole) == 2001
+    (tmp_path / "cut.ply").write_bytes((tmp_path / "a b0.ply").read_bytes()[:-9])
+    with pytest.raises(Exception, match="early end"):
+        ply.read_points_by_ranges(spark, str(tmp_path), 300).collect()
+
+
 def test_ply_header_places():
     raw = b"ply\ncomment first\nformat ascii 1.0\ncomment second\nelement vertex 1\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n"
     assert ply.decode(raw)["vertex"]["y"] == [2.0] and ply.header(raw)[2] == ["first", "second"]
