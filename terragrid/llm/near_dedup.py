@@ -36,7 +36,7 @@ SLACK = 4.5
 #: Members of a bucket that one task compares with each other; in larger ones with HEADS of them first.
 BUCKET_BLOCK, HEADS = 1024, 8
 #: Texts, and words, of a block: what a task compares at once is two blocks, however large the family is.
-TEXT_BLOCK, WORD_BLOCK = 1024, 1_000_000
+TEXT_BLOCK, WORD_BLOCK = 512, 1_000_000
 #: Distances from a family's pivot are told in bins, so many to the largest distance of a link.
 BINS = 64
 #: Representatives that are fetched by a broadcast of their identifiers, and buckets whose heads are broadcast; more go by a join.
