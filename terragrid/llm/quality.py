@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import _SOLID, mix, slices
+from .common import mix, slices
 
 #: (bytes below which the row holds, least and largest ratio of a whole document).
 DOCUMENT_BANDS = ((256, 0.0, 4.0), (1024, 1.2, 4.5), (4096, 1.35, 5.0), (16384, 1.5, 6.0), (float("inf"), 1.6, 8.0))
