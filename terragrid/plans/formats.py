@@ -12,7 +12,6 @@ import tarfile
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import image

@@ -11,6 +11,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a hub's or a large group's rows are split from this size on, not from 256 MB
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
     # readers of terragrid.sources prune by view and row count
     "spark.sql.python.filterPushdown.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
