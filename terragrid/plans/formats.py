@@ -245,7 +245,7 @@ def matrices_text(spark, d):
     return got.select("view", F.col("m")[0].alias("m0"), F.col("m")[15].alias("m15"), r(F.aggregate("m", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-_PLY = "SELECT c_acctbal::DOUBLE AS x, c_custkey / 8.0::DOUBLE AS y, -c_nationkey::DOUBLE AS z, (c_custkey % 256)::SMALLINT AS red, (c_custkey % 7)::SMALLINT AS green, 255::SMALLINT AS blue FROM customer"
+_PLY = "SELECT c_acctbal::DOUBLE AS x, c_custkey / 8.0::DOUBLE AS y, (0 - c_nationkey)::DOUBLE AS z, (c_custkey % 256)::SMALLINT AS red, (c_custkey % 7)::SMALLINT AS green, 255::SMALLINT AS blue FROM customer"
 
 
 def _cloud(spark, d):
@@ -416,7 +416,7 @@ def metadata_json(spark, d):
     return back.join(manifest, "name").select("name", "width", F.col("capTime").alias("cap_time"), F.col("rpc.rowOff").alias("row_off"), "png", "json")
 
 
-_BOXES = ", ".join(f"min({c}) AS {n}_min, max({c}) AS {n}_max" for n, c in (("lat", "c_custkey / 100.0::DOUBLE"), ("lon", "-c_custkey / 50.0::DOUBLE"), ("alt", "c_acctbal"), ("xx", "c_custkey::DOUBLE"), ("yy", "2.0::DOUBLE * c_custkey"), ("zz", "c_acctbal / 4")))
+_BOXES = ", ".join(f"min({c}) AS {n}_min, max({c}) AS {n}_max" for n, c in (("lat", "c_custkey / 100.0::DOUBLE"), ("lon", "(0 - c_custkey) / 50.0::DOUBLE"), ("alt", "c_acctbal"), ("xx", "c_custkey::DOUBLE"), ("yy", "2.0::DOUBLE * c_custkey"), ("zz", "c_acctbal / 4")))
 
 
 @query(f"""WITH b AS (SELECT {_BOXES} FROM customer)
@@ -428,7 +428,7 @@ def camera_json(spark, d):
     affine = nations.select(F.col("n_name").alias("img"), F.array(640 + k, 480 + k, *[k / 3 + i for i in range(8)]).alias("params"))
     perspective = nations.select(F.col("n_name").alias("img"), F.array(640 + k, 480 + k, 1000.5 + k, *[k / 7 + i for i in range(11)]).alias("params"))
     c = F.col("c_custkey").cast("double")
-    samples = table(spark, d, "customer").select((c / 100).alias("lat"), (-c / 50).alias("lon"), F.col("c_acctbal").alias("alt"), c.alias("xx"), (2 * c).alias("yy"), (F.col("c_acctbal") / 4).alias("zz"))
+    samples = table(spark, d, "customer").select((c / 100).alias("lat"), ((0 - c) / 50).alias("lon"), F.col("c_acctbal").alias("alt"), c.alias("xx"), (2 * c).alias("yy"), (F.col("c_acctbal") / 4).alias("zz"))
     folder = files.scratch(spark, "cameras")
     reports.write_cameras(affine, perspective, samples, folder)
     read = lambda name: spark.read.text(f"{folder}/{name}").select(F.explode(F.from_json("value", "map<string, array<double>>")).alias("img", "p"))
