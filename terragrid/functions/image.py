@@ -67,7 +67,7 @@ def pair_of(pair: Column) -> tuple[Column, Column]:
     """(smaller, larger) id; an integer division, as a double would lose the last digits."""
     base = F.lit(2147483647).cast("long")
     second = F.pmod(pair, base)
-    return ((pair - second).cast("decimal(20,0)") / base.cast("decimal(20,0)")).cast("long"), second
+    return F.call_function("div", pair - second, base), second
 
 
 def masked(value: Column, *masks: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linalg as la
@@ -113,17 +113,30 @@ def strict_lookup(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFram
 def match_graph(pairs: DataFrame) -> DataFrame:
     """(src, dst, n): both directions of pairs (pair_id, n) with matches; n adds up over repeated pairs."""
     a, b = pair_of(F.col("pair_id"))
-    edges = pairs.where(F.col("n") >= 1).select(a.alias("src"), b.alias("dst"), "n")
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    return both.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    edges = pairs.where(F.col("n") >= 1).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    both = edges.select(F.col("a").eqNullSafe(F.col("b")).alias("self"), F.stack(F.lit(2), "a", "b", "n", F.lit(False), "b", "a", "n", F.lit(True)).alias("src", "dst", "n", "back"))
+    return both.where("NOT (self AND back)").select("src", "dst", F.when(F.col("self"), F.col("n") * 2).otherwise(F.col("n")).alias("n"))
 
 
-def match_matrix(nodes: DataFrame, graph: DataFrame, key: str) -> DataFrame:
+def match_matrix(nodes: DataFrame, graph: DataFrame, key: str, pairs_a_task: int = 1 << 23) -> DataFrame:
     """Every ordered pair of different nodes with its number of matches, 0 by default.
 
-    The result has a row for each ordered pair of images by definition."""
-    a, b = nodes.select(F.col(key).alias("src")), nodes.select(F.col(key).alias("dst"))
-    return a.join(b, F.col("src") != F.col("dst")).join(graph, ["src", "dst"], "left").select("src", "dst", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    The result has a row for each ordered pair of images by definition, but only edges are shuffled and sorted for it:
+    nodes are numbered in the order of their keys, and an edge comes out with the zeros up to the next edge of its
+    node, an edge at -1 standing before the first. Tasks hold the sorted nodes, the square root of the result.
+    ``pairs_a_task`` only sets how many tasks there are."""
+    nodes = nodes.select(F.col(key).alias("k")).where("k IS NOT NULL")
+    total = nodes.count()
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * total // pairs_a_task))
+    every = nodes.agg(F.sort_array(F.collect_list("k")).alias("every"))
+    place = lambda at, k: F.broadcast(every.select(F.posexplode("every").alias(at, k)))
+    edges = graph.join(place("i", "src"), "src").join(place("j", "dst"), "dst").select("i", "j", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    starts = every.select(F.posexplode("every").alias("i", "k")).select("i", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("n"))
+    rows = edges.unionByName(starts).repartition(tasks, "i")
+    rows = rows.withColumn("next", F.lead("j").over(Window.partitionBy("i").orderBy("j"))).crossJoin(F.broadcast(every))
+    run = F.sequence("j", F.greatest(F.coalesce("next", F.size("every")) - 1, "j"))
+    out = rows.select("i", "j", "n", "every", F.explode(run).alias("at"))
+    return out.select(F.get("every", F.col("i")).alias("src"), F.get("every", F.col("at")).alias("dst"), F.when(F.col("at") == F.col("j"), F.col("n")).otherwise(0).alias("n")).where("src != dst")
 
 
 def pairwise_angles(vectors: DataFrame, key: str, dims: int, vector: str, mirrored: bool = False) -> DataFrame:

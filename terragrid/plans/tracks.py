@@ -84,11 +84,10 @@ def reprojection_error(spark, d):
 
 def _pairs(spark, d):
     """Two suppliers of one order: a match of two images. An order has a few lines, so pairs stay linear."""
-    seen = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("long").alias("k")).distinct()
-    per = seen.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("k")).alias("ks"))
-    pair = F.flatten(F.transform("ks", lambda a, i: F.transform(F.slice("ks", i + 2, F.greatest(F.size("ks") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    each = per.select(F.explode(pair).alias("p"))
-    return each.groupBy(image.pair_id(F.col("p.a"), F.col("p.b")).alias("pair_id")).agg(F.count(F.lit(1)).alias("n"))
+    seen = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("long").alias("k"))
+    per = seen.repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    each = per.select("ks", F.posexplode("ks").alias("i", "a")).select("a", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("b"))
+    return each.groupBy(image.pair_id(F.col("a"), F.col("b")).alias("pair_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _PAIRS = """s AS (SELECT DISTINCT l_orderkey, l_suppkey AS k FROM lineitem),

@@ -231,6 +231,38 @@ def test_match_graph_is_symmetric(spark):
     assert len(m) == 6 and m[2, 3] == 0 and m[1, 2] == 6
 
 
+def test_match_matrix_shuffles_edges_only(spark):
+    """Pairs of nodes come out after the last shuffle, sort and join by key; odd nodes and edges as by a left join."""
+    keys = [5, 3, 3, None, 9, -7, *range(100, 130)]
+    edges = [(5, 3, 4), (3, 5, 4), (9, -7, 1), (9, -7, 2), (-7, 9, None), (129, 5, 8), (5, 129, 8), (5, 77, 6), (77, 5, 6), (9, 9, 3), (None, 5, 1), (100, 101, 0)]
+    nodes = spark.createDataFrame([(k,) for k in keys], "k long")
+    graph = spark.createDataFrame(edges, "src long, dst long, n long")
+    want = []
+    for a in keys:
+        for b in keys:
+            if a is not None and b is not None and a != b:
+                want += [(a, b, n or 0) for x, y, n in edges if (x, y) == (a, b)] or [(a, b, 0)]
+    text = sparse.match_matrix(nodes, graph, "k")._jdf.queryExecution().executedPlan().toString()
+    above = text.split("BroadcastNestedLoopJoin")[0]
+    assert "Exchange" not in above and "Sort" not in above and "HashJoin" not in above
+    for out in (sparse.match_matrix(nodes, graph, "k"), sparse.match_matrix(nodes, graph, "k", pairs_a_task=20)):
+        assert sorted(map(tuple, out.collect())) == sorted(want)
+    none = nodes.where("false")
+    assert sparse.match_matrix(none, graph, "k").collect() == []
+    assert sorted(map(tuple, sparse.match_matrix(nodes.where("k IN (5, 9)"), graph.where("false"), "k").collect())) == [(5, 9, 0), (9, 5, 0)]
+    many = sparse.match_matrix(spark.range(300).withColumnRenamed("id", "k"), graph, "k", pairs_a_task=1000)
+    assert many.count() == 300 * 299 and many.agg(F.sum("n")).first()[0] == 36
+
+
+def test_match_graph_of_odd_pairs(spark):
+    """A pair of one image counts both ways in one row; the larger id may stand first; pairs without an id stay one row."""
+    big = 2147483646
+    pairs = spark.createDataFrame([(4 * 2147483647 + 4, 3), (9 * 2147483647 + 2, 1), (2 * 2147483647 + 9, 5), (None, 2), (1 * 2147483647 + big, 7), ((big - 1) * 2147483647 + big, 6), (3, None)], "pair_id long, n long")
+    got = [tuple(r) for r in sparse.match_graph(pairs).collect()]
+    want = [(4, 4, 6), (2, 9, 6), (9, 2, 6), (None, None, 4), (1, big, 7), (big, 1, 7), (big - 1, big, 6), (big, big - 1, 6)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_no_task_holds_all_rows(spark):
     """Statistics of all rows, and chronology without keys: one partition gets partial aggregates or a row for each range, never the rows."""
     rng = np.random.default_rng(6)
